@@ -1,0 +1 @@
+"""Governed knowledge retrieval and its bookkeeping as Spark jobs."""
