@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ WS = r"[\t-\r \x{a0}\x{feff}]"
 
 
 def words(text: Column) -> Column:
-    """ASCII words of two characters or more, lower-cased, repeats kept."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]{2,}"), 0), F.lower)
+    """ASCII words of two characters or more, lower-cased, repeats kept. Only A-Z are lowered: no other letter may become one of theirs."""
+    return F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit("[a-z0-9_]{2,}"), 0)
 
 
 def cjk_grams(text: Column) -> Column:

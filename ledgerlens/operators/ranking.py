@@ -137,7 +137,7 @@ def rerank(
 ) -> DataFrame:
     """Score candidates by weighted features times governance factors, and explain it.
 
-    ``candidates``: query_id, query, raw (lexical), matched, n_tokens, semantic, semantic_rank,
+    ``candidates``: query_id, query, raw (lexical), n_matched, n_tokens, semantic, semantic_rank,
     fused_rank, and the entry's columns. ``scores``: (entry_id, window_score). Adds features,
     contributions and factors as maps, and score (4 places).
     """
@@ -168,7 +168,7 @@ def rerank(
         "bm25ish": bm25,
         "exactPhrase": t.exact_phrase(haystack, F.col("query")),
         "semantic": F.when(gated, 0.0).otherwise(semantic),
-        "specificity": F.when(F.col("n_tokens") > 0, F.size("matched") / F.col("n_tokens")).otherwise(0.0),
+        "specificity": F.when(F.col("n_tokens") > 0, F.col("n_matched") / F.col("n_tokens")).otherwise(0.0),
         "bindingOverlap": involved,
         "redlineRatio": t.redline_ratio(F.col("text"), F.col("redlines")),
         "freshness": F.coalesce(F.pow(F.lit(0.5), age / p.FRESHNESS_HALF_LIFE_DAYS), F.lit(0.0)),

@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: cuts lineage and survives lost executors. The folder is the cluster's checkpoint folder; a temporary one only where none is set."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's checkpoint folder; in a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back: cuts lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:

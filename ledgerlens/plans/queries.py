@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents, evaluation, governance, layout, lexical, ranking
+from ledgerlens.operators import documents, evaluation, governance, index, layout, lexical, ranking, shared
 from ledgerlens.sources import files, views
 from ledgerlens.streaming import streams
 
@@ -55,7 +55,8 @@ def merged_tier_stats(spark, d):
 
 
 def _top(spark, d, **how):
-    return lexical.retrieve(views.entries(spark, d), views.queries(spark, d), p.RESULT_LIMIT, **how).select("query_id", "id", "rank", "score", JOINED("matched"))
+    e, q = views.entries(spark, d), views.queries(spark, d)
+    return lexical.with_matched(lexical.retrieve(e, q, p.RESULT_LIMIT, **how), e, q).select("query_id", "id", "rank", "score", JOINED("matched"))
 
 
 @query
@@ -73,6 +74,15 @@ def weights_scorer_topk(spark, d):
     return _top(spark, d, scorer="weights")
 
 
+@query
+def bm25f_indexed_topk(spark, d):
+    """The same search over a stored index instead of the texts."""
+    path = shared.shared_path(spark, "lexical-index")
+    e, q = views.entries(spark, d), views.queries(spark, d)
+    index.write_index(lexical.visible(e), path)
+    return index.search(index.read_index(spark, path), q, p.RESULT_LIMIT).select("query_id", "id", "rank", "score")
+
+
 @query
 def bm25_p90_scale(spark, d):
     return lexical.p90_scale(lexical.score(corpus(spark, d), views.queries(spark, d))).select("query_id", SIX("scale"))
@@ -131,8 +141,7 @@ def _candidates(spark, d):
     raw = lexical.score(corpus(spark, d), q)
     cos = near.select("query_id", F.col("key").alias("id"), F.col("score").alias("semantic"), F.col("rank").alias("semantic_rank"))
     rows = window.join(raw, ["query_id", "id"], "left").join(cos, ["query_id", "id"], "left").join(e, "id").join(q.withColumn("n_tokens", F.size(t.tokenize(F.col("query")))), "query_id")
-    none = F.expr("cast(array() as array<string>)")
-    return rows.withColumns({"raw": F.coalesce("raw", F.lit(0.0)), "matched": F.coalesce("matched", none)})
+    return rows.withColumns({"raw": F.coalesce("raw", F.lit(0.0)), "n_matched": F.coalesce("n_matched", F.lit(0))})
 
 
 @query
