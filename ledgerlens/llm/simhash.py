@@ -28,60 +28,81 @@ from ledgerlens.llm.common import id_and_text, materialize
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Buckets of more distinct fingerprints are split by a second pigeonhole on the other bits.
 HOT_BUCKET = 50_000
+#: Of 128 bits, for a similarity of about 0.8 between sets of five-word shingles.
+WIDE_BITS = 21
 _SMALL_RUN = 8
-_LANES = np.arange(8, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def simhash(text: bytes, words: int, seed: int) -> int:
     """Signed 64-bit fingerprint of a UTF-8 text: majority bits over its word shingles."""
+    return _majority(text, words, seed, xxhash.xxh64_digest, 8)[0]
+
+
+def _majority(text: bytes, words: int, seed: int, digest, size: int) -> list[int]:
+    """Fingerprint of ``size`` bytes as signed 64-bit numbers."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return [0] * (size // 8)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        digests = xxhash.xxh64_digest(joined, seed)
+        digests = digest(joined, seed)
     else:
         ends = list(accumulate(len(t) + 1 for t in tokens))
-        digest = xxhash.xxh64_digest
         digests = b"".join([digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[words - 1 :])])
-    lanes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    ones = np.bincount((lanes + _LANES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int(np.packbits((2 * ones > len(lanes)).ravel()).view(">i8")[0])
+    lanes = np.frombuffer(digests, np.uint8).reshape(-1, size)
+    places = np.arange(size, dtype=np.int64) * 256
+    ones = np.bincount((lanes + places).ravel(), minlength=size * 256).reshape(size, 256) @ _BITS
+    return np.packbits((2 * ones > len(lanes)).ravel()).view(">i8").tolist()
+
 
+#: How to hash shingles for fingerprints of one or two 64-bit parts.
+_DIGESTS = {1: (xxhash.xxh64_digest, 8), 2: (xxhash.xxh3_128_digest, 16)}
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row."""
+
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, parts: int = 1) -> DataFrame:
+    """(doc_id, fp, ...) of every row; a wide fingerprint has its other parts in fp1."""
+    names = _names(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, size = _DIGESTS[parts]
         for b in batches:
-            fps = [simhash(t, words, seed) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([_majority(t, words, seed, digest, size) for t in b.column("text").to_pylist()], np.int64).reshape(-1, parts)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(fps[:, i]) for i in range(parts))], ["doc_id", *names])
+
+    source = id_and_text(docs).withColumn("text", F.col("text").cast("binary"))
+    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+
 
-    return id_and_text(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+def _names(parts: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, parts))]
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, one row each."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
 def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among one bucket's fingerprints."""
+    """Spanning forest, as places, of the links among one bucket's fingerprints."""
     edges: list[tuple[int, int]] = []
-    rest = fps
+    rest = np.arange(len(fps))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
-            near = np.bitwise_count(rest ^ queue[-1]) <= bits
             a = queue.pop()
-            found = rest[near]
-            rest = rest[~near]
+            near = _apart(fps[rest], fps[a]) <= bits
+            found, rest = rest[near], rest[~near]
             edges += [(int(a), int(b)) for b in found]
             queue.extend(found)
     return edges
 
 
-def _links(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+def _links(bits: int, parts: int):
+    names = _names(parts)
 
-        def scan(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             lengths = np.diff(np.r_[starts, len(keys)])
             a, b = [], []
@@ -89,40 +110,41 @@ def _links(bits: int):
                 at = starts[lengths == n]
                 for i in range(n - 1):
                     for j in range(i + 1, n):
-                        x, y = fps[at + i], fps[at + j]
-                        near = np.bitwise_count(x ^ y) <= bits
-                        a.append(x[near])
-                        b.append(y[near])
+                        near = _apart(fps[at + i], fps[at + j]) <= bits
+                        a.append(at[near] + i)
+                        b.append(at[near] + j)
             for s, n in zip(starts[lengths > _SMALL_RUN], lengths[lengths > _SMALL_RUN]):
                 if found := _forest(fps[s : s + n], bits):
-                    pairs = np.array(found, np.uint64)
+                    pairs = np.array(found, np.int64) + s
                     a.append(pairs[:, 0])
                     b.append(pairs[:, 1])
-            if not a or not (n := sum(map(len, a))):
+            if not a or not sum(map(len, a)):
                 return None
-            u, v = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            assert len(u) == n
+            u, v = nodes[np.concatenate(a)], nodes[np.concatenate(b)]
             pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
+        keys, nodes, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, parts), np.uint64)
         for batch in batches:
             keys = np.r_[keys, batch.column("key").to_numpy()]
-            fps = np.r_[fps, batch.column("fp").to_numpy().view(np.uint64)]
+            nodes = np.r_[nodes, batch.column("node" if parts > 1 else "fp").to_numpy()]
+            fps = np.concatenate([fps, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)])
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-            if whole and (out := scan(keys[:whole], fps[:whole])):
+            if whole and (out := scan(keys[:whole], nodes[:whole], fps[:whole])):
                 yield out
-            keys, fps = keys[whole:], fps[whole:]
-        if len(keys) and (out := scan(keys, fps)):
+            keys, nodes, fps = keys[whole:], nodes[whole:], fps[whole:]
+        if len(keys) and (out := scan(keys, nodes, fps)):
             yield out
 
     return run
 
 
-def _variants() -> str:
-    """SQL array of the 64 index keys of ``fp``: position above bit 32, segment less one bit below."""
+def _variants(parts: int = 1) -> str:
+    """SQL array of the 64 index keys of each part: position above bit 32, segment less one bit below."""
     return ", ".join(
-        f"({at + p}L << 32) | (shiftrightunsigned(fp, {at}) & {((1 << w) - 1) & ~(1 << p)}L)" for at, w in SEGMENTS for p in range(w)
-    )
+        f"({64 * i + at + p}L << 32) | (shiftrightunsigned({name}, {at}) & {((1 << w) - 1) & ~(1 << p)}L)"
+        for i, name in enumerate(_names(parts)) for at, w in SEGMENTS for p in range(w)
+    )
 
 
 def _split_hot(index: DataFrame, distinct: DataFrame, bits: int, hot: int) -> DataFrame:
@@ -159,8 +181,16 @@ def links(distinct: DataFrame, bits: int = 4, hot_bucket: int = HOT_BUCKET) -> D
         raise ValueError("three segments find at most five differing bits")
     index = distinct.select("fp", F.explode(F.expr(f"array({_variants()})")).alias("key"))
     index = _split_hot(index, distinct, bits, hot_bucket)
-    found = index.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits), "u long, v long")
-    return found.distinct()
+    return _meet(index, bits, 1)
+
+
+def _meet(index: DataFrame, bits: int, parts: int) -> DataFrame:
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits, parts), "u long, v long").distinct()
+
+
+def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
+    """(u, v) among (node, fp, fp1): fingerprints of 128 bits that differ in at most ``bits``, if one of their six segments differs in one bit or none."""
+    return _meet(distinct.select("node", "fp", "fp1", F.explode(F.expr(f"array({_variants(2)})")).alias("key")), bits, 2)
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -184,20 +214,36 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least doc_id reachable."""
     fps = materialize(fingerprints(docs, words, seed), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected(links(distinct, bits, hot_bucket))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp"))
+    return _components(fps, distinct, connected(links(distinct, bits, hot_bucket)), ["fp"])
+
+
+def wide_near_duplicates(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, fp1, component_id) by fingerprints of 128 bits.
+
+    For a similarity of 0.8 the fingerprints differ in about 20 of 128 bits, far more than any
+    pigeonhole on 64 bits allows. Six segments find most such pairs, not all of them.
+    """
+    fps = materialize(fingerprints(docs, words, seed, 2), "fingerprints")
+    distinct = materialize(fps.groupBy("fp", "fp1").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "fp1")), "distinct")
+    return _components(fps, distinct, connected(wide_links(distinct, bits)), ["fp", "fp1"])
+
+
+def _components(fps: DataFrame, distinct: DataFrame, roots: DataFrame, names: list[str]) -> DataFrame:
+    roots = roots.select(F.col("node").alias("node_"), "root")
+    named = distinct.join(roots, distinct.node == roots.node_, "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
     classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(named.join(classes, "root").select(F.col("fp").alias("fp_"), "component_id"), "classes")
-    return fps.join(classes, fps.fp == classes.fp_, "left").select("doc_id", "fp", "component_id")
+    classes = materialize(named.join(classes, "root").select(*(F.col(c).alias(f"{c}_") for c in names), "component_id"), "classes")
+    same = [fps[c] == classes[f"{c}_"] for c in names]
+    return fps.join(classes, same, "left").select("doc_id", *names, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
-    """The row with the least doc_id of each component; of rows with that same doc_id, one.
+def drop_near_duplicates(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row with the least doc_id of each component in ``found`` (doc_id, component_id); of rows with that same doc_id, one.
 
     Rows without a doc_id cannot be told apart by it: of those with equal texts one stays.
     """
-    rows = materialize(near_duplicates(docs, words, bits, seed), "near-duplicates")
+    rows = materialize(found.select("doc_id", "component_id"), "near-duplicates")
     gone = rows.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
     ids = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()

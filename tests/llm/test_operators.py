@@ -394,7 +394,9 @@ def test_simhash_on_odd_tables(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS) and simhash.near_duplicates(empty).count() == 0
     assert [r["component_id"] for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) if r["doc_id"] in (2, 3, 4)] == [2, 2, 2]
-    kept = simhash.drop_near_duplicates(odd)
+    kept = simhash.drop_near_duplicates(odd, simhash.near_duplicates(odd))
+    assert sorted(map(str, simhash.drop_near_duplicates(odd, simhash.wide_near_duplicates(odd)).toPandas().doc_id)) == sorted(map(str, kept.toPandas().doc_id))
+    assert simhash.wide_near_duplicates(empty).count() == 0
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [-8, 1, 2, 5, 6, 7]
 
 
