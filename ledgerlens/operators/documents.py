@@ -65,7 +65,7 @@ def chunk(text: str, longest: int = p.CHUNK_CHARS, step: int = p.WINDOW_STEP) ->
             if body.strip():
                 anchor = re.sub(r"\s+", " ", body).strip()[: p.ANCHOR_CHARS]
                 out.append((len(out) + 1, " > ".join(n for _, n in path), begin + a + 1, begin + b, len(body), anchor, previous))
-            previous = len(out) or None
+            previous = len(out)
     return out
 
 
