@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents, evaluation, governance, index, layout, lexical, ranking, shared
+from ledgerlens.operators import documents, evaluation, governance, index, layout, lexical, ranking, shared, store
 from ledgerlens.sources import files, views
 from ledgerlens.streaming import streams
 
@@ -528,3 +528,42 @@ def stream_label_join(spark, d):
     marks = streams.signals_stream(spark, d).filter("signal = 'human-confirm'")
     rows = streams.drain(streams.stream_labels(log, marks), f"labels_{abs(hash(d)) % 10**6}", "append")
     return rows.groupBy("row_id").agg(F.count("*").alias("confirmations"))
+
+
+@query
+def evidence_loop_signals(spark, d):
+    e = views.entries(spark, d)
+    refs = e.select((F.col("id") % 20).alias("worklog"), (F.col("id") * 2).alias("id"), F.when(F.col("id") % 3 == 0, "cited").otherwise("surfaced").alias("mode"))
+    outcomes = refs.select("worklog").distinct().withColumn("exit_ok", F.col("worklog") % 4 == 0)
+    changed = refs.select("worklog", F.concat(F.lit("src/mod"), (F.col("id") % 50).cast("string"), F.lit(".css")).alias("file")).filter("worklog % 3 = 0").distinct()
+    rows, _ = store.evidence_loop(refs, e.filter("tier = 'project'"), e.filter("tier = 'global'"), outcomes, changed, views.now())
+    return rows.select("entry_id", "polarity", "source", "weight", "note")
+
+
+@query
+def resolved_approvals(spark, d):
+    e, a = views.entries(spark, d), views.approvals(spark, d)
+    verdicts = a.filter("resolved_at is null").select("entry_id", "action", F.when(F.col("entry_id") % 6 == 0, "rejected").otherwise("approved").alias("resolution"))
+    after, settled, _ = store.resolve_approvals(e, a, verdicts, views.now())
+    return settled.join(after.select(F.col("id").alias("entry_id"), "status"), "entry_id").select("approval_id", "entry_id", "resolution", "resolved_at", "status")
+
+
+@query
+def swept_entries(spark, d):
+    after = store.apply_sweep(views.entries(spark, d), _scores(spark, d), views.now())
+    return after.groupBy("tier", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def redline_proposals(spark, d):
+    e = views.entries(spark, d)
+    more = e.filter("id % 5 = 0").select("id", F.lit(1).alias("from"), (F.col("id") % 900).cast("int").alias("to"))
+    _, over = store.redline_text(e, more)
+    return over.select("id", SIX("ratio"))
+
+
+@query
+def gate_decisions(spark, d):
+    o = F.col("o_orderkey")
+    rows = views.table(spark, d, "orders").select(o.alias("id"), (o % 9 != 0).alias("gate"), (o % 4).alias("n_changed"), (o % 3).alias("n_renderable"), (o % 5 == 0).alias("inspected"), (o % 6).alias("inspections"), F.lit(4).alias("most"))
+    return rows.select("id", governance.gate().alias("act"))

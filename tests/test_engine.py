@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents, evaluation, governance, index, lexical, ranking
+from ledgerlens.operators import documents, evaluation, governance, index, lexical, ranking, store
 from ledgerlens.sources import files, views
 from ledgerlens.streaming import streams
 
@@ -277,3 +277,28 @@ def test_streams_equal_batch(spark, data):
     got = streams.drain(streams.stream_scores(streams.signals_stream(spark, data)), "test_scores", "complete")
     batch = streams.stream_scores(views.to_signals(events))
     assert got.count() == batch.count() and got.exceptAll(batch.select(*got.columns)).count() == 0
+
+
+def test_store_changes(spark, data):
+    now = views.now()
+    e = views.entries(spark, data)
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    flagged = store.flag_review(e, ids.withColumn("reason", F.lit("why")))
+    twice = store.flag_review(flagged, ids.withColumn("reason", F.lit("why")))
+    assert {r["id"] for r in flagged.filter("review_reason = 'why' and needs_review").collect()} == {1, 2} and flagged.exceptAll(twice).count() == 0
+    cleared = store.clear_review(flagged, ids)
+    assert cleared.filter("id in (1, 2) and (needs_review or review_reason is not null)").count() == 0 and cleared.filter("needs_review").count() == e.filter("needs_review").count()
+    assert store.touch(e, ids, now).filter(F.col("last_referenced_at") == now).filter("id in (1, 2)").count() == 2
+    none = spark.createDataFrame([], "entry_id long, action string, reason string, score double, created_at timestamp_ntz, resolved_at timestamp_ntz, resolution string")
+    want = spark.createDataFrame([(1, "promote", "r", 20.0), (1, "promote", "r", 20.0), (2, "retire", "r", 0.0)], "entry_id long, action string, reason string, score double")
+    first = store.request_approvals(none, want, now)
+    assert first.count() == 2 and store.request_approvals(first, want, now).count() == 0
+    assert store.list_entries(e, status="candidate", tier="project").count() == e.filter("status = 'candidate' and tier = 'project'").count()
+    with pytest.raises(ValueError, match="unknown status"):
+        store.list_entries(e, status="lost")
+    with pytest.raises(Exception, match="unknown signal"):
+        store.signal_rows(spark.createDataFrame([(1, "cheer", "")], "entry_id long, signal string, note string"), now).collect()
+    files_ = lambda *rows: spark.createDataFrame(rows, "path string, hash string")
+    assert {(r["path"], r["state"]) for r in store.stale_sources(files_(("a", "1"), ("b", "1"), ("c", "1")), files_(("a", "1"), ("b", "2"), ("d", "1"))).collect()} == {("b", "changed"), ("c", "gone"), ("d", "new")}
+    cited = store.cite(e, spark.createDataFrame([(1,), (10**9,)], "id long"))
+    assert {r["id"]: r["found"] for r in cited.collect()} == {1: True, 10**9: False}
