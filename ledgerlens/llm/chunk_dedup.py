@@ -2,8 +2,8 @@
 
 A gear rolling hash (16 bytes, 32 bits) runs over a text's UTF-8 bytes; a chunk ends where
 the hash is the largest of the 33 around it. Cuts depend on nearby bytes alone, so a passage
-is cut alike wherever it stands, a few dozen bytes after its start. Stretches without a cut are cut
-every 256 bytes. A chunk whose digest occurs in several documents is repeated; adjoining
+is cut alike wherever it stands, a few dozen bytes after its start. Text that repeats itself
+has no single largest hash; there the cuts are at equal hashes, 32 bytes apart or more. A chunk whose digest occurs in several documents is repeated; adjoining
 repeated chunks make a run, and runs of ``min_words`` words or more are reported. A run never exceeds what
 is really repeated, and lacks at most some chunks at its ends, so the default of 30 words catches passages of 50.
 
@@ -43,7 +43,7 @@ def gear(x: np.ndarray) -> np.ndarray:
 
 def cuts(x: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a byte array."""
-    n, found = len(x), []
+    n, found, level = len(x), [], []
     for at in range(0, n, _STEP):
         low, high = max(0, at - 3 * REACH), min(n, at + _STEP + REACH)
         h = gear(x[low:high])
@@ -54,18 +54,36 @@ def cuts(x: np.ndarray) -> np.ndarray:
         top = padded
         for s in (1, 2, 4, 8):
             top = np.maximum(top[:-s], top[s:])  # of 16 from each position on
-        m = len(h)
-        peak = np.flatnonzero((h > top[:m]) & (h >= top[REACH + 1 : REACH + 1 + m])) + low
-        peak = peak[(peak >= at) & (peak < at + _STEP)] + 1
-        found.append(peak[(peak >= REACH) & (peak <= n - REACH)])  # no crumbs at the ends of a text
+        before, after = top[: len(h)], top[REACH + 1 : REACH + 1 + len(h)]
+        high_ = (h >= before) & (h >= after)
+        for rows, peak in ((found, high_ & (h > before)), (level, high_)):
+            ends = np.flatnonzero(peak[at - low : at - low + _STEP]) + at + 1
+            rows.append(ends[(ends >= REACH) & (ends <= n - REACH)])  # no crumbs at the ends of a text
     ends = np.unique(np.concatenate([*found, [n]])).astype(np.int64)
     gaps = np.diff(ends, prepend=0)
-    if gaps.max(initial=0) > LONGEST:
-        extra = [np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST])]
+    wide = gaps > 4 * REACH
+    if wide.any():
+        ties = np.concatenate(level)
+        begin, end = (ends - gaps)[wide], ends[wide]
+        spans = zip(begin.tolist(), end.tolist(), np.searchsorted(ties, begin, "right").tolist(), np.searchsorted(ties, end).tolist())
+        extra = [_even(a, e, ties[i:j]) for a, e, i, j in spans if i < j or e - a > LONGEST]
         ends = np.unique(np.concatenate([ends, *extra]))
     return ends
 
 
+def _even(begin: int, end: int, ties: np.ndarray) -> np.ndarray:
+    """Cuts of a stretch without a peak, which is text that repeats itself: at equals of its hash's maximum, so always in the same phase."""
+    out, last = [], begin
+    for t in [*ties.tolist(), end]:
+        while t - last > LONGEST:
+            last += LONGEST
+            out.append(last)
+        if t < end and t - last >= 2 * REACH:
+            last = t
+            out.append(t)
+    return np.array(out, np.int64)
+
+
 def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(digests, ends in code points, words begun) of a text's chunks."""
     data = text.encode("utf-8", "replace")
