@@ -11,7 +11,7 @@ last one a prefix by tokens, up to and with the document that reaches the budget
 Orders come from a hash of seed, epoch, doc_id and the text's MD5; rows that agree in
 those are drawn together. Null domain, language or source is the node ``(none)``. Weights are
 non-negative integers, 1 where none is given; weight 0 takes nothing. Leaves without tokens
-yield nothing. Shares are rounded down, so a node may leave fewer tokens than it has children.
+yield nothing. Columns named ``mix_...`` are the operator's own. Shares are rounded down, so a node may leave fewer tokens than it has children.
 An empty table gives an empty result.
 """
 

@@ -246,7 +246,7 @@ def drop_near_duplicates(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = materialize(found.select("doc_id", "component_id"), "near-duplicates")
     gone = rows.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
     # texts move once at any size, so what a run needs grows with its input and not by a change of plan
-    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left_anti")
     ids = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] == ids["d"]:
         return kept
