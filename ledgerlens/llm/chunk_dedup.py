@@ -132,6 +132,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     found = materialize(chunks(docs), "chunks")
     shared = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("digest", "first")
+    shared = materialize(shared, "shared-chunks")  # the join then reads two plain shuffles, of which Spark splits hot digests
     hits = found.join(shared, "digest").select("doc", "row", "start", "end", "words", "first").distinct()
     by = Window.partitionBy("doc", "row").orderBy("start")
     hits = hits.withColumn("new", (F.coalesce(F.lag("end").over(by), F.lit(-1)) != F.col("start")).cast("int"))
