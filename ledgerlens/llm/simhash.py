@@ -199,9 +199,11 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = star.union(star.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first, so that the join reads plain shuffles, of which Spark splits the hubs of large groups
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "stars")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         star = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "stars")
         state = star.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -231,8 +233,8 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS,
 
 def _components(fps: DataFrame, distinct: DataFrame, roots: DataFrame, names: list[str]) -> DataFrame:
     roots = roots.select(F.col("node").alias("node_"), "root")
-    named = distinct.join(roots, distinct.node == roots.node_, "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
-    classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(distinct.join(roots, distinct.node == roots.node_, "left").select(*names, "least", F.coalesce("root", "node").alias("root")), "named")
+    classes = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     classes = materialize(named.join(classes, "root").select(*(F.col(c).alias(f"{c}_") for c in names), "component_id"), "classes")
     same = [fps[c] == classes[f"{c}_"] for c in names]
     return fps.join(classes, same, "left").select("doc_id", *names, "component_id")
