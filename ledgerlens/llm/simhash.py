@@ -26,7 +26,7 @@ from ledgerlens.llm.common import id_and_text, materialize
 
 #: (first bit, width) of each segment, from the least significant bit.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Buckets of more distinct fingerprints are split by a second pigeonhole on the other bits.
+#: Buckets of more distinct fingerprints are split: by a second pigeonhole on the other bits, wide ones into blocks that meet two by two.
 HOT_BUCKET = 50_000
 #: Of 128 bits, for a similarity of 0.8 between sets of five-word shingles (on average they differ in 19.5).
 WIDE_BITS = 19
@@ -147,21 +147,31 @@ def _variants(parts: int = 1) -> str:
     )
 
 
+def _crowded(distinct: DataFrame, parts: int, hot: int) -> DataFrame | None:
+    """(key, n) of the buckets that may hold over ``hot`` fingerprints, with how many; None if there are none.
+
+    A bucket holds the fingerprints of two values of its segment at most, so the values are counted, not the buckets.
+    """
+    spans = [(name, at, 64 * i + at, w) for i, name in enumerate(_names(parts)) for at, w in SEGMENTS]
+    values = ", ".join(f"struct({first} as s, shiftrightunsigned({name}, {at}) & {(1 << w) - 1}L as v)" for name, at, first, w in spans)
+    crowded = distinct.select(F.explode(F.expr(f"array({values})")).alias("x")).groupBy("x.s", "x.v").agg(F.count("*").alias("n"))
+    crowded = materialize(crowded.filter(F.col("n") > hot // 2), "simhash-hot")
+    if crowded.isEmpty():
+        return None
+    keys = " ".join(
+        f"when {first} then array({', '.join(f'({first + p}L << 32) | (v & {((1 << w) - 1) & ~(1 << p)}L)' for p in range(w))})" for _, _, first, w in spans
+    )
+    return crowded.select(F.explode(F.expr(f"case s {keys} end")).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def _split_hot(index: DataFrame, distinct: DataFrame, bits: int, hot: int) -> DataFrame:
     """Keys of buckets that may hold over ``hot`` fingerprints, extended by a piece of the other bits.
 
     The other 42 or 43 bits differ in at most ``bits``, so of ``bits`` + 1 pieces one is equal.
     """
-    values = ", ".join(f"struct({s} as s, shiftrightunsigned(fp, {at}) & {(1 << w) - 1}L as v)" for s, (at, w) in enumerate(SEGMENTS))
-    crowded = distinct.select(F.explode(F.expr(f"array({values})")).alias("x")).groupBy("x.s", "x.v").count()
-    crowded = materialize(crowded.filter(F.col("count") > hot // 2), "simhash-hot")
-    if crowded.isEmpty():
+    marked = _crowded(distinct, 1, hot)
+    if marked is None:
         return index
-    keys = " ".join(
-        f"when {s} then array({', '.join(f'({at + p}L << 32) | (v & {((1 << w) - 1) & ~(1 << p)}L)' for p in range(w))})"
-        for s, (at, w) in enumerate(SEGMENTS)
-    )
-    marked = crowded.select(F.explode(F.expr(f"case s {keys} end")).alias("key")).distinct().withColumn("crowded", F.lit(True))
     cases = []
     for at, w in SEGMENTS:
         other = f"(shiftrightunsigned(fp, {at + w}) << {at}) | (fp & {(1 << at) - 1}L)" if at + w < 64 else f"fp & {(1 << at) - 1}L"
@@ -171,10 +181,26 @@ def _split_hot(index: DataFrame, distinct: DataFrame, bits: int, hot: int) -> Da
             f"xxhash64(key, {i}, shiftrightunsigned({other}, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L)" for i in range(bits + 1)
         )
         cases.append(f"when key < {at + w}L << 32 then array({pieces})")
-    split = F.expr(f"case when crowded is null then array(key) {' '.join(cases)} end")
+    split = F.expr(f"case when n is null then array(key) {' '.join(cases)} end")
     return index.join(marked, "key", "left").select("fp", F.explode(split).alias("key"))
 
 
+def _split_blocks(index: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
+    """Buckets that may hold over ``hot`` wide fingerprints become one bucket for each two of their blocks.
+
+    A second pigeonhole would not tell them apart: too many of the other bits may differ. A block has about
+    ``hot`` / 2 fingerprints and meets every other one, so no two lose sight of each other.
+    """
+    marked = _crowded(distinct, 2, hot)
+    if marked is None:
+        return index
+    index = index.join(marked, "key", "left").withColumn("blocks", F.greatest(F.lit(2), F.ceil(F.col("n") / (hot / 2))).cast("int"))
+    own = "cast(pmod(xxhash64(node, 1), blocks) as int)"
+    others = f"filter(sequence(0, blocks - 1), b -> b <> {own})"
+    split = F.expr(f"case when n is null then array(key) else transform({others}, b -> xxhash64(key, least(b, {own}), greatest(b, {own}))) end")
+    return index.select("node", "fp", "fp1", F.explode(split).alias("key"))
+
+
 def links(distinct: DataFrame, bits: int = 4, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(u, v), u > v: links that connect whatever fingerprints differ in at most ``bits`` bits."""
     if not 0 <= bits <= 5:
@@ -188,9 +214,10 @@ def _meet(index: DataFrame, bits: int, parts: int) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits, parts), "u long, v long").distinct()
 
 
-def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
+def wide_links(distinct: DataFrame, bits: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(u, v) among (node, fp, fp1): fingerprints of 128 bits that differ in at most ``bits``, if one of their six segments differs in one bit or none."""
-    return _meet(distinct.select("node", "fp", "fp1", F.explode(F.expr(f"array({_variants(2)})")).alias("key")), bits, 2)
+    index = distinct.select("node", "fp", "fp1", F.explode(F.expr(f"array({_variants(2)})")).alias("key"))
+    return _meet(_split_blocks(index, distinct, hot_bucket), bits, 2)
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -220,7 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int =
     return _components(fps, distinct, connected(links(distinct, bits, hot_bucket)), ["fp"])
 
 
-def wide_near_duplicates(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS, seed: int = 42) -> DataFrame:
+def wide_near_duplicates(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS, seed: int = 42, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(doc_id, fp, fp1, component_id) by fingerprints of 128 bits.
 
     For a similarity of 0.8 the fingerprints differ in about 20 of 128 bits, far more than any
@@ -228,7 +255,7 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS,
     """
     fps = materialize(fingerprints(docs, words, seed, 2), "fingerprints")
     distinct = materialize(fps.groupBy("fp", "fp1").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "fp1")), "distinct")
-    return _components(fps, distinct, connected(wide_links(distinct, bits)), ["fp", "fp1"])
+    return _components(fps, distinct, connected(wide_links(distinct, bits, hot_bucket)), ["fp", "fp1"])
 
 
 def _components(fps: DataFrame, distinct: DataFrame, roots: DataFrame, names: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import audio, chunk_dedup, decontaminate, language, mixing, pii, quality, queries, sharding, simhash, token_counts
 from ledgerlens.llm.common import table
@@ -390,6 +391,42 @@ def test_links_lose_nothing(spark, hot):
     assert {frozenset(g) for g in want.values()} == {frozenset(f for f in fps if top(f) == t) for t in {top(f) for f in fps}}
 
 
+def test_wide_links_lose_nothing_in_hot_buckets(spark):
+    r = random.Random(9)
+    fps = {(0x1234 << 107) | r.getrandbits(107) for _ in range(40)}  # all in the buckets of one segment
+    for x in list(fps):
+        for _ in range(4):
+            x ^= sum(1 << b for b in r.sample(range(107), r.randint(1, 24)))
+            fps.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, signed(x >> 64), signed(x & (2**64 - 1))) for i, x in enumerate(sorted(fps))]
+    table_ = spark.createDataFrame(rows, "node long, fp long, fp1 long")
+    near = {(b, a) for b, x in enumerate(sorted(fps)) for a, y in enumerate(sorted(fps)[:b]) if (x ^ y).bit_count() <= simhash.WIDE_BITS}
+
+    def groups(edges):
+        up = list(range(len(fps)))
+        for a, b in sorted(edges):
+            old, new = up[a], up[b]
+            up = [new if u == old else u for u in up]
+        return up
+
+    same = lambda up: {frozenset(i for i, u in enumerate(up) if u == t) for t in up}
+    for hot in (8, 50, simhash.HOT_BUCKET):
+        found = {(e["u"], e["v"]) for e in simhash.wide_links(table_, simhash.WIDE_BITS, hot).collect()}
+        assert found <= near and same(groups(found)) == same(groups(near))
+
+
+def test_training_samples_stay_bounded(spark):
+    """One group of copies, or one id, that holds most rows does not take over a training sample."""
+    words = {"en": "the quick brown fox", "de": "der schnelle braune fuchs", "fr": "le vif renard brun"}
+    rows = [(f"{w} {i}", lang) for lang, w in words.items() for i in range(40)] + [("the same english text", "en")] * 6000
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample=300)
+    assert sorted(sum(model.members.values(), [])) == ["de", "en", "fr"]
+    docs = spark.createDataFrame([(i % 60, f"text {i % 60} " * 20) for i in range(300)] + [(0, "copy " * 30)] * 5000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert len(quality.fit(docs, labels, F.lit(True)).good) > 0
+
+
 def test_simhash_on_odd_tables(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS) and simhash.near_duplicates(empty).count() == 0
