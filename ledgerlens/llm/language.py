@@ -4,7 +4,7 @@ Features are hashed byte n-grams of the lower-cased letters of the whole text. A
 classifier (one against the rest) picks the language family; inside a family of several
 languages, linear support vector machines, one for each pair of languages, vote.
 
-Training takes a bounded sample of labelled rows (``sample`` documents at most, shared
+Training takes a bounded sample of labelled rows (about ``sample`` different texts, shared
 equally by the languages), whose feature vectors alone reach the driver. Texts that are
 null or hold no letter are ``und`` with score 0, as is everything where no row is labelled.
 Repeated rows get equal results; an empty table gives an empty result.
@@ -108,7 +108,8 @@ class Model:
 def fit(labelled: DataFrame, families: dict[str, str] | None = None, sample: int = SAMPLE) -> Model:
     """Train on (text, lang) rows; lang is not null. Rows are drawn by a hash of their text, each language equally."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, sample // 8)).collect()}
+    different = F.approx_count_distinct("text", 0.02).alias("n")  # copies count once, else a large group of them would be the sample
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(different).orderBy(F.desc("n"), "lang").limit(max(1, sample // 8)).collect()}
     if not sizes:
         return Model()
     each = sample // len(sizes)
@@ -123,7 +124,7 @@ def fit(labelled: DataFrame, families: dict[str, str] | None = None, sample: int
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([l for l, _ in found]), pa.array([v for _, v in found], pa.binary())], ["lang", "v"])
 
-    vectors = rows.filter(drawn < cut).mapInArrow(run, "lang string, v binary").limit(2 * sample).collect()
+    vectors = rows.filter(drawn < cut).dropDuplicates().mapInArrow(run, "lang string, v binary").limit(2 * sample).collect()
     vectors.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     if not vectors:
         return Model()
