@@ -97,6 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     cut = F.when(F.col("quality") == 1, int((1 << 20) * min(1, sample / sizes[1]))).otherwise(int((1 << 20) * min(1, sample / sizes[0])))
     marks = marks.filter(draw < cut)
     rows = id_and_text(docs).join(F.broadcast(marks.limit(4 * sample)), F.col("doc_id") == F.col("label_id"))  # at most 4 * sample rows of two numbers
+    rows = rows.groupBy("label_id", "quality").agg(F.min("text").alias("text"))  # one text for each label, however many rows share its id
     half = F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(2))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
