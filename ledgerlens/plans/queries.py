@@ -526,7 +526,7 @@ def stream_label_join(spark, d):
     e = streams.read_events(spark, d)
     log = e.filter("event_type = 'view'").select(F.col("event_id").alias("row_id"), F.col("ts").alias("at"), F.col("user_id").alias("entry_id"))
     marks = streams.signals_stream(spark, d).filter("signal = 'human-confirm'")
-    rows = streams.drain(streams.stream_labels(log, marks), f"labels_{abs(hash(d)) % 10**6}", "append")
+    rows = streams.drain(streams.stream_labels(log, marks, watermark=streams.span(spark, d)), f"labels_{abs(hash(d)) % 10**6}", "append")
     return rows.groupBy("row_id").agg(F.count("*").alias("confirmations"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlens.functions import params as p
+from ledgerlens.operators.shared import shared_path
 from ledgerlens.sources.views import to_signals
 
 
@@ -48,11 +49,28 @@ def stream_labels(log: DataFrame, signals: DataFrame, days: int = p.LABEL_DAYS,
 
 
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there and give what its table holds then."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there and give what it put out: in mode complete the last batch, else all batches.
+
+    Batches and state go to the shared checkpoint folder; a batch that runs again replaces its own files.
+    """
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, name)
+    last: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/{number}")
+        last[:] = [number]
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batches/{last[0] if mode == 'complete' else '*'}")
+
+
+def span(spark: SparkSession, sf_dir: str) -> str:
+    """A watermark under which no row of a finished table is late: the time between its first and last event."""
+    first, last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min("ts"), F.max("ts")).first()
+    return f"{(last - first).days + 1} days" if last else "1 day"
 
 
 def signals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
