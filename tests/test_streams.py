@@ -18,9 +18,9 @@ def test_many_files_out_of_order(spark, data, tmp_path, name):
     con.execute(f"create view events as select * from '{data}/events.parquet'")
     folder = tmp_path / "events.parquet"
     folder.mkdir()
-    for i in range(12):  # the oldest file holds the latest events
+    for i in range(30):  # the oldest file holds the latest events
         path = folder / f"{i:02}.parquet"
-        con.execute(f"copy (select * exclude part from (select *, ntile(12) over (order by ts desc, event_id) as part from events) where part = {i + 1}) to '{path}' (format parquet)")
+        con.execute(f"copy (select * exclude part from (select *, ntile(30) over (order by ts desc, event_id) as part from events) where part = {i + 1}) to '{path}' (format parquet)")
         os.utime(path, (1_700_000_000 + 60 * i,) * 2)
     got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
     names = want.columns
