@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is set and all runs on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,9 +44,25 @@ def body(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def doc_number(column: str = "doc_id") -> Column:
+    """The id as a number; null where it is none."""
+    return F.col(column).try_cast("long")
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
-    """Only ``doc_id`` and ``text`` (null: empty), so that no other column can clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    """Only ``doc_id`` (null where it is no number) and ``text`` (null: empty), so that no other column can clash."""
+    return docs.select(doc_number().alias("doc_id"), body().alias("text"))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[Column], values: list[str], name: str) -> DataFrame:
@@ -52,20 +70,38 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[Column], values: li
 
     Rows are range-partitioned by group and order, so that one hot group spreads over many
     tasks; each partition's totals give the base of the next one, and only those totals (one
-    row per partition and group) meet in one place. Rows that tie in ``order`` come in any
-    order. Group columns must not be null.
+    row per partition and group) meet in one place. A base joins its rows as one more row, which
+    sorts first, so the sums are made where the range partitions are. Rows that tie in ``order``
+    come in any order. Group columns must not be null.
     """
     spark = df.sparkSession
-    parts = materialize(
-        df.repartitionByRange(shuffle_partitions(spark), *group, *order).withColumn("pid", F.spark_partition_id()), name
-    )
+    n = shuffle_partitions(spark)
+    parts = materialize(df.repartitionByRange(n, *group, *order).withColumn("pid", F.spark_partition_id()), name)
     keys = [*group, "pid"]
-    totals = parts.groupBy(*keys).agg(*(F.sum(v).alias(f"total_{v}") for v in values))
+    totals = parts.groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))
     earlier = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, *(F.coalesce(F.sum(f"total_{v}").over(earlier), F.lit(0)).alias(f"base_{v}") for v in values))
-    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        parts.join(bases, keys)
-        .withColumns({f"before_{v}": F.col(f"base_{v}") + F.coalesce(F.sum(v).over(local), F.lit(0)) for v in values})
-        .drop("pid", *(f"base_{v}" for v in values))
-    )
+    bases = totals.select(*keys, *(F.sum(v).over(earlier).alias(v) for v in values), F.lit(0).alias("of_row"))
+    rows = parts.withColumn("of_row", F.lit(1)).unionByName(bases, allowMissingColumns=True).repartitionById(n, F.col("pid"))
+    local = Window.partitionBy(*keys).orderBy("of_row", *order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"before_{v}": F.coalesce(F.sum(v).over(local), F.lit(0)) for v in values}
+    return rows.withColumns(sums).filter("of_row = 1").drop("pid", "of_row")
+
+
+def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root): the least node of each component of links (u, v), by alternating large and small stars."""
+    star = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    seen = None
+    for _ in range(rounds):
+        both = star.union(star.select("v", "u")).toDF("u", "v")
+        # written first, so that the join reads plain shuffles, of which Spark splits the hubs of large groups
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large, "stars")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        star = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "stars")
+        state = star.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == seen:
+            return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seen = state
+    raise RuntimeError("components did not settle")

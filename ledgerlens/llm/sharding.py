@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import body, prefix_sums
+from ledgerlens.llm.common import body, doc_number, prefix_sums
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): slot counts from 0 within each shard."""
     text = body()
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        doc_number().alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit(1).cast("long").alias("one"),

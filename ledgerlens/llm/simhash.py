@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_and_text, materialize
+from ledgerlens.llm.common import connected, id_and_text, materialize
 
 #: (first bit, width) of each segment, from the least significant bit.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -220,26 +220,6 @@ def wide_links(distinct: DataFrame, bits: int, hot_bucket: int = HOT_BUCKET) ->
     return _meet(_split_blocks(index, distinct, hot_bucket), bits, 2)
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each component, by alternating large and small stars."""
-    star = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    seen = None
-    for _ in range(rounds):
-        both = star.union(star.select("v", "u")).toDF("u", "v")
-        # written first, so that the join reads plain shuffles, of which Spark splits the hubs of large groups
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large, "stars")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        star = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "stars")
-        state = star.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
-    raise RuntimeError("components did not settle")
-
-
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least doc_id reachable."""
     fps = materialize(fingerprints(docs, words, seed), "fingerprints")

@@ -7,40 +7,15 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import pytest
-import xxhash
 
 import __spark_entry__ as entry
-from ledgerlens.llm import decontaminate, quality, queries, simhash
+from ledgerlens.llm import decontaminate, quality, queries
 from ledgerlens.llm.common import materialize, table
 
+from .test_near_copies import groups_of
 from .test_operators import _domain, _mixture
 
 
-def _wide(texts: dict[int, str]) -> set[int]:
-    """Documents that stay, by comparing all fingerprints: linked if near, and alike in a segment but for one bit."""
-    fps = {}
-    for d, text in texts.items():
-        tokens = text.encode().lower().split()
-        grams = [b" ".join(tokens[i : i + 5]) for i in range(len(tokens) - 4)] or ([b" ".join(tokens)] if tokens else [])
-        h = [xxhash.xxh3_128_intdigest(g, 42) for g in grams]
-        fps[d] = sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    cuts = [(64 * i + at, w) for i in (0, 1) for at, w in simhash.SEGMENTS]
-    alike = lambda x: x.bit_count() <= simhash.WIDE_BITS and any(((x >> at) & ((1 << w) - 1)).bit_count() <= 1 for at, w in cuts)
-    up = {d: d for d in fps}
-
-    def top(d):
-        while up[d] != d:
-            d = up[d]
-        return d
-
-    ids = sorted(fps)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if alike(fps[a] ^ fps[b]) and top(a) != top(b):
-                up[max(top(a), top(b))] = min(top(a), top(b))
-    return {top(d) for d in ids}
-
-
 def test_stages(spark, data):
     docs = table(spark, data, "documents")
     columns = docs.columns
@@ -55,7 +30,8 @@ def test_stages(spark, data):
             scorer = queries.quality_model(spark, data, given).scorer()
             assert {r["doc_id"] for r in after} == {d for d, r in before.items() if scorer(r["text"] or "")[0] >= 0.5}
         elif name == "near_duplicates":
-            assert sorted(r["doc_id"] for r in after) == sorted(_wide({d: r["text"] or "" for d, r in before.items()}))
+            ids = sorted(before)  # all pairs by true similarity
+            assert sorted(r["doc_id"] for r in after) == sorted({ids[i] for i in groups_of([before[d]["text"] for d in ids])})
         elif name == "decontamination":
             gone = set(before) - {r["doc_id"] for r in after}
             assert {d for d, r in before.items() if any(i in decontaminate.plain(r["text"] or "") for i in items)} <= gone
