@@ -3,14 +3,18 @@
 A gear rolling hash (16 bytes, 32 bits) runs over a text's UTF-8 bytes; a chunk ends where
 the hash is the largest of the 33 around it. Cuts depend on nearby bytes alone, so a passage
 is cut alike wherever it stands, a few dozen bytes after its start. Text that repeats itself
-has no single largest hash; there the cuts are at equal hashes, 32 bytes apart or more. A chunk whose digest occurs in several documents is repeated; adjoining
-repeated chunks make a run, and runs of ``min_words`` words or more are reported. A run never exceeds what
-is really repeated, and lacks at most some chunks at its ends, so the default of 30 words catches nearly all passages of
-50 words and, as measured, all of 80.
-
-The first document (least doc_id) of each chunk keeps it. Rows that share a doc_id are one
-document; rows without one are told apart by their text. Equal rows count once. Null and empty texts have no
-chunks; an empty table gives an empty result. start and end count code points.
+has no single largest hash; there the cuts are at equal hashes, 32 bytes apart or more.
+
+Chunks are deduplicated by digest in spans: from each chunk as many as make ``SPAN_WORDS`` words.
+A span whose digest occurs in several documents stands word for word in each of them. Spans
+that overlap and have the same partner (the least document that has them; for that one the
+greatest) make a run. Cuts lose a few dozen bytes at a passage's ends, so a run of fewer than ``min_words`` words is
+compared with its partner's text and grows as far as both agree. Runs of ``min_words`` or more are reported.
+
+The least document of each span keeps it (documents sort by doc_id; one without an id counts by
+its text's hash). Rows that share a doc_id are one document; rows without one are told apart by
+their text. Equal rows count once. Null and empty texts have no chunks; an empty table gives an empty
+result. A doc_id that is no number counts as null. start and end count code points.
 """
 
 from __future__ import annotations
@@ -20,18 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import body, id_and_text, materialize
+from ledgerlens.llm.common import body, doc_number, materialize, unused
 
 REACH = 16
 LONGEST = 256
-MIN_WORDS = 30
+SPAN_WORDS = 30
+#: Passages of over 50 words.
+MIN_WORDS = 51
 _STEP = 1 << 22
 #: One random 32-bit number for each byte, from a fixed rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 2024) for b in range(256)], np.uint32)
-CHUNKS = "doc long, row long, digest long, start int, end int, words int"
+SPANS = "doc long, row int, digest long, start int, end int, word int, words int"
 
 
 def gear(x: np.ndarray) -> np.ndarray:
@@ -86,35 +92,44 @@ def _even(begin: int, end: int, ties: np.ndarray) -> np.ndarray:
 
 
 def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digests, ends in code points, words begun) of a text's chunks."""
-    data = text.encode("utf-8", "replace")
-    x = np.frombuffer(data, np.uint8)
+    """(ends in bytes, ends in code points, words begun up to each end) of a text's chunks."""
+    x = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     ends = cuts(x)
-    view, begin, digests = memoryview(data), 0, np.empty(len(ends), np.uint64)
-    for i, e in enumerate(ends.tolist()):
-        digests[i] = xxhash.xxh3_64_intdigest(view[begin:e])
-        begin = e
     letters = np.cumsum((x & 0xC0) != 0x80, dtype=np.int64)
     dark = x > 32
     words = np.cumsum(dark & ~np.concatenate([[False], dark[:-1]]), dtype=np.int64)
-    return digests.view(np.int64), letters[ends - 1].astype(np.int32), np.diff(words[ends - 1], prepend=0).astype(np.int32)
+    return ends, letters[ends - 1], words[ends - 1]
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc, row, digest, start, end, words) of every chunk; doc names the document, row its text."""
+def text_spans(text: str, span_words: int) -> tuple[np.ndarray, ...]:
+    """(digests, starts, ends, first word, words) of a text's spans, in code points; none where fewer words are left."""
+    data = memoryview(text.encode("utf-8", "replace"))
+    ends, letters, words = (np.r_[0, c] for c in chunk(text))
+    last = np.searchsorted(words, words[:-1] + span_words)
+    n = int(np.searchsorted(last, len(ends)))  # of these spans the text has enough words
+    last = last[:n]
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(ends[:n].tolist(), ends[last].tolist())), np.uint64, n)
+    return digests.view(np.int64), letters[:n].astype(np.int32), letters[last].astype(np.int32), words[:n].astype(np.int32), (words[last] - words[:n]).astype(np.int32)
+
+
+def _marks() -> tuple[Column, Column]:
+    """(doc, row) of a row: the document, and its text's hash, which is negative where there is no id."""
+    number, text = doc_number(), F.hash(body()).bitwiseAND(F.lit((1 << 31) - 1))
+    return F.coalesce(number, F.xxhash64(body())), F.when(number.isNull(), -1 - text).otherwise(text)
+
+
+def spans(docs: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
+    """(doc, row, digest, start, end, word, words) of every span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([*((c, pa.int64()) for c in ("doc", "row", "digest")), *((c, pa.int32()) for c in ("start", "end", "words"))])
+        schema = pa.schema([("doc", pa.int64()), ("row", pa.int32()), ("digest", pa.int64()), *((c, pa.int32()) for c in ("start", "end", "word", "words"))])
         for b in batches:
             parts, size = [], 0
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                text = t.as_py()
-                if text:
-                    mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), (doc_id or 0) & (2**64 - 1))
-                    doc = -2 - (mark >> 2) if doc_id is None else doc_id
-                    digests, ends, words = chunk(text)
-                    n = len(ends)
-                    parts.append((np.full(n, doc), np.full(n, mark, np.uint64).view(np.int64), digests, np.r_[np.int32(0), ends[:-1]], ends, words))
+            for doc, row, t in zip(b.column("doc").to_pylist(), b.column("row").to_pylist(), b.column("text")):
+                if text := t.as_py():
+                    found = text_spans(text, span_words)
+                    n = len(found[0])
+                    parts.append((np.full(n, doc), np.full(n, row, np.int32), *found))
                     size += n
                 if size > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
@@ -122,62 +137,116 @@ def chunks(docs: DataFrame) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
 
-    return id_and_text(docs).mapInArrow(run, CHUNKS)
+    doc, row = _marks()
+    return docs.select(doc.alias("doc"), row.alias("row"), body().alias("text")).mapInArrow(run, SPANS)
+
+
+def _common_words(text: str, start: int, end: int, other: str) -> tuple[int, int, int]:
+    """(words, start, end) of the longest stretch around text[start:end] that both texts have; only whole words count."""
+    own, partner = (np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t in (text, other))
+    part, best, at = text[start:end], (0, start, end), other.find(text[start:end])
+    while at >= 0:
+        left = _agree(own[:start][::-1], partner[:at][::-1])
+        right = _agree(own[end:], partner[at + len(part) :])
+        a, b = start - left, end + right
+        inside = text[a:b]
+        cut = [x is not None and not x.isspace() for t, i, j in ((text, a, b), (other, at - left, at + len(part) + right)) for x in (t[i - 1] if i else None, t[j] if j < len(t) else None)]
+        words = len(inside.split()) - (not inside[0].isspace() and (cut[0] or cut[2])) - (not inside[-1].isspace() and (cut[1] or cut[3]))
+        best = max(best, (words, a, b), key=lambda x: x[0])
+        at = other.find(part, at + 1)
+    return best
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> int:
+    """How many leading elements are equal."""
+    n = min(len(x), len(y))
+    unequal = np.flatnonzero(x[:n] != y[:n])
+    return int(unequal[0]) if len(unequal) else n
+
+
+def _grown(short: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
+    """The runs, grown to where the texts of their document and its partner agree, that then have ``min_words`` words."""
+    doc, row = _marks()
+    needed = short.select("doc", "row").union(short.select("partner", "partner_row")).distinct()
+    texts = docs.select(doc.alias("doc"), row.alias("row"), body().alias("text")).join(needed, ["doc", "row"], "left_semi")
+    texts = materialize(texts.dropDuplicates(["doc", "row"]), "run-texts")
+    own, other = texts.withColumnRenamed("text", "own"), texts.toDF("partner", "partner_row", "other")
+    columns = short.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_common_words(*r) for r in zip(*(b.column(c).to_pylist() for c in ("own", "start", "end", "other")))]
+            words, starts, ends = (pa.array(c, pa.int32()) for c in (zip(*found) if found else ([], [], [])))
+            new = {"words": words, "start": starts, "end": ends}
+            out = pa.RecordBatch.from_arrays([new.get(f.name, b.column(f.name)) for f in columns], [f.name for f in columns])
+            yield out.filter(pa.array([w >= min_words for w in words.to_pylist()], pa.bool_()))
+
+    return short.join(own, ["doc", "row"]).join(other, ["partner", "partner_row"]).select(*short.columns, "own", "other").mapInArrow(run, columns)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, start, end, words, first_doc_id, drops) of each run of repeated chunks.
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, span_words: int = SPAN_WORDS) -> DataFrame:
+    """(doc_id, doc, row, start, end, words, first_doc_id, drops) of each repeated passage.
 
-    first_doc_id is the least document that holds a chunk of the run (null if it has no id);
-    drops lists the parts of the run, as (start, end), that an earlier document keeps.
+    A passage joins the runs that overlap; words is the longest run's. first_doc_id is the least
+    document that holds a span of the passage (null if it has no id); drops lists the parts, as
+    (start, end), that an earlier document keeps.
     """
-    found = materialize(chunks(docs), "chunks")
-    shared = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("digest", "first")
-    shared = materialize(shared, "shared-chunks")  # the join then reads two plain shuffles, of which Spark splits hot digests
-    hits = found.join(shared, "digest").select("doc", "row", "start", "end", "words", "first").distinct()
-    by = Window.partitionBy("doc", "row").orderBy("start")
-    hits = hits.withColumn("new", (F.coalesce(F.lag("end").over(by), F.lit(-1)) != F.col("start")).cast("int"))
-    hits = hits.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    part = F.when(F.col("first") < F.col("doc"), F.struct("start", "end"))
-    runs = hits.groupBy("doc", "row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first").alias("first"), F.sort_array(F.collect_list(part)).alias("parts")
-    )
-    joined = F.aggregate(
+    found = materialize(spans(docs, span_words), "spans")
+    shared = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("row", "doc").alias("first_row"), F.max_by("row", "doc").alias("last_row"))
+    shared = materialize(shared.filter("first <> last"), "shared-spans")  # the join then reads two plain shuffles, of which Spark splits hot digests
+    is_first = F.col("doc") == F.col("first")
+    hits = found.join(shared, "digest").select(
+        "doc", "row", "start", "end", "word", "words", "first", "first_row",
+        F.when(is_first, F.col("last")).otherwise(F.col("first")).alias("partner"), F.when(is_first, F.col("last_row")).otherwise(F.col("first_row")).alias("partner_row"),
+    ).distinct()
+    key = ["doc", "row", "partner", "partner_row", "first", "first_row"]
+    by = Window.partitionBy("doc", "row").orderBy("start", "partner")
+    apart = (F.coalesce(F.lag("partner").over(by) != F.col("partner"), F.lit(True)) | (F.lag("end").over(by) <= F.col("start"))).cast("int")
+    hits = hits.withColumn("run", F.sum(apart).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = hits.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"))
+    dropped = F.when(F.col("first") != F.col("doc"), F.array(F.struct("start", "end"))).otherwise(F.expr("cast(array() as array<struct<start: int, end: int>>)"))
+    runs = materialize(runs.drop("run").withColumn("drops", dropped), "runs")
+    enough = F.col("words") > int(min_words)  # a run's last word may be cut short
+    runs = runs.filter(enough).unionByName(_grown(runs.filter(~enough), docs, int(min_words)))
+    by = Window.partitionBy("doc", "row").orderBy("start", "end")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.coalesce((reach <= F.col("start")).cast("int"), F.lit(1)))
+    runs = runs.withColumn("passage", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    named = lambda c, row: F.when(row >= 0, c)
+    out = runs.groupBy("doc", "row", "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("words").alias("words"), F.min("first").alias("first"), F.min_by("first_row", "first").alias("first_row"),
+        F.sort_array(F.flatten(F.collect_list("drops"))).alias("parts"),
+    )
+    merged = F.aggregate(
         "parts",
         F.expr("cast(array() as array<struct<start: int, end: int>>)"),
-        lambda out, x: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] == x["start"]),
-            F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), x["end"].alias("end"))))
+        lambda out, x: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= x["start"]),
+            F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], x["end"]).alias("end"))))
         ).otherwise(F.concat(out, F.array(x))),
     )
-    known = lambda c: F.when(F.col(c) > -2, F.col(c))
-    return runs.filter(F.col("words") >= int(min_words)).select(
-        known("doc").alias("doc_id"), "row", "start", "end", "words", known("first").alias("first_doc_id"), joined.alias("drops")
+    return out.select(
+        named(F.col("doc"), F.col("row")).alias("doc_id"), "doc", "row", "start", "end", "words", named(F.col("first"), F.col("first_row")).alias("first_doc_id"), merged.alias("drops")
     )
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, all columns, without the passages that an earlier document keeps."""
     runs = repeated_passages(docs, min_words).filter("size(drops) > 0")
-    drops = runs.groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("drops"))).alias("cut_drops")).withColumnRenamed("row", "cut_row")
+    names = unused(docs, "doc", "row", "drops")
+    drops = runs.groupBy("doc", "row").agg(F.sort_array(F.flatten(F.collect_list("drops"))).alias("drops")).toDF(*names)
     at, columns = docs.columns.index("text"), docs.schema
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column("cut_id").to_pylist(), b.column("cut_text")
-            marks = np.array([xxhash.xxh3_64_intdigest(t.as_py().encode("utf-8", "replace"), (i or 0) & (2**64 - 1)) for i, t in zip(ids, texts)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(marks.view(np.int64))], names=[*b.schema.names[:-2], "cut_row"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for t, drops in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                for d in reversed(drops or []):
+            for t, parts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                for d in reversed(parts or []):
                     t = t[: d["start"]] + t[d["end"] :]
                 texts.append(t)
             out = b.columns[: len(columns)]
             out[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(out, names=b.schema.names[: len(columns)])
 
-    marked = docs.withColumns({"cut_id": F.col("doc_id").cast("long"), "cut_text": body()})
-    marked = marked.mapInArrow(mark, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in columns)}, cut_row long")
-    return marked.join(drops, "cut_row", "left").select(*docs.columns, "cut_drops").mapInArrow(cut, columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumns(dict(zip(names, _marks()))).join(drops, names[:2], "left")
+    return marked.select(*own, names[2]).mapInArrow(cut, columns)

@@ -26,61 +26,38 @@ from ledgerlens.llm.common import connected, id_and_text, materialize
 
 #: (first bit, width) of each segment, from the least significant bit.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Buckets of more distinct fingerprints are split: by a second pigeonhole on the other bits, wide ones into blocks that meet two by two.
+#: Buckets of more distinct fingerprints are split by a second pigeonhole on the other bits.
 HOT_BUCKET = 50_000
-#: Of 128 bits, for a similarity of 0.8 between sets of five-word shingles (on average they differ in 19.5).
-WIDE_BITS = 19
 _SMALL_RUN = 8
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+_PLACES = np.arange(8, dtype=np.int64) * 256
 
 
 def simhash(text: bytes, words: int, seed: int) -> int:
     """Signed 64-bit fingerprint of a UTF-8 text: majority bits over its word shingles."""
-    return _majority(text, words, seed, xxhash.xxh64_digest, 8)[0]
-
-
-def _majority(text: bytes, words: int, seed: int, digest, size: int) -> list[int]:
-    """Fingerprint of ``size`` bytes as signed 64-bit numbers."""
     tokens = text.lower().split()
     if not tokens:
-        return [0] * (size // 8)
+        return 0
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        digests = digest(joined, seed)
+        digests = xxhash.xxh64_digest(joined, seed)
     else:
         ends = list(accumulate(len(t) + 1 for t in tokens))
-        digests = b"".join([digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[words - 1 :])])
-    lanes = np.frombuffer(digests, np.uint8).reshape(-1, size)
-    places = np.arange(size, dtype=np.int64) * 256
-    ones = np.bincount((lanes + places).ravel(), minlength=size * 256).reshape(size, 256) @ _BITS
-    return np.packbits((2 * ones > len(lanes)).ravel()).view(">i8").tolist()
-
-
-#: How to hash shingles for fingerprints of one or two 64-bit parts.
-_DIGESTS = {1: (xxhash.xxh64_digest, 8), 2: (xxhash.xxh3_128_digest, 16)}
+        digests = b"".join([xxhash.xxh64_digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[words - 1 :])])
+    lanes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    ones = np.bincount((lanes + _PLACES).ravel(), minlength=8 * 256).reshape(8, 256) @ _BITS
+    return int(np.packbits((2 * ones > len(lanes)).ravel()).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, parts: int = 1) -> DataFrame:
-    """(doc_id, fp, ...) of every row; a wide fingerprint has its other parts in fp1."""
-    names = _names(parts)
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, fp) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, size = _DIGESTS[parts]
         for b in batches:
-            fps = np.array([_majority(t, words, seed, digest, size) for t in b.column("text").to_pylist()], np.int64).reshape(-1, parts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(fps[:, i]) for i in range(parts))], ["doc_id", *names])
-
-    source = id_and_text(docs).withColumn("text", F.col("text").cast("binary"))
-    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
-
-
-def _names(parts: int) -> list[str]:
-    return ["fp", *(f"fp{i}" for i in range(1, parts))]
-
+            fps = [simhash(t, words, seed) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints, one row each."""
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return id_and_text(docs).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -91,18 +68,16 @@ def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             a = queue.pop()
-            near = _apart(fps[rest], fps[a]) <= bits
+            near = np.bitwise_count(fps[rest] ^ fps[a]) <= bits
             found, rest = rest[near], rest[~near]
             edges += [(int(a), int(b)) for b in found]
             queue.extend(found)
     return edges
 
 
-def _links(bits: int, parts: int):
-    names = _names(parts)
-
+def _links(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def scan(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+        def scan(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             lengths = np.diff(np.r_[starts, len(keys)])
             a, b = [], []
@@ -110,7 +85,7 @@ def _links(bits: int, parts: int):
                 at = starts[lengths == n]
                 for i in range(n - 1):
                     for j in range(i + 1, n):
-                        near = _apart(fps[at + i], fps[at + j]) <= bits
+                        near = np.bitwise_count(fps[at + i] ^ fps[at + j]) <= bits
                         a.append(at[near] + i)
                         b.append(at[near] + j)
             for s, n in zip(starts[lengths > _SMALL_RUN], lengths[lengths > _SMALL_RUN]):
@@ -120,47 +95,40 @@ def _links(bits: int, parts: int):
                     b.append(pairs[:, 1])
             if not a or not sum(map(len, a)):
                 return None
-            u, v = nodes[np.concatenate(a)], nodes[np.concatenate(b)]
+            u, v = fps[np.concatenate(a)].view(np.int64), fps[np.concatenate(b)].view(np.int64)
             pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-        keys, nodes, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, parts), np.uint64)
+        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
         for batch in batches:
             keys = np.r_[keys, batch.column("key").to_numpy()]
-            nodes = np.r_[nodes, batch.column("node" if parts > 1 else "fp").to_numpy()]
-            fps = np.concatenate([fps, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1)])
+            fps = np.r_[fps, batch.column("fp").to_numpy().view(np.uint64)]
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-            if whole and (out := scan(keys[:whole], nodes[:whole], fps[:whole])):
+            if whole and (out := scan(keys[:whole], fps[:whole])):
                 yield out
-            keys, nodes, fps = keys[whole:], nodes[whole:], fps[whole:]
-        if len(keys) and (out := scan(keys, nodes, fps)):
+            keys, fps = keys[whole:], fps[whole:]
+        if len(keys) and (out := scan(keys, fps)):
             yield out
 
     return run
 
 
-def _variants(parts: int = 1) -> str:
-    """SQL array of the 64 index keys of each part: position above bit 32, segment less one bit below."""
-    return ", ".join(
-        f"({64 * i + at + p}L << 32) | (shiftrightunsigned({name}, {at}) & {((1 << w) - 1) & ~(1 << p)}L)"
-        for i, name in enumerate(_names(parts)) for at, w in SEGMENTS for p in range(w)
-    )
+def _variants() -> str:
+    """SQL array of the 64 index keys: position above bit 32, segment less one bit below."""
+    return ", ".join(f"({at + p}L << 32) | (shiftrightunsigned(fp, {at}) & {((1 << w) - 1) & ~(1 << p)}L)" for at, w in SEGMENTS for p in range(w))
 
 
-def _crowded(distinct: DataFrame, parts: int, hot: int) -> DataFrame | None:
+def _crowded(distinct: DataFrame, hot: int) -> DataFrame | None:
     """(key, n) of the buckets that may hold over ``hot`` fingerprints, with how many; None if there are none.
 
     A bucket holds the fingerprints of two values of its segment at most, so the values are counted, not the buckets.
     """
-    spans = [(name, at, 64 * i + at, w) for i, name in enumerate(_names(parts)) for at, w in SEGMENTS]
-    values = ", ".join(f"struct({first} as s, shiftrightunsigned({name}, {at}) & {(1 << w) - 1}L as v)" for name, at, first, w in spans)
+    values = ", ".join(f"struct({at} as s, shiftrightunsigned(fp, {at}) & {(1 << w) - 1}L as v)" for at, w in SEGMENTS)
     crowded = distinct.select(F.explode(F.expr(f"array({values})")).alias("x")).groupBy("x.s", "x.v").agg(F.count("*").alias("n"))
     crowded = materialize(crowded.filter(F.col("n") > hot // 2), "simhash-hot")
     if crowded.isEmpty():
         return None
-    keys = " ".join(
-        f"when {first} then array({', '.join(f'({first + p}L << 32) | (v & {((1 << w) - 1) & ~(1 << p)}L)' for p in range(w))})" for _, _, first, w in spans
-    )
+    keys = " ".join(f"when {at} then array({', '.join(f'({at + p}L << 32) | (v & {((1 << w) - 1) & ~(1 << p)}L)' for p in range(w))})" for at, w in SEGMENTS)
     return crowded.select(F.explode(F.expr(f"case s {keys} end")).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -169,7 +137,7 @@ def _split_hot(index: DataFrame, distinct: DataFrame, bits: int, hot: int) -> Da
 
     The other 42 or 43 bits differ in at most ``bits``, so of ``bits`` + 1 pieces one is equal.
     """
-    marked = _crowded(distinct, 1, hot)
+    marked = _crowded(distinct, hot)
     if marked is None:
         return index
     cases = []
@@ -185,79 +153,21 @@ def _split_hot(index: DataFrame, distinct: DataFrame, bits: int, hot: int) -> Da
     return index.join(marked, "key", "left").select("fp", F.explode(split).alias("key"))
 
 
-def _split_blocks(index: DataFrame, distinct: DataFrame, hot: int) -> DataFrame:
-    """Buckets that may hold over ``hot`` wide fingerprints become one bucket for each two of their blocks.
-
-    A second pigeonhole would not tell them apart: too many of the other bits may differ. A block has about
-    ``hot`` / 2 fingerprints and meets every other one, so no two lose sight of each other.
-    """
-    marked = _crowded(distinct, 2, hot)
-    if marked is None:
-        return index
-    index = index.join(marked, "key", "left").withColumn("blocks", F.greatest(F.lit(2), F.ceil(F.col("n") / (hot / 2))).cast("int"))
-    own = "cast(pmod(xxhash64(node, 1), blocks) as int)"
-    others = f"filter(sequence(0, blocks - 1), b -> b <> {own})"
-    split = F.expr(f"case when n is null then array(key) else transform({others}, b -> xxhash64(key, least(b, {own}), greatest(b, {own}))) end")
-    return index.select("node", "fp", "fp1", F.explode(split).alias("key"))
-
-
 def links(distinct: DataFrame, bits: int = 4, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(u, v), u > v: links that connect whatever fingerprints differ in at most ``bits`` bits."""
     if not 0 <= bits <= 5:
         raise ValueError("three segments find at most five differing bits")
     index = distinct.select("fp", F.explode(F.expr(f"array({_variants()})")).alias("key"))
     index = _split_hot(index, distinct, bits, hot_bucket)
-    return _meet(index, bits, 1)
-
-
-def _meet(index: DataFrame, bits: int, parts: int) -> DataFrame:
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits, parts), "u long, v long").distinct()
-
-
-def wide_links(distinct: DataFrame, bits: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(u, v) among (node, fp, fp1): fingerprints of 128 bits that differ in at most ``bits``, if one of their six segments differs in one bit or none."""
-    index = distinct.select("node", "fp", "fp1", F.explode(F.expr(f"array({_variants(2)})")).alias("key"))
-    return _meet(_split_blocks(index, distinct, hot_bucket), bits, 2)
+    return index.repartition("key").sortWithinPartitions("key").mapInArrow(_links(bits), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, seed: int = 42, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least doc_id reachable."""
     fps = materialize(fingerprints(docs, words, seed), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp"))
-    return _components(fps, distinct, connected(links(distinct, bits, hot_bucket)), ["fp"])
-
-
-def wide_near_duplicates(docs: DataFrame, words: int = 5, bits: int = WIDE_BITS, seed: int = 42, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(doc_id, fp, fp1, component_id) by fingerprints of 128 bits.
-
-    For a similarity of 0.8 the fingerprints differ in about 20 of 128 bits, far more than any
-    pigeonhole on 64 bits allows. Six segments find most such pairs, not all of them.
-    """
-    fps = materialize(fingerprints(docs, words, seed, 2), "fingerprints")
-    distinct = materialize(fps.groupBy("fp", "fp1").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "fp1")), "distinct")
-    return _components(fps, distinct, connected(wide_links(distinct, bits, hot_bucket)), ["fp", "fp1"])
-
-
-def _components(fps: DataFrame, distinct: DataFrame, roots: DataFrame, names: list[str]) -> DataFrame:
-    roots = roots.select(F.col("node").alias("node_"), "root")
-    named = materialize(distinct.join(roots, distinct.node == roots.node_, "left").select(*names, "least", F.coalesce("root", "node").alias("root")), "named")
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected(links(distinct, bits, hot_bucket)).select(F.col("node").alias("fp"), "root")
+    named = materialize(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
     classes = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    classes = materialize(named.join(classes, "root").select(*(F.col(c).alias(f"{c}_") for c in names), "component_id"), "classes")
-    same = [fps[c] == classes[f"{c}_"] for c in names]
-    return fps.join(classes, same, "left").select("doc_id", *names, "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The row with the least doc_id of each component in ``found`` (doc_id, component_id); of rows with that same doc_id, one.
-
-    Rows without a doc_id cannot be told apart by it: of those with equal texts one stays.
-    """
-    rows = materialize(found.select("doc_id", "component_id"), "near-duplicates")
-    gone = rows.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    # texts move once at any size, so what a run needs grows with its input and not by a change of plan
-    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["gone_id"], "left_anti")
-    ids = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids["n"] == ids["d"]:
-        return kept
-    named, nameless = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(nameless.dropDuplicates(["text"]))
+    classes = materialize(named.join(classes, "root").select("fp", "component_id"), "classes")
+    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")

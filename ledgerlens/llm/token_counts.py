@@ -15,6 +15,7 @@ Repeated rows each have a row; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,29 +41,35 @@ FLAT = "file long, block long, payload binary, place long, doc_ids array<long>"
 NOTES = "file long, block long, tokens long, ends long, first_end long, last_end long, lengths array<int>"
 
 
+#: White space as the pre-tokenisation counts it, a fixed value.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Runs of so much white space are more than the pre-tokenisation's backtracking can take.
+_LONG_SPACE = re.compile(f"{_SPACE}{{100000,}}")
+
+
 @lru_cache(2)
-def tokenizer(folder: str, vocabulary: str) -> tiktoken.Encoding:
+def tokenizer(folder: str, vocabulary: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
+    """The tokenizer, and one that takes a text as a single piece. Identifiers must leave ``END`` and 16 bits free."""
     with open(f"{folder}/{vocabulary}", "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
+    if max(ranks.values()) >= END:
+        raise ValueError(f"{vocabulary} has identifiers of {END} or more; token files hold 16 bits and keep {END} as separator")
+    return tuple(tiktoken.Encoding("flat", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, "(?s:.+)"))
 
-#: A run of one kind is cut after so many characters, which bounds the work on degenerate texts.
-_PIECE = 100_000
 
+def encode(encodings: tuple[tiktoken.Encoding, tiktoken.Encoding], text: str) -> list[int]:
+    """The whole text's tokens.
 
-def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
-    """Whole text; beyond ``_PIECE`` characters in pieces cut before a space where there is one."""
-    if len(text) <= _PIECE:
-        return encoding.encode_ordinary(text)
+    A long run of white space is taken out first: all of it but the last character, or all at
+    the text's end, is one piece, and pieces on both sides end there whatever stands in them.
+    """
+    whole, piece = encodings
     out, at = [], 0
-    while at < len(text):
-        end = at + _PIECE
-        if end < len(text) and (space := text.rfind(" ", at + 1, end)) > 0:
-            end = space
-        out += encoding.encode_ordinary(text[at:end])
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += whole.encode_ordinary(text[at : m.start()]) + piece.encode_ordinary(text[m.start() : end])
         at = end
-    return out
+    return out + whole.encode_ordinary(text[at:])
 
 
 def write_flat(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
