@@ -6,10 +6,12 @@ from what a document holds. Of any k + 1 pieces of the item one then stands ther
 so a document is scanned once for all pieces (Aho-Corasick) and only the places around hits
 are verified, with Myers' bit-parallel distance.
 
-Items are taken in blocks of bounded size, each against all documents, so neither the driver
-nor a task holds more of a large benchmark than one block. Null or empty texts and items match
-nothing; an item without a budget (k = 0) must match on word boundaries; each of several equal
-items is reported. Repeated documents each have their rows; empty tables give empty results.
+The benchmark is cut into blocks of bounded size on Spark; each block meets all documents, and
+where there are several, its matches are written before the next block is fetched, so neither the
+driver, a plan nor a task ever holds more than one. Null or empty texts and items match nothing; an
+item without a budget (k = 0) must match on word boundaries; each of several equal items is
+reported. An item without an item_id (or with one that is no number) cannot be named in a match, but
+documents that hold it are dropped. Repeated documents each have their rows; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_and_text
+from ledgerlens.llm.common import doc_number, id_and_text, materialize, prefix_sums
 
 #: Characters of one block of items.
 BLOCK_CHARS = 1_000_000
@@ -62,7 +64,7 @@ def myers(masks: dict[str, int], m: int, text: str, limit: int, anchored: bool =
 class Matcher:
     """One block of items, (item_id, plain text)."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float):
         self.items, pieces = [], {}
         for item_id, text in items:
             k = int(len(text) * error_rate)
@@ -121,22 +123,18 @@ class Matcher:
                 yield item_id, best[0], k, max(0, best[1] - 1), best[2] - 1
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The items as plain text, in blocks; at most one partition is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    block, size = [], 0
-    for row in items.filter("item_id is not null and text is not null").toLocalIterator():
-        if text := plain(row["text"]):
-            block.append((row["item_id"], text))
-            size += len(text)
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    """The items (item_id, plain text) in blocks of about ``block_chars`` characters, and whether there is only one; one is fetched at a time."""
+    items = benchmark.select(doc_number("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text <> ''")
+    sized = prefix_sums(items.withColumn("chars", F.length("text").cast("long")), [], [F.xxhash64("text"), F.col("item_id")], ["chars"], "items")
+    blocks = materialize(sized.select("item_id", "text", F.expr(f"before_chars div {int(block_chars)}").alias("block")), "item-blocks")
+    numbers = [r["block"] for r in blocks.select("block").distinct().orderBy("block").collect()]
+    for number in numbers:
+        rows = blocks.filter(F.col("block") == number).orderBy("item_id", "text").collect()
+        yield [(r["item_id"], text) for r in rows if (text := plain(r["text"]))], len(numbers) == 1
 
 
-def _matching(items: list[tuple[int, str]], error_rate: float):
+def _matching(items: list[tuple[int | None, str]], error_rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, error_rate)
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.int32()) for c in ("edits", "budget", "start", "end"))])
@@ -154,17 +152,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.0
     start and end count characters of the document's plain text.
     """
     source = id_and_text(docs)
-    found = None
-    for items in item_blocks(benchmark, block_chars):
-        part = source.mapInArrow(_matching(items, error_rate), MATCH)
-        found = part if found is None else found.unionAll(part)
-    return docs.sparkSession.createDataFrame([], MATCH) if found is None else found
+    found = docs.sparkSession.createDataFrame([], MATCH)
+    for items, only in item_blocks(benchmark, block_chars):
+        part = source.mapInArrow(_matching([x for x in items if x[0] is not None], error_rate), MATCH)
+        found = part if only else found.unionAll(materialize(part, "matches"))
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item. Decided row by row, so ids may repeat or be null."""
     at = docs.columns.index("text")
-    for items in item_blocks(benchmark, block_chars):
+    for items, only in item_blocks(benchmark, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, error_rate)
@@ -173,4 +171,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if only else materialize(docs, "clean")
     return docs

@@ -4,10 +4,11 @@ Features are hashed byte n-grams of the lower-cased letters of the whole text. A
 classifier (one against the rest) picks the language family; inside a family of several
 languages, linear support vector machines, one for each pair of languages, vote.
 
-Training takes a bounded sample of labelled rows (about ``sample`` different texts, shared
-equally by the languages), whose feature vectors alone reach the driver. Texts that are
-null or hold no letter are ``und`` with score 0, as is everything where no row is labelled.
-Repeated rows get equal results; an empty table gives an empty result.
+Training takes a bounded sample of labelled rows: about ``sample`` different texts shared equally by the
+languages, of each those with the smallest hashes, and ``LEAST`` of each language at least, so every
+language is learned. Their feature vectors alone reach the driver: one of 32 KB for each text. Texts that
+are null or hold no letter are ``und`` with score 0, as is everything where no row is labelled.
+Repeated rows get equal results; an empty table gives an empty result. A doc_id that is no number counts as null.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import id_and_text
@@ -26,6 +27,7 @@ from ledgerlens.llm.common import id_and_text
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance"}
 SIZE = 8_192
 SAMPLE = 1_200
+LEAST = 8
 _STEP = 1 << 20
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 PREDICTED = "doc_id long, lang_pred string, score double, family string"
@@ -109,14 +111,14 @@ def fit(labelled: DataFrame, families: dict[str, str] | None = None, sample: int
     """Train on (text, lang) rows; lang is not null. Rows are drawn by a hash of their text, each language equally."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     different = F.approx_count_distinct("text", 0.02).alias("n")  # copies count once, else a large group of them would be the sample
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(different).orderBy(F.desc("n"), "lang").limit(max(1, sample // 8)).collect()}
-    if not sizes:
-        return Model()
-    each = sample // len(sizes)
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    cut: Column = F.lit(0)
-    for name, n in sizes.items():
-        cut = F.when(F.col("lang") == name, int((1 << 20) * min(1.0, each / n))).otherwise(cut)
+    sizes = rows.groupBy("lang").agg(different)  # a row for each language
+    each = max(LEAST, sample // max(1, sizes.count()))
+    # texts whose hash is small enough, three times as many as wanted on average, then the smallest of these
+    drawn = F.shiftrightunsigned(F.xxhash64("text"), 1).cast("double") / float(1 << 63)
+    rows = rows.join(sizes, "lang").filter(drawn <= 3.0 * each / F.greatest(F.col("n"), F.lit(1)))
+    rows = rows.select("lang", "text").dropDuplicates()
+    smallest = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    rows = rows.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,7 +126,7 @@ def fit(labelled: DataFrame, families: dict[str, str] | None = None, sample: int
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([l for l, _ in found]), pa.array([v for _, v in found], pa.binary())], ["lang", "v"])
 
-    vectors = rows.filter(drawn < cut).dropDuplicates().mapInArrow(run, "lang string, v binary").limit(2 * sample).collect()
+    vectors = rows.select("lang", "text").mapInArrow(run, "lang string, v binary").collect()
     vectors.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     if not vectors:
         return Model()

@@ -1,14 +1,13 @@
 """Quality by compression: one dictionary from good texts, one from bad ones.
 
 Each text is cut into chunks, each compressed with zstandard under both dictionaries. The
-difference of the two compressed sizes, divided by their sum, is the evidence; a logistic
-curve in it and in the text's compressibility, fitted on labelled rows that built no
-dictionary, gives a score from 0 to 1.
-
-Training takes a bounded sample of labelled rows (``sample`` documents of each class, and
-``PER_DOC`` chunks of each at most for the dictionaries). Null and empty texts get the score of
-zero evidence. Without rows of both classes every score is the good rows' share (0.5 without
-any). Repeated rows get equal results; an empty table gives an empty result.
+difference of the two compressed sizes, divided by their sum, is the only evidence; a logistic
+curve in it, fitted on labelled rows that built no dictionary, gives a score from 0 to 1.
+
+Training takes a bounded sample of labelled rows: the ``sample`` documents of each class whose ids
+have the smallest hashes, whole texts. Null and empty texts get the score of zero evidence. Without
+rows of both classes every score is the good rows' share (0.5 without any). Repeated rows get equal
+results; an empty table gives an empty result. A doc_id that is no number counts as null.
 """
 
 from __future__ import annotations
@@ -23,11 +22,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_and_text
+from ledgerlens.llm.common import doc_number, id_and_text, materialize
 
-CHUNK = 2_048
-SAMPLE = 600
-PER_DOC = 4
+CHUNK = 1_024
+SAMPLE = 2_000
 DICT_BYTES = 64 * 1024
 LEVEL = 3
 SCORED = "doc_id long, score double, predicted int, difference double"
@@ -37,17 +35,17 @@ SCORED = "doc_id long, score double, predicted int, difference double"
 class Model:
     good: bytes
     bad: bytes
-    curve: tuple[float, ...]
+    curve: tuple[float, float]
     prior: float = 0.5
 
     def scorer(self):
         if not self.good:
             return lambda text: (self.prior, 0.0)
-        tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad)]
+        tools = compressors(self.good, self.bad)
 
         def score(text: str) -> tuple[float, float]:
-            evidence = _evidence(tools, text)
-            return _logistic(float(np.dot(self.curve, _inputs(*evidence)))), evidence[0]
+            difference = size_difference(tools, text)
+            return _logistic(self.curve[0] + self.curve[1] * difference), difference
 
         return score
 
@@ -62,42 +60,42 @@ def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _evidence(tools: list, text: str) -> tuple[float, float]:
-    """(normalised size difference, log of compressed to plain size), over the whole text."""
+def compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
+    return [zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (good, bad)]
+
+
+def size_difference(tools: list, text: str) -> float:
+    """Size under the bad dictionary less that under the good one, divided by their sum, over the whole text."""
     data = memoryview(text.encode("utf-8", "replace"))
     if not data:
-        return 0.0, 0.0
+        return 0.0
     good, bad = (sum(len(t.compress(data[i : i + CHUNK])) for i in range(0, len(data), CHUNK)) for t in tools)
-    return (bad - good) / (bad + good), math.log((bad + good) / (2 * len(data)))
+    return (bad - good) / (bad + good)
 
 
-def _inputs(difference: float, ratio: float) -> tuple[float, ...]:
-    return 1.0, 10 * difference, max(-6.0, ratio + 1), max(-6.0, ratio + 1) ** 2 / 4
-
-
-def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> tuple[float, ...]:
-    """Logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1])
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60, ridge: float = 1e-6) -> tuple[float, float]:
+    """(intercept, slope) of a logistic regression by Newton steps."""
+    x = np.stack([np.ones_like(x), 10 * x], axis=1)
+    w, total = np.zeros(2), weight.sum()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(x) * np.eye(len(w))
-        w = w - np.linalg.solve(h, x.T @ (p - y) + ridge * len(x) * w)
-    return tuple(map(float, w))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * total * np.eye(2)
+        w = w - np.linalg.solve(h, x.T @ (weight * (p - y)) + ridge * total * w)
+    return float(w[0]), 10 * float(w[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
     """Train on documents whose ``labels.quality`` is 0 or 1; ``usable`` (over label_id) says which labels may be seen."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & usable)
+    marks = labels.select(doc_number().alias("label_id"), F.col("quality").try_cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & usable)
     marks = marks.groupBy("label_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     prior = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
     if len(sizes) < 2:
-        return Model(b"", b"", (), prior)
-    draw = F.pmod(F.xxhash64("label_id"), F.lit(1 << 20))
-    cut = F.when(F.col("quality") == 1, int((1 << 20) * min(1, sample / sizes[1]))).otherwise(int((1 << 20) * min(1, sample / sizes[0])))
-    marks = marks.filter(draw < cut)
-    rows = id_and_text(docs).join(F.broadcast(marks.limit(4 * sample)), F.col("doc_id") == F.col("label_id"))  # at most 4 * sample rows of two numbers
-    rows = rows.groupBy("label_id", "quality").agg(F.min("text").alias("text"))  # one text for each label, however many rows share its id
+        return Model(b"", b"", (0.0, 0.0), prior)
+    drawn = [marks.filter(F.col("quality") == q).orderBy(F.xxhash64("label_id"), "label_id").limit(sample) for q in (0, 1)]
+    # 2 * sample rows of two numbers
+    rows = id_and_text(docs).join(F.broadcast(drawn[0].unionAll(drawn[1])), F.col("doc_id") == F.col("label_id"))
+    rows = materialize(rows.groupBy("label_id", "quality").agg(F.min("text").alias("text")), "labelled")  # one text for each label, however many rows share its id
     half = F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(2))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,35 +103,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
             out = []
             for q, t in zip(b.column("quality").to_pylist(), b.column("text")):
                 data = t.as_py().encode("utf-8", "replace")
-                n = max(1, -(-len(data) // CHUNK))
-                out += [(q, data[i * CHUNK : (i + 1) * CHUNK]) for i in sorted({n * k // PER_DOC for k in range(PER_DOC)})]
+                out += [(q, data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["quality", "data"])
 
     found = rows.filter(half == 0).select("quality", "text").mapInArrow(pieces, "quality int, data binary").collect()
-    chunks = {q: sorted(bytes(r["data"]) for r in found if r["quality"] == q and r["data"]) for q in (0, 1)}
+    chunks = {q: sorted(bytes(r["data"]) for r in found if r["quality"] == q) for q in (0, 1)}
     if not all(chunks.values()):
-        return Model(b"", b"", (), prior)
+        return Model(b"", b"", (0.0, 0.0), prior)
     good, bad = (_train(chunks[q]) for q in (1, 0))
-    model = Model(good, bad, (0.0, 0.0, 0.0, 0.0), prior)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (good, bad)]
+        tools = compressors(good, bad)
         for b in batches:
-            e = [_evidence(tools, t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array([x for x, _ in e], pa.float64()), pa.array([x for _, x in e], pa.float64())], ["quality", "d", "r"])
-
-    points = rows.filter(half == 1).select("quality", "text").mapInArrow(evidence, "quality int, d double, r double").collect()
-    points.sort(key=lambda p: (p["quality"], p["d"], p["r"]))
-    if len({p["quality"] for p in points}) < 2:
-        return Model(good, bad, (math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 1.0, 0.0, 0.0), prior)
-    x = np.array([_inputs(p["d"], p["r"]) for p in points])
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array([size_difference(tools, t.as_py()) for t in b.column("text")], pa.float64())], ["quality", "d"])
+
+    points = rows.filter(half == 1).select("quality", "text").mapInArrow(evidence, "quality int, d double").collect()
+    points.sort(key=lambda p: (p["quality"], p["d"]))
     y = np.array([p["quality"] for p in points], float)
-    weight = {q: sizes[q] / max(1, (y == q).sum()) for q in (0, 1)}  # the sample is even, the labels are not
-    curve = list(_fit_curve(x, y))
-    curve[0] += math.log(weight[1] / weight[0])
-    model.curve = tuple(curve)
-    return model
+    if len(set(y)) < 2:
+        return Model(good, bad, (math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 10.0), prior)
+    weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())  # the sample is even, the labels are not
+    return Model(good, bad, _fit_curve(np.array([p["d"] for p in points]), y, weight), prior)
 
 
 def _train(chunks: list[bytes]) -> bytes:
