@@ -176,6 +176,11 @@ def posix_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\.?/", "")
 
 
+def rooted_path(path: Column) -> Column:
+    """Path with forward slashes, leading ones gone; a leading ``./`` stays."""
+    return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^/+", "")
+
+
 def encode_segment(root: Column) -> Column:
     return F.regexp_replace(root, "[^A-Za-z0-9]+", "-")
 
@@ -245,3 +250,37 @@ def luminance(r: Column, g: Column, b: Column, threshold: float = 0.03928) -> Co
 
 def contrast(a: Column, b: Column) -> Column:
     return round_half_up((F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05), 1)
+
+
+def hit_line(longest: int = 400) -> Column:
+    """One line for a hit (id, status, needs_review, kind, title, text, notes): what it is, its text on one line, its annotations."""
+    flags = F.concat_ws("|", "status", F.when(F.col("needs_review"), "needs review"))
+    body = F.regexp_replace("text", f"{WS}+", " ")
+    body = F.when(F.length(body) > longest, F.concat(F.substring(body, 1, longest - 1), F.lit("…"))).otherwise(body)
+    notes = F.array_join(F.transform("notes", lambda x: F.concat(F.lit(" ("), x, F.lit(")"))), "")
+    return F.concat(F.lit("- ["), F.col("id").cast("string"), F.lit("|"), flags, F.lit("|"), F.col("kind"), F.lit("] "), F.col("title"), F.lit(": "), body, notes)
+
+
+def excerpt(lines: Column, redlined: Column, budget: int = 600) -> Column:
+    """Lines as far as the budget goes, each costing its length and 1; redlined ones are marked.
+
+    Blank lines at the start are left out. A first line that is too long is cut, at a later one the excerpt ends; an ellipsis
+    closes an excerpt of several lines that took the whole budget.
+    """
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("used"), F.lit(False).alias("full"))
+    marked = F.zip_with(lines, redlined, lambda x, r: F.regexp_replace(F.concat(F.when(r, "✂ ").otherwise(""), x), f"{WS}+$", ""))
+
+    def step(acc: Column, x: Column) -> Column:
+        none, fits = F.size(acc["out"]) == 0, acc["used"] + F.length(x) + 1 <= budget
+        line = F.when(fits, x).otherwise(F.concat(F.substring(x, 1, max(0, budget - 1)), F.lit("…")))
+        grown = F.struct(F.concat(acc["out"], F.array(line)).alias("out"), (acc["used"] + F.length(line) + 1).alias("used"), acc["full"].alias("full"))
+        ended = F.struct(acc["out"].alias("out"), acc["used"].alias("used"), F.lit(True).alias("full"))
+        return F.when(acc["full"] | (none & (x == "")), acc).when(~fits & ~none, ended).otherwise(grown)
+
+    close = lambda acc: F.concat(F.array_join(acc["out"], "\n"), F.when((F.size(lines) > 1) & (acc["used"] >= budget), "\n…").otherwise(""))
+    return F.aggregate(marked, start, step, close)
+
+
+def stable_json(attributes: Column) -> Column:
+    """JSON of a map with its keys in order: the same text for the same content."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attributes))))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
 from ledgerlens.operators.lexical import top_k
+from ledgerlens.operators.ranking import fuse
+from ledgerlens.operators.shared import write_shared
 
 _HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*")
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
@@ -120,6 +122,17 @@ def search_chunks(
     return top_k(hits, limit, F.col("score").desc(), F.col("seq"), F.col("doc_id")).drop("shown", "head", "body", "terms")
 
 
+def fused_chunks(lexical: DataFrame, vectors: DataFrame, limit: int = p.RESULT_LIMIT) -> DataFrame:
+    """(query_id, doc_id, seq, rank, score, channels): chunks by the fused ranks of both channels, each (query_id, doc_id, seq, rank) and of one document a query.
+
+    A chunk that only one channel found still counts; without vectors the lexical order stands.
+    """
+    channel = lambda rows, name: rows.select("query_id", F.lit(name).alias("channel"), F.lit(1.0).alias("weight"), "rank", F.struct("doc_id", "seq").alias("key"))
+    rows = fuse(channel(lexical, "lexical").unionByName(channel(vectors, "vector"))).filter(F.col("position") <= limit)
+    names = F.array_join(F.transform(F.array_sort(F.map_entries("ranks")), lambda x: F.concat(x["key"], F.lit(" #"), x["value"].cast("string"))), " / ")
+    return rows.select("query_id", "key.doc_id", "key.seq", F.col("position").alias("rank"), t.round_half_up(F.col("fused"), 4).alias("score"), names.alias("channels"))
+
+
 def browse_chunks(chunks: DataFrame, limit: int = p.RESULT_LIMIT) -> DataFrame:
     """Chunks without a query: what overlaps its predecessor is gone, neighbours become one span."""
     first = chunks.filter("overlap_with is null")
@@ -135,3 +148,29 @@ def drift(bindings: DataFrame, files: DataFrame) -> DataFrame:
     rows = bindings.join(files.select("path", F.col("hash").alias("file_hash")), "path", "left")
     state = F.when(F.col("file_hash").isNull(), "missing").when(F.col("file_hash") != F.col("content_hash"), "changed")
     return rows.withColumn("state", state).filter("state is not null").select("id", "path", "state")
+
+
+def pack_groups(rows: DataFrame, by: str, order: str, text: str, budget: int) -> DataFrame:
+    """(by, packed): each group's lines in order as far as they fit the budget, a line costing its length and 1; one that does not fit is skipped.
+
+    A group is never gathered whole: of its lines that fit what is left, the next budget + 1 are packed at a
+    time (no more can fit, as each costs 1 or more), and only those behind them come up again.
+    """
+    state = write_shared(rows.select(by).distinct().select(by, F.lit(budget).alias("left"), F.lit(None).cast(dict(rows.dtypes)[order]).alias("at"), F.expr("cast(array() as array<string>)").alias("lines")), "packed")
+    lines = rows.select(by, F.col(order).alias("place"), F.col(text).alias("line"))
+    first = Window.partitionBy(by).orderBy("place", "line")
+    while True:
+        ahead = lines.join(state.select(by, "left", "at"), by).filter((F.col("at").isNull() | (F.col("place") > F.col("at"))) & (F.length("line") <= F.col("left")))
+        ahead = ahead.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= budget + 1)
+        taken = ahead.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("xs"), F.max("place").alias("reached"))
+        after = state.join(taken, by, "left").withColumn("start", F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.col("left").alias("left")))
+        packed = F.aggregate(
+            F.coalesce("xs", F.expr("array()")), F.col("start"),
+            lambda acc, x: F.when(F.length(x["line"]) <= acc["left"], F.struct(F.concat(acc["out"], F.array(x["line"])).alias("out"), (acc["left"] - F.length(x["line"]) - 1).alias("left"))).otherwise(acc),
+        )
+        after = after.withColumn("p", F.when(F.col("xs").isNotNull(), packed))
+        moved = after.select(by, F.coalesce("p.left", "left").alias("left"), F.coalesce("reached", "at").alias("at"), F.concat("lines", F.coalesce("p.out", F.expr("cast(array() as array<string>)"))).alias("lines"), F.col("xs").isNotNull().alias("more"))
+        moved = write_shared(moved, "packed")
+        if moved.filter("more").isEmpty():
+            return moved.select(by, F.array_join("lines", "|").alias("packed"))
+        state = moved.drop("more")

@@ -135,23 +135,78 @@ def attribute(referenced: DataFrame, outcomes: DataFrame, changed: DataFrame) ->
 
 
 def similar_pairs(entries: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of entries of different projects, a < b: overlap of title tokens or of all tokens.
+    """(a, b, similarity) of entries of different projects, a < b: overlap of title tokens or of all tokens."""
+    found = similar_across(entries, entries, threshold).filter("a <> b").filter("project_a <> project_b")
+    pair = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return pair.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
-    Only entries that share a token can be similar, so pairs are counted from the tokens that they share.
-    A token held by many entries makes many pairs; that part is exact too, and AQE splits it.
+
+def similar_across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, project_a, project_b, similarity), a of ``left`` and b of ``right``, whose overlap reaches the threshold; pairs may repeat.
+
+    The smaller of two such sets has one of its n - ceil(threshold n) + 1 rarest tokens in the other, so
+    these alone probe the index of all tokens. Frequent tokens come last and hardly ever probe.
     """
-    rows = entries.select("id", "project", t.tokenize(F.col("title")).alias("tt"), t.tokenize(F.concat_ws(" ", "title", "text")).alias("at"))
-    parts = []
-    for column in ("tt", "at"):
-        terms = rows.select("id", "project", F.size(column).alias("n"), F.explode(column).alias("token"))
-        other = terms.select(F.col("id").alias("b"), F.col("project").alias("project_b"), F.col("n").alias("m"), "token")
-        pairs = terms.join(other, "token").filter((F.col("id") < F.col("b")) & (F.col("project") != F.col("project_b")))
-        shared = pairs.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
-        parts.append(shared.select("a", "b", (F.col("common") / F.least("n", "m")).alias("similarity")))
-    both = parts[0].unionByName(parts[1]).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    sets = lambda rows, side: rows.select(
+        F.col("id").alias(side), F.col("project").alias(f"project_{side}"), F.posexplode(F.array(t.tokenize(F.col("title")), t.tokenize(F.concat_ws(" ", "title", "text")))).alias("of", "tokens")
+    ).withColumn("n", F.size("tokens")).filter("n > 0").distinct()
+    a, b = sets(left, "a"), sets(right, "b")
+    counts = a.select(F.explode("tokens").alias("token")).unionAll(b.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("times"))
+
+    def probes(rows: DataFrame, side: str) -> DataFrame:
+        """Each set once for each of its rarest tokens."""
+        key = [side, f"project_{side}", "of", "tokens", "n"]
+        order = rows.select(*key, F.explode("tokens").alias("token")).join(counts, "token").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("order"))
+        most = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+        return order.select(*key, F.explode(F.transform(F.slice("order", F.lit(1), most), lambda x: x["token"])).alias("token"))
+
+    def meet(probe: DataFrame, side: str, index: DataFrame, other: str) -> DataFrame:
+        index = index.select(other, f"project_{other}", "of", F.col("tokens").alias("theirs"), F.col("n").alias("m"), F.explode("tokens").alias("token"))
+        return probe.join(index, ["token", "of"]).filter("n <= m").select("a", "b", "project_a", "project_b", t.overlap(F.col("tokens"), F.col("theirs")).alias("similarity"))
+
+    both = meet(probes(a, "a"), "a", b, "b").unionByName(meet(probes(b, "b"), "b", a, "a"))
     return both.filter(F.col("similarity") >= threshold)
 
 
+def proposals(verified: DataFrame, clustered: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
+    """(cluster, id, title, tags, sources): a draft for each cluster of several projects, from its strongest entry.
+
+    ``verified``: id, project, title, text, tags, score; ``clustered``: (id, cluster). Tags are the members' union.
+    Clusters whose strongest entry is similar to a candidate or trusted entry of ``common`` are left out.
+    """
+    members = clustered.select("id", "cluster").join(verified, "id")
+    strongest = Window.partitionBy("cluster").orderBy(F.col("score").desc(), "id")
+    best = members.withColumn("rn", F.row_number().over(strongest)).filter("rn = 1").drop("rn")
+    known = common.filter(F.col("status").isin("candidate", "trusted")).select("id", F.lit("").alias("project"), "title", "text")
+    taken = similar_across(best.select("id", "project", "title", "text"), known, threshold).select(F.col("a").alias("id")).distinct()
+    tags = members.groupBy("cluster").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("all_tags"), F.count("*").alias("sources"))
+    return best.join(taken, "id", "left_anti").join(tags, "cluster").select("cluster", "id", "title", F.col("all_tags").alias("tags"), "sources")
+
+
+def streak_flags(entries: DataFrame, streaks: DataFrame, least: int = p.FAILURE_STREAK) -> DataFrame:
+    """(id, streak, raised) of global entries whose failures at the end of the ledger reach ``least``; raised where the flag is new."""
+    rows = entries.filter("tier = 'global'").join(streaks.select(F.col("entry_id").alias("id"), "streak"), "id")
+    return rows.filter(F.col("streak") >= least).select("id", "streak", (~F.col("needs_review")).alias("raised"))
+
+
+def escalated_keys(ledger: DataFrame, kind: str = "module") -> DataFrame:
+    """(key) of everything of a kind that was ever escalated."""
+    return ledger.filter((F.col("type") == "escalated") & (F.col("kind") == kind)).select("key").distinct()
+
+
+def escalate(ledger: DataFrame, threshold: int = p.DOUBT_THRESHOLD) -> DataFrame:
+    """(kind, key, open, action) of keys whose open doubts reach the threshold: a module is inspected from then on, an entry gets a rejection."""
+    rows = open_doubts(ledger).filter(F.col("open") >= threshold)
+    return rows.withColumn("action", F.when(F.col("kind") == "module", "inspect").otherwise("user-reject"))
+
+
+def new_dislikes(polls: DataFrame) -> DataFrame:
+    """(session_id, message_id, poll) of negative ratings whose version differs from what the poll before saw of the message."""
+    seen = F.lag("version").over(Window.partitionBy("session_id", "message_id").orderBy("poll"))
+    rows = polls.withColumn("fresh", ~seen.eqNullSafe(F.col("version")))
+    return rows.filter("fresh and rating = 'negative'").select("session_id", "message_id", "poll")
+
+
 def clusters(verified: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, project, cluster): greedy growth over similar pairs, at most one entry of a project in a cluster.
 

@@ -26,7 +26,7 @@ def _flip(kind: str, column: str, bad: str, good: str, severity: str) -> Column:
 
 
 def diff(before: DataFrame, after: DataFrame, move: int = 2, resize: int = 2, epsilon: float = 0.1) -> DataFrame:
-    """(module_id, kind, severity, detail), worst first by ``severity``."""
+    """(module_id, kind, severity, detail); see ``worst_first`` for their order."""
     joined = before.alias("o").join(after.alias("n"), F.col("o.id") == F.col("n.id"), "full_outer")
     new, gone = F.col("o.id").isNull(), F.col("n.id").isNull()
     both = ~new & ~gone
@@ -59,6 +59,20 @@ def diff(before: DataFrame, after: DataFrame, move: int = 2, resize: int = 2, ep
     return rows.select("module_id", "x.kind", "x.severity", "x.detail")
 
 
+def worst_first(findings: DataFrame) -> DataFrame:
+    """Findings by severity, then kind, module and detail."""
+    rank = F.array_position(F.array(*(F.lit(x) for x in SEVERITY)), F.col("severity"))
+    return findings.orderBy(rank, "kind", F.coalesce(F.col("module_id").cast("string"), F.lit("")), "detail")
+
+
+def relation_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(module_id, detail) of modules in both snapshots (id, relations) whose relations differ."""
+    rows = before.select("id", F.col("relations").alias("was")).join(after.select("id", F.col("relations").alias("now")), "id")
+    part = lambda word, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"{word} "), F.array_join(xs, ", ")))
+    parts = F.concat_ws("; ", part("gained", F.array_except("now", "was")), part("lost", F.array_except("was", "now")))
+    return rows.withColumn("parts", parts).filter("parts <> ''").select(F.col("id").alias("module_id"), F.concat(F.lit("relations changed: "), "parts").alias("detail"))
+
+
 def assertions(nodes: DataFrame) -> DataFrame:
     """(snapshot_id, name, passed, severity) of the built-in checks."""
     check = lambda when, name, passed, severity: F.when(when, F.struct(name.alias("name"), passed.alias("passed"), severity.alias("severity")))

@@ -6,24 +6,70 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
 from ledgerlens.operators.lexical import factor, top_k
+from ledgerlens.operators.shared import write_shared
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = p.RECALL_DEPTH, floor: float = 0.0) -> DataFrame:
+#: Query vectors that meet all rows at a time.
+QUERY_BLOCK = 1_024
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = p.RECALL_DEPTH, floor: float = 0.0, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, score, rank): exact cosine of a stated query set against all (key, embedding).
 
-    The query vectors meet the rows as one array, so each row is read once for all of them;
-    a partition keeps its best k for each query before anything is shuffled.
+    The queries come in blocks of about ``block``; a block goes to the tasks as one matrix, and each batch
+    of rows keeps its best k for each query before anything is shuffled. Vectors of another length score 0.
     """
-    packed = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("qs"))
-    pairs = vectors.crossJoin(F.broadcast(packed)).select("key", "embedding", F.explode("qs").alias("x"))  # one row
-    scored = pairs.select(F.col("x.query_id").alias("query_id"), "key", t.round_half_up(t.cosine(F.col("embedding"), F.col("x.q")), 6).alias("score")).filter(F.col("score") > floor)
-    return top_k(scored, k, F.col("score").desc(), F.col("key"))
+    types, asked = dict(vectors.dtypes), dict(queries.dtypes)
+    queries = write_shared(queries.select("query_id", "embedding"), "query-vectors")
+    blocks = max(1, -(-queries.count() // block))
+    schema = f"query_id {asked['query_id']}, key {types['key']}, score double"
+    found = queries.sparkSession.createDataFrame([], schema)
+    for number in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
+        part = vectors.select("key", "embedding").mapInArrow(_best(rows, k, floor), schema)
+        found = found.unionAll(part if blocks == 1 else write_shared(top_k(part, k, F.col("score").desc(), F.col("key")).drop("rank"), "vector-hits"))
+    return top_k(found, k, F.col("score").desc(), F.col("key"))
+
+
+def _unit(rows: list, dim: int) -> np.ndarray:
+    m = np.array(rows, np.float64).reshape(-1, dim)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _best(queries: list, k: int, floor: float):
+    """Each batch's rows with their best k for every query, equal scores included."""
+    sizes = sorted({len(q["embedding"] or ()) for q in queries})
+    ids = [[q["query_id"] for q in queries if len(q["embedding"] or ()) == d] for d in sizes]
+    asked = [_unit([q["embedding"] or () for q in queries if len(q["embedding"] or ()) == d], d) for d in sizes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = b.column("embedding").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for dim, names, q in zip(sizes, ids, asked):
+                at = np.flatnonzero(lengths == dim)
+                if floor < 0:  # vectors of other lengths count as 0
+                    at = np.arange(len(lengths))
+                if not len(at) or not len(names):
+                    continue
+                own = lengths[at] == dim
+                scores = np.zeros((len(at), len(names)))
+                if own.any() and dim:
+                    scores[own] = _unit(b.column("embedding").take(pa.array(at[own])).flatten().to_numpy(zero_copy_only=False), dim) @ q.T
+                scores = np.floor(scores * 1e6 + 0.5) / 1e6
+                least = np.partition(scores, -k, axis=0)[-k] if len(at) > k else np.full(len(names), -np.inf)
+                row, column = np.nonzero((scores >= least) & (scores > floor))
+                keys = b.column("key").take(pa.array(at[row]))
+                yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in column]), keys, pa.array(scores[row, column])], ["query_id", "key", "score"])
+
+    return run
 
 
 def hash_embed(texts: DataFrame, dim: int = p.EMBED_DIM) -> DataFrame:
@@ -37,13 +83,17 @@ def hash_embed(texts: DataFrame, dim: int = p.EMBED_DIM) -> DataFrame:
     return texts.select("key", t.tokenize(F.col("text")).alias("tokens")).mapInPandas(run, f"key {kind}, embedding array<float>")
 
 
+# Start and factor of the two hashes, of which the first picks the place and the second the sign.
+SLOT_HASH, SIGN_HASH = (0x811C9DC5, 0x01000193), (0x9E3779B9, 0x85EBCA6B)
+
+
 def _hashed(tokens: list[str], dim: int) -> list[float]:
     out = np.zeros(dim, np.float32)
     for token in tokens:
-        slot, sign = 0x811C9DC5, 0x9E3779B9
+        slot, sign = SLOT_HASH[0], SIGN_HASH[0]
         for i, c in enumerate(map(ord, token)):
-            slot = (slot ^ c) * 0x01000193 & 0xFFFFFFFF
-            sign = (sign ^ (c + i)) * 0x85EBCA6B & 0xFFFFFFFF
+            slot = (slot ^ c) * SLOT_HASH[1] & 0xFFFFFFFF
+            sign = (sign ^ (c + i)) * SIGN_HASH[1] & 0xFFFFFFFF
         out[slot % dim] += -1 if sign & 1 else 1
     norm = np.linalg.norm(out)
     return (out / norm if norm else out).tolist()

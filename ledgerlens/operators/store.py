@@ -26,6 +26,109 @@ def clear_review(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.withColumns({"needs_review": F.col("needs_review") & ~F.col("chosen"), "review_reason": F.when(~F.col("chosen"), F.col("review_reason"))}).drop("chosen")
 
 
+FORMAT_VERSION = 1
+
+
+def point_lookup(entries: DataFrame, ids: DataFrame, version: str = "version") -> DataFrame:
+    """The entries of ids; one of another format version fails."""
+    rows = entries.join(ids.select("id").distinct(), "id", "left_semi")
+    if version not in entries.columns:
+        return rows
+    checked = F.when(F.col(version) == FORMAT_VERSION, F.col(version)).otherwise(F.raise_error(F.concat(F.lit("foreign version of entry "), F.col("id").cast("string"))))
+    return rows.withColumn(version, checked)
+
+
+def _event(now: Column, change: str, to: Column, reason: Column) -> Column:
+    return F.struct(now.alias("at"), F.lit(change).alias("change"), F.col("status").alias("from_"), to.alias("to"), reason.alias("reason"))
+
+
+def _past(entries: DataFrame) -> Column:
+    none = F.expr("cast(array() as array<struct<at: timestamp_ntz, change: string, from_: string, `to`: string, reason: string>>)")
+    return F.coalesce(F.col("history"), none) if "history" in entries.columns else none
+
+
+def add_entries(drafts: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+    """New candidates of drafts (id, tier, kind, title, text, tags, bindings), with each binding's hash from files (path, hash).
+
+    A blank title or text, a binding without a file, and a binding of a global entry fail.
+    """
+    fail = lambda message: F.raise_error(F.concat(F.lit(f"{message}: "), F.col("id").cast("string")))
+    blank = (F.trim("title") == "") | (F.trim("text") == "")
+    bound = drafts.select("id", F.posexplode("bindings").alias("n", "path")).withColumn("path", t.rooted_path(F.col("path")))
+    bound = bound.join(files.select("path", "hash"), "path", "left").groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "path", "hash"))), lambda x: F.struct(x["path"].alias("path"), x["hash"].alias("content_hash"))).alias("new_bindings")
+    )
+    rows = drafts.join(bound, "id", "left").withColumn("new_bindings", F.coalesce("new_bindings", F.expr("cast(array() as array<struct<path: string, content_hash: string>>)")))
+    missing = F.exists("new_bindings", lambda x: x["content_hash"].isNull())
+    checked = F.when(blank, fail("neither title nor text may be blank")).when((F.col("tier") == "global") & (F.size("new_bindings") > 0), fail("global entries bind no files")).when(missing, fail("no such file")).otherwise(F.trim("title"))
+    status = F.lit("candidate")
+    return rows.withColumn("status", F.lit(None).cast("string")).select(
+        "id", "tier", "kind", checked.alias("title"), "text", F.array_sort(F.array_distinct("tags")).alias("tags"), F.col("new_bindings").alias("bindings"), status.alias("status"),
+        F.lit(False).alias("needs_review"), now.alias("created_at"), F.array(_event(now, "status", status, F.lit("created"))).alias("history"),
+    )
+
+
+def update_texts(entries: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Entries with new texts (id, text, reason), each noted in the history; an equal text changes nothing, a blank one fails."""
+    new = changes.select("id", F.when(F.trim("text") == "", F.raise_error(F.lit("a text may not be blank"))).otherwise(F.col("text")).alias("new_text"), "reason")
+    rows = entries.join(new, "id", "left")
+    changed = F.col("new_text").isNotNull() & (F.col("new_text") != F.col("text"))
+    past = _past(entries)
+    event = _event(now, "text", F.lit(None).cast("string"), F.col("reason"))
+    return rows.withColumns({"history": F.when(changed, F.concat(past, F.array(event))).otherwise(past), "text": F.coalesce("new_text", "text")}).drop("new_text", "reason")
+
+
+def rebind(entries: DataFrame, changes: DataFrame, files: DataFrame, now: Column, clear: bool = False) -> DataFrame:
+    """Entries (bindings: path, content_hash) with whole new binding sets (id, paths, reason); hashes come from files (path, hash).
+
+    Paths without a file fail, so do paths of a global entry. The change, or that there was none, is noted; ``clear`` also takes the review flag back.
+    """
+    paths = changes.select("id", F.posexplode_outer("paths").alias("n", "path")).withColumn("path", t.rooted_path(F.col("path"))).join(files.select("path", "hash"), "path", "left")
+    found = F.when(F.col("path").isNotNull(), F.struct("n", "path", F.coalesce("hash", F.raise_error(F.concat(F.lit("no such file: "), "path"))).alias("content_hash")))
+    new = paths.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(found)), lambda x: F.struct(x["path"].alias("path"), x["content_hash"].alias("content_hash"))).alias("new_bindings"))
+    rows = entries.join(new, "id", "left").join(changes.select("id", "reason"), "id", "left")
+    asked = F.col("new_bindings").isNotNull()
+    names = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: x["path"]), ", ")).otherwise("none")
+    was, now_ = names("bindings"), names("new_bindings")
+    why = F.concat("reason", F.lit(" ("), F.when(was == now_, F.concat(F.lit("unchanged: "), now_)).otherwise(F.concat(was, F.lit(" -> "), now_)), F.lit(")"))
+    past = _past(entries)
+    kept = F.when(asked & (F.col("tier") == "global") & (F.size("new_bindings") > 0), F.raise_error(F.lit("global entries bind no files"))).otherwise(F.coalesce("new_bindings", "bindings"))
+    return rows.withColumns({
+        "history": F.when(asked, F.concat(past, F.array(_event(now, "rebind", F.lit(None).cast("string"), why)))).otherwise(past),
+        "needs_review": F.col("needs_review") & ~(asked & F.lit(clear)), "bindings": kept,
+    }).drop("new_bindings", "reason")
+
+
+def reverify(entries: DataFrame, ids: DataFrame, files: DataFrame, now: Column, accept: bool = False) -> DataFrame:
+    """Entries after a human check of ids: the review flag is gone; with ``accept`` project entries take their files' present hashes."""
+    chosen = _chosen(entries, ids)
+    if not accept:
+        return chosen.withColumn("needs_review", F.col("needs_review") & ~F.col("chosen")).drop("chosen")
+    again = chosen.filter("chosen and tier <> 'global'").select("id", F.transform("bindings", lambda x: x["path"]).alias("paths"), F.lit("accepted").alias("reason"))
+    after = rebind(entries, again, files, now)
+    return _chosen(after, ids).withColumn("needs_review", F.col("needs_review") & ~F.col("chosen")).drop("chosen")
+
+
+def redline_lines(entries: DataFrame, ranges: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(document redlines (id, doc_id, from_line, to_line), ids over the proposal ratio) for ranges (id, from_line, to_line) of mounted documents (doc_id, line_count).
+
+    Ranges end with the document; one that begins behind it, or whose entry has no document, fails. Overlaps count twice in the ratio.
+    """
+    rows = ranges.join(entries.select("id", F.col("mounted_doc").alias("doc_id")), "id").join(docs.select("doc_id", "line_count"), "doc_id", "left")
+    ok = (F.col("from_line") >= 1) & (F.col("from_line") <= F.col("to_line")) & (F.col("from_line") <= F.col("line_count"))
+    first = F.when(F.coalesce(ok, F.lit(False)), F.col("from_line")).otherwise(F.raise_error(F.concat(F.lit("no such lines: "), F.col("id").cast("string"))))
+    out = rows.select("id", "doc_id", first.alias("from_line"), F.least("to_line", "line_count").alias("to_line"), "line_count")
+    ratio = out.groupBy("id").agg((F.sum(F.col("to_line") - F.col("from_line") + 1) / F.max("line_count")).alias("ratio"))
+    return out.drop("line_count"), ratio.filter(F.col("ratio") > p.REDLINE_PROPOSAL_RATIO)
+
+
+def mounted_docs(docs: DataFrame, entries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(doc_id, ..., mounted, vectors): each document with the entries that mount it and its vector layer's (doc_id, status), none where not built."""
+    mounts = entries.filter("mounted_doc is not null").groupBy(F.col("mounted_doc").alias("doc_id")).agg(F.array_sort(F.collect_list("id")).alias("mounted"))
+    rows = docs.join(mounts, "doc_id", "left").join(vectors.select("doc_id", F.col("status").alias("vectors")), "doc_id", "left")
+    return rows.withColumns({"mounted": F.coalesce("mounted", F.expr("cast(array() as array<bigint>)")), "vectors": F.coalesce("vectors", F.lit("none"))})
+
+
 def touch(entries: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """Note that entries were referenced."""
     return _chosen(entries, ids).withColumn("last_referenced_at", F.when(F.col("chosen"), now).otherwise(F.col("last_referenced_at"))).drop("chosen")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents, evaluation, governance, index, layout, lexical, ranking, shared, store
+from ledgerlens.operators import documents, evaluation, governance, hybrid, index, layout, lexical, ranking, shared, store
 from ledgerlens.sources import files, views
 from ledgerlens.streaming import streams
 
@@ -104,44 +104,29 @@ def redline_filter(spark, d):
 @query
 def vector_topk(spark, d):
     v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
-    q = v.filter("key < 5").select(F.col("key").alias("query_id"), "embedding")
+    q = v.filter("key % 20 = 0").select(F.col("key").alias("query_id"), "embedding")
     return ranking.vector_topk(v, q, 10).select("query_id", "key", "score", "rank")
 
 
-def _channels(spark, d):
-    words = lexical.retrieve(views.entries(spark, d), views.queries(spark, d), p.RECALL_DEPTH).select("query_id", F.lit("lexical").alias("channel"), F.lit(1.0).alias("weight"), "rank", F.col("id").alias("key"))
+def _recall(spark, d):
     v = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
-    asked = views.queries(spark, d).select("query_id").join(v, F.col("query_id") == F.col("key")).select("query_id", "embedding")
-    known = v.join(corpus(spark, d).select(F.col("id").alias("key")), "key", "left_semi")
-    near = ranking.vector_topk(known, asked, p.RECALL_DEPTH)
-    return words, near
-
-
-def _fused(spark, d):
-    words, near = _channels(spark, d)
-    return ranking.fuse(words.unionByName(near.select("query_id", F.lit("vector").alias("channel"), F.lit(1.0).alias("weight"), "rank", "key"))), near
+    q = views.queries(spark, d)
+    asked = q.select("query_id").join(v, F.col("query_id") == F.col("key")).select("query_id", "embedding")
+    return hybrid.recall(views.entries(spark, d), q, v, asked)
 
 
 @query
 def rrf_hybrid(spark, d):
-    fused, _ = _fused(spark, d)
-    return fused.filter(F.col("position") <= 10).select("query_id", "key", "fused", "best_rank", "position")
+    return _recall(spark, d).fused.filter(F.col("position") <= 10).select("query_id", "key", "fused", "best_rank", "position")
 
 
 @query
 def vector_only_quota(spark, d):
-    fused, _ = _fused(spark, d)
-    return ranking.quota(fused, 3).select("query_id", "key", "position")
+    return ranking.quota(_recall(spark, d).fused, 3).select("query_id", "key", "position")
 
 
 def _candidates(spark, d):
-    fused, near = _fused(spark, d)
-    e, q = views.entries(spark, d), views.queries(spark, d)
-    window = fused.filter(F.col("position") <= p.RERANK_CANDIDATES).select("query_id", F.col("key").alias("id"), F.col("position").alias("fused_rank"))
-    raw = lexical.score(corpus(spark, d), q)
-    cos = near.select("query_id", F.col("key").alias("id"), F.col("score").alias("semantic"), F.col("rank").alias("semantic_rank"))
-    rows = window.join(raw, ["query_id", "id"], "left").join(cos, ["query_id", "id"], "left").join(e, "id").join(q.withColumn("n_tokens", F.size(t.tokenize(F.col("query")))), "query_id")
-    return rows.withColumns({"raw": F.coalesce("raw", F.lit(0.0)), "n_matched": F.coalesce("n_matched", F.lit(0))})
+    return hybrid.candidates(_recall(spark, d))
 
 
 @query
@@ -167,7 +152,7 @@ def rerank_explained(spark, d):
 
 @query
 def rank_minmax_norm(spark, d):
-    _, near = _fused(spark, d)
+    near = _recall(spark, d).near
     rows = ranking.semantic_norms(near.select("query_id", F.col("key").alias("id"), F.col("score").alias("semantic")))
     return rows.select("query_id", "id", SIX("semantic_by_rank"), SIX("semantic_minmax"))
 
@@ -283,7 +268,7 @@ def sweep_transitions(spark, d):
 
 @query
 def promotion_candidates(spark, d):
-    s = _scores(spark, d).withColumn("window_score", F.abs("window_score"))
+    s = governance.window_scores(views.signals(spark, d).filter("polarity = 'positive'"), views.now()).select("entry_id", "window_score")
     return governance.promotions(views.entries(spark, d), s, views.approvals(spark, d), views.now())
 
 
@@ -301,7 +286,7 @@ def lifecycle_transitions(spark, d):
 @query
 def split_entries(spark, d):
     e = views.entries(spark, d)
-    drafts = e.filter("id % 50 = 0").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("part"), "title", F.substring("text", 1, 100).alias("text"))
+    drafts = e.filter("id % 50 = 0").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("part"), "title", "text")
     return governance.split_entries(e, drafts, views.now()).select("id", "status", "needs_review", F.length("text").alias("chars"))
 
 
@@ -341,24 +326,26 @@ def annotations(spark, d):
 @query
 def packed_context(spark, d):
     """Titles of each kind's entries, in order, as far as 2,000 characters reach."""
-    rows = views.entries(spark, d).filter("id < 400").groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("id", "title"))).alias("xs"))
-    return rows.select("kind", F.array_join(t.pack(F.transform("xs", lambda x: x["title"]), 2000), "|").alias("packed"))
+    return documents.pack_groups(views.entries(spark, d).filter("title is not null"), "kind", "id", "title", 2000)
 
 
 @query
 def failure_signatures(spark, d):
-    rows = views.turns(spark, d).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 60).alias("s")))).alias("xs"))
-    lines = F.transform("xs", lambda x: x["s"])
+    first = Window.partitionBy("session_id").orderBy("turn", "text")
+    rows = views.turns(spark, d).withColumn("rn", F.row_number().over(first)).filter("rn <= 4")  # two assertions, then three lines from the second on
+    rows = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("rn", "text"))).alias("xs"))
+    lines = F.transform("xs", lambda x: x["text"])
     return rows.select("session_id", t.failure_signature(F.slice(lines, 1, 2), F.slice(lines, 2, 3), F.array(F.lit("src/a.css"))).alias("signature"))
 
 
 @query
 def approval_queue(spark, d):
-    a = views.approvals(spark, d)
-    e = views.entries(spark, d).select(F.col("id").alias("entry_id"), "title", "status")
-    rows = a.filter("entry_id < 400").join(e, "entry_id", "left").withColumn("bucket", F.lit(0))
+    """The 50 requests to decide first: pending ones, the oldest first."""
     pending = F.col("resolved_at").isNotNull().cast("int")
-    return lexical.top_k(rows, 50, pending, F.col("created_at"), F.col("approval_id"), by="bucket").select("approval_id", "entry_id", "status", "resolution", "rank")
+    first = views.approvals(spark, d).orderBy(pending, "created_at", "approval_id").limit(50).withColumn("bucket", F.lit(0))
+    e = views.entries(spark, d).select(F.col("id").alias("entry_id"), "title", "status")
+    rows = lexical.top_k(first, 50, pending, F.col("created_at"), F.col("approval_id"), by="bucket")
+    return rows.join(e, "entry_id", "left").select("approval_id", "entry_id", "status", "resolution", "rank")
 
 
 @query
@@ -389,16 +376,15 @@ def ltr_evaluation(spark, d):
 @query
 def ltr_train_logistic(spark, d):
     rows = _training(spark, d).withColumns({"bm25ish": F.col("score"), "freshness": (F.col("entry_id") % 7) / 7.0})
-    w = evaluation.train_logistic(rows, ["bm25ish", "freshness"], epochs=25)
+    w = evaluation.train_logistic(rows, ["bm25ish", "freshness"])
     return spark.createDataFrame([(k, round(v, 6)) for k, v in sorted(w.items())], "feature string, weight double")
 
 
 @query
 def ndcg_recall_mrr(spark, d):
     q, docs = views.queries(spark, d), views.table(spark, d, "documents").select("doc_id", t.collapse(F.coalesce("text", F.lit(""))).alias("body"))
-    terms = q.select("query_id", t.collapse(F.col("query")).alias("needle"))
-    every = terms.agg(F.collect_list(F.struct("query_id", "needle")).alias("qs"))  # one row, the stated query set
-    qrels = docs.crossJoin(F.broadcast(every)).select("doc_id", F.explode(F.filter("qs", lambda x: F.contains(F.col("body"), x["needle"]))).alias("x")).select("x.query_id", "doc_id", F.lit(1.0).alias("grade"))
+    needles = q.select("query_id", t.collapse(F.col("query")).alias("needle"))
+    qrels = evaluation.containing(docs, needles).select("query_id", "doc_id", F.lit(1.0).alias("grade"))
     top = lexical.retrieve(views.entries(spark, d), q, 10).select("query_id", F.col("id").alias("doc_id"), "rank")
     return evaluation.retrieval_metrics(top, qrels).select("query_id", SIX("ndcg"), SIX("recall"), SIX("rr"))
 
@@ -412,8 +398,7 @@ def judge_metrics(spark, d):
 
 
 def _verified(spark, d):
-    docs = views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("text"), F.concat(F.lit("p"), (F.col("p_partkey") % 11).cast("string")).alias("project"))
-    return docs.filter("id <= 300")
+    return views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("text"), F.concat(F.lit("p"), (F.col("p_partkey") % 11).cast("string")).alias("project"))
 
 
 @query
@@ -463,7 +448,7 @@ def turn_context(spark, d):
 def _nodes(spark, d, side: str):
     o = F.col("o_orderkey")
     new = side == "after"
-    rows = views.table(spark, d, "orders").filter(f"o_orderkey % {11 if new else 13} <> 0 and o_orderkey <= 4000")
+    rows = views.table(spark, d, "orders").filter(f"o_orderkey % {11 if new else 13} <> 0")
     flip = lambda n: (o % n == 0) if new else F.lit(False)
     return rows.select(
         F.lit(side).alias("snapshot_id"), o.alias("id"), F.col("o_custkey").alias("parent_id"), F.element_at(F.array(F.lit("marker"), F.lit("interactive"), F.lit("region"), F.lit("landmark")), (o % 4 + 1).cast("int")).alias("kind"),
@@ -567,3 +552,144 @@ def gate_decisions(spark, d):
     o = F.col("o_orderkey")
     rows = views.table(spark, d, "orders").select(o.alias("id"), (o % 9 != 0).alias("gate"), (o % 4).alias("n_changed"), (o % 3).alias("n_renderable"), (o % 5 == 0).alias("inspected"), (o % 6).alias("inspections"), F.lit(4).alias("most"))
     return rows.select("id", governance.gate().alias("act"))
+
+
+def _ledger(spark, d):
+    rows = _doubts(spark, d)
+    return rows.withColumn("kind", F.when(F.col("key") % 2 == 0, "module").otherwise("entry"))
+
+
+@query
+def doubt_escalations(spark, d):
+    return governance.escalate(_ledger(spark, d))
+
+
+@query
+def escalated_modules(spark, d):
+    return governance.escalated_keys(_ledger(spark, d))
+
+
+@query
+def failure_flags(spark, d):
+    return governance.streak_flags(views.entries(spark, d), governance.failure_streaks(views.signals(spark, d)))
+
+
+@query
+def feedback_dislikes(spark, d):
+    e = views.table(spark, d, "events")
+    polls = e.select((F.col("user_id") % 50).alias("session_id"), F.col("user_id").alias("message_id"), F.col("event_id").alias("poll"), F.floor(F.col("value")).cast("long").alias("version"), F.when(F.col("event_type") == "error", "negative").otherwise("positive").alias("rating"))
+    return governance.new_dislikes(polls)
+
+
+@query
+def generalization_proposals(spark, d):
+    """Drafts from clusters of suppliers' twins: two projects hold each verified entry, in the same words."""
+    n = views.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("title"))
+    copies = n.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    v = copies.select((F.col("k") * 2 + F.col("copy")).cast("long").alias("id"), F.concat(F.lit("p"), F.col("copy").cast("string")).alias("project"), "title", F.concat(F.lit("note on "), "title").alias("text"), F.array(F.lit("nation"), F.concat(F.lit("c"), F.col("copy").cast("string"))).alias("tags"), (F.col("k") * 3 % 7 + F.col("copy")).cast("double").alias("score"))
+    known = n.filter("k % 4 = 0").select(F.col("k").alias("id"), "title", F.lit("known").alias("text"), F.when(F.col("k") % 8 == 0, "trusted").otherwise("expired").alias("status"))
+    return governance.proposals(v, governance.clusters(v, governance.similar_pairs(v, 0.99)), known, 0.99).select("cluster", "id", "title", JOINED("tags"), "sources")
+
+
+@query
+def relation_changes(spark, d):
+    o = F.col("o_orderkey")
+    rows = views.table(spark, d, "orders")
+    before = rows.select(o.alias("id"), F.when(o % 3 == 0, F.array(F.lit("below nav"), F.lit("beside aside"))).otherwise(F.array(F.lit("below nav"))).alias("relations"))
+    after = rows.select(o.alias("id"), F.when(o % 5 == 0, F.array(F.lit("below main"))).otherwise(F.array(F.lit("below nav"))).alias("relations"))
+    return layout.relation_changes(before, after)
+
+
+@query
+def chunk_search_fused(spark, d):
+    """Chunk search where every query's words and the vectors of a hash embedder meet by rank."""
+    docs = _pages(spark, d)
+    cut = shared.write_shared(documents.chunk_documents(docs), "chunks")
+    ask = docs.select("doc_id", F.col("doc_id").alias("query_id"), F.array_join(F.slice(t.tokenize(F.col("text")), 1, 12), " ").alias("query"))
+    none = spark.createDataFrame([], "doc_id long, from_line int, to_line int")
+    words = documents.search_chunks(docs, cut, ask, none, limit=50).select("query_id", "doc_id", "seq", "rank")
+    near = cut.select(F.col("doc_id").alias("query_id"), "doc_id", "seq", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("chars").desc(), "seq")).alias("rank")).filter("rank <= 3")
+    return documents.fused_chunks(words, near)
+
+
+@query
+def hit_lines(spark, d):
+    e = views.entries(spark, d).withColumn("notes", governance.annotations())
+    return e.filter("title is not null").select("id", F.md5(t.hit_line()).alias("line_md5"))
+
+
+@query
+def text_updates(spark, d):
+    e = views.entries(spark, d)
+    new = e.filter("id % 9 = 0").select("id", F.when(F.col("id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("new "), F.col("text"))).alias("text"), F.lit("rewritten").alias("reason")).filter("trim(text) <> ''")
+    return store.update_texts(e, new, views.now()).select("id", F.length("text").alias("chars"), F.size("history").cast("long").alias("events"))
+
+
+def _bound(spark, d):
+    e = views.entries(spark, d)
+    return e.withColumn("bindings", F.transform("bindings", lambda x: F.struct(x.alias("path"), F.lit("old").alias("content_hash")))), e.select(F.explode("bindings").alias("path")).distinct().withColumn("hash", F.md5("path"))
+
+
+@query
+def rebound_entries(spark, d):
+    e, files_ = _bound(spark, d)
+    to = e.filter("tier = 'project' and id % 4 = 0").select("id", F.array(F.concat(F.lit("\\src/mod"), (F.col("id") % 10 * 2).cast("string"), F.lit(".css"))).alias("paths"), F.lit("moved").alias("reason"))
+    known = files_.unionByName(to.select(F.explode("paths").alias("path")).distinct().select(F.translate("path", "\\", "").alias("path"), F.md5(F.translate("path", "\\", "")).alias("hash"))).distinct()
+    after = store.rebind(e, to, known, views.now(), clear=True)
+    return after.select("id", "needs_review", F.array_join(F.transform("bindings", lambda x: F.concat_ws("=", x["path"], x["content_hash"])), ",").alias("bindings"), F.array_join(F.transform("history", lambda x: x["reason"]), ";").alias("reasons"))
+
+
+@query
+def reverified_entries(spark, d):
+    e, files_ = _bound(spark, d)
+    after = store.reverify(e, e.filter("needs_review").select("id"), files_, views.now(), accept=True)
+    return after.select("id", "needs_review", F.size("history").cast("long").alias("events"), F.array_join(F.transform("bindings", lambda x: x["content_hash"]), ",").alias("hashes"))
+
+
+@query
+def added_entries(spark, d):
+    e, files_ = _bound(spark, d)
+    drafts = e.filter("title is not null and trim(title) <> '' and trim(text) <> ''").select("id", "tier", "kind", "title", "text", F.expr("filter(tags, x -> x is not null)").alias("tags"), F.when(F.col("tier") == "project", F.transform("bindings", lambda x: F.concat(F.lit("/"), x["path"]))).otherwise(F.expr("cast(array() as array<string>)")).alias("bindings"))
+    after = store.add_entries(drafts, files_, views.now())
+    return after.select("id", "title", "status", JOINED("tags"), F.array_join(F.transform("bindings", lambda x: x["content_hash"]), ",").alias("hashes"), F.size("history").cast("long").alias("events"))
+
+
+@query
+def document_redlines(spark, d):
+    e = views.entries(spark, d).filter("mounted_doc is not null")
+    docs = e.select(F.col("mounted_doc").alias("doc_id"), (F.col("id") % 20 + 5).cast("int").alias("line_count"))
+    _, over = store.redline_lines(e, e.select("id", F.lit(2).alias("from_line"), (F.col("id") % 11 + 2).cast("int").alias("to_line")), docs)
+    return over.select("id", SIX("ratio"))
+
+
+@query
+def documents_with_mounts(spark, d):
+    docs = views.table(spark, d, "documents").select(F.concat(F.lit("d-"), (F.col("doc_id") - F.col("doc_id") % 3).cast("string")).alias("doc_id")).distinct()
+    state = docs.select("doc_id", F.when(F.length("doc_id") % 2 == 0, "current").otherwise("stale").alias("status")).filter("doc_id <> 'd-0'")
+    return store.mounted_docs(docs, views.entries(spark, d), state).select("doc_id", F.array_join(F.transform("mounted", lambda x: x.cast("string")), ",").alias("mounted"), "vectors")
+
+
+@query
+def entry_lookup(spark, d):
+    e = views.entries(spark, d)
+    return store.point_lookup(e, views.queries(spark, d).select(F.col("query_id").alias("id"))).select("id", "status", "kind")
+
+
+@query
+def ranklog_tail(spark, d):
+    return files.ranklog_tail(views.ranklog(spark, d), 20).select("row_id", "entry_id", "profile")
+
+
+@query
+def workspace_roster(spark, d):
+    c = views.table(spark, d, "customer")
+    rows = c.select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 13 == 0, "").otherwise(F.concat(F.lit("/w/"), "c_name")).alias("root"), (F.col("c_custkey") % 3 > 0).alias("root_exists"), (F.col("c_custkey") % 5 > 0).alias("store_exists"))
+    return files.live_workspaces(rows).select("key", "root")
+
+
+@query
+def chunk_excerpts(spark, d):
+    """The first lines of each page, every third one redlined."""
+    lines = F.slice(F.split("text", "\n"), 1, 40)
+    red = F.transform(lines, lambda x, i: i % 3 == 2)
+    return _pages(spark, d).select("doc_id", t.excerpt(lines, red, 200).alias("excerpt"))

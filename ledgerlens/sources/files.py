@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +28,20 @@ def read_signals(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("at is not null").withColumnRenamed("entryId", "entry_id")
 
 
-def read_beir(spark: SparkSession, folder: str, split: str = "test", zero_as_one: bool = True) -> dict[str, DataFrame]:
-    """docs, queries and qrels of a retrieval set. Only judged queries stay; a grade of 0 or none reads as 1 unless told otherwise."""
+def read_beir(spark: SparkSession, folder: str, split: str = "test", zero_as_one: bool = True, max_queries: int | None = None) -> dict[str, DataFrame]:
+    """docs, queries and qrels of a retrieval set. Only judged queries stay (the first ``max_queries`` of them); of repeated judgements the last counts; a grade of 0 or none reads as 1 unless told otherwise."""
     docs = spark.read.schema("_id string, title string, text string").json(f"{folder}/corpus.jsonl").withColumnRenamed("_id", "doc_id")
     queries = spark.read.schema("_id string, text string").json(f"{folder}/queries.jsonl").withColumnRenamed("_id", "query_id")
     raw = spark.read.csv(f"{folder}/qrels/{split}.tsv", sep="\t", header=True, schema="query_id string, doc_id string, score string")
     grade = F.try_to_number("score", F.lit("9999")).cast("double")
     grade = F.coalesce(F.when(grade != 0, grade), F.lit(1.0)) if zero_as_one else F.coalesce(grade, F.lit(1.0))
-    qrels = raw.groupBy("query_id", "doc_id").agg(F.max(grade).alias("grade"))
-    return {"docs": docs, "queries": queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), "qrels": qrels}
+    line = F.monotonically_increasing_id()  # in the order of the file's lines, as files are read in order of their parts
+    qrels = raw.withColumns({"grade": grade, "line": line}).groupBy("query_id", "doc_id").agg(F.max_by("grade", "line").alias("grade"), F.min("line").alias("line"))
+    judged = qrels.groupBy("query_id").agg(F.min("line").alias("line"))
+    if max_queries is not None:
+        judged = judged.orderBy("line").limit(max_queries)
+        qrels = qrels.join(judged.select("query_id"), "query_id", "left_semi")
+    return {"docs": docs, "queries": queries.join(judged, "query_id").select(*queries.columns), "qrels": qrels.drop("line")}
 
 
 def ingest_snapshots(sources: DataFrame, known: DataFrame) -> DataFrame:
@@ -66,3 +73,68 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, version: str) -> Da
     """The rows of both, the greatest version of each key."""
     order = Window.partitionBy(key).orderBy(F.col(version).desc())
     return current.unionByName(changes).withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+
+
+RANKLOG = "v int, at string, profile string, query string, row_id long, candidates array<struct<id: string, score: double, features: map<string, double>>>"
+
+
+def ranklog_tail(log: DataFrame, n: int, order: str = "row_id") -> DataFrame:
+    """The last ``n`` rows of a log."""
+    return log.orderBy(F.col(order).desc()).limit(n)
+
+
+def read_doubts(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of doubts and escalations, told apart by ``type``."""
+    return read_jsonl(spark, path, DOUBT)
+
+
+def replace_chunks(ledger: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunk ledger after documents were chunked anew: all old rows of these documents are gone."""
+    return ledger.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(chunks)
+
+
+def drop_chunks(ledger: DataFrame, gone: DataFrame) -> DataFrame:
+    """The chunk ledger without the documents (doc_id)."""
+    return ledger.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def write_vectors(vectors: DataFrame, path: str, version: str, dim: int) -> None:
+    """Store (key, embedding) with its version; a vector of another length or a repeated key fails the write."""
+    checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("wrong length: "), F.col("key").cast("string"))))
+    one = F.when(F.count("*").over(Window.partitionBy("key")) == 1, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("repeated key: "), F.col("key").cast("string"))))
+    vectors.select(one.alias("key"), checked.cast("array<float>").alias("embedding"), F.lit(version).alias("version")).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, version: str, dim: int) -> DataFrame | None:
+    """The stored vectors; None, which calls for a new build, where the version or a length is not the expected one."""
+    rows = spark.read.parquet(path)
+    bad = rows.filter((F.col("version") != version) | (F.size("embedding") != dim))
+    return rows.select("key", "embedding") if bad.isEmpty() else None
+
+
+def float_bytes(vector: str = "embedding"):
+    """Column: a vector as little-endian 32-bit floats; ``floats`` reads them back."""
+
+    @F.pandas_udf("binary")
+    def encode(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return encode(F.col(vector))
+
+
+def floats(data: str):
+    @F.pandas_udf("array<float>")
+    def decode(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else np.frombuffer(x, "<f4").astype(np.float32))
+
+    return decode(F.col(data))
+
+
+def roster(workspaces: DataFrame) -> DataFrame:
+    """Workspaces by root, then key."""
+    return workspaces.orderBy("root", "key")
+
+
+def live_workspaces(workspaces: DataFrame) -> DataFrame:
+    """Those that have a root which exists, and a store."""
+    return roster(workspaces.filter("root <> '' and root_exists and store_exists"))
