@@ -80,3 +80,27 @@ EDGES = [
 
 # Fixed values: (longest query, strip code, take identifiers out of the embedded text).
 PROFILES = {"tool": (0, False, False), "pre-step": (1200, True, False), "gate": (0, False, True)}
+
+# Fixed values, as equal results need them: a word is an identifier if one of these patterns matches it.
+IDENTIFIER_PATTERNS = [
+    r"[/\\]",
+    r"^[\w.-]+\.[A-Za-z][A-Za-z0-9]{0,5}$",
+    r"^[A-Za-z][\w]*(?:[-_][\w]+)+$",
+    r"^[A-Z][A-Z0-9_]{2,}$",
+    r"^v?\d+(?:\.\d+)+$",
+    r"^[A-Z]?\d{3,}$",
+    r"^[a-z]+[A-Z][A-Za-z0-9]*$",
+]
+# Signs that do not belong to a word before it and behind it.
+LEADING_SIGNS, TRAILING_SIGNS = r"^[`'\"\[({<]+", r"[`'\"\[)\]}>.,;:!?]+$"
+# Pieces of an identifier by case, and where letters and digits meet.
+IDENTIFIER_PIECE = "[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
+LETTER_DIGIT = "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+
+# How tags of a page become text. Those without readable content go with all that they hold.
+SKIPPED_TAGS = ["script", "style", "noscript", "template", "svg"]
+OPENING_TAGS = {**{f"h{n}": "\n\n" + "#" * n + " " for n in range(1, 7)}, "li": "\n- "}
+CLOSING_TAGS = {**{f"h{n}": "\n" for n in range(1, 7)}, "li": "", "td": " | ", "th": " | "}
+BLOCK_TAGS = "p div section article header footer main aside nav tr table thead tbody blockquote figure figcaption pre ul ol dl dt dd form fieldset h[1-6] li br hr".split()
+# Entities, of which the ampersand comes last.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;|&apos;": "'", "&amp;": "&"}

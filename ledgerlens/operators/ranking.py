@@ -67,7 +67,7 @@ def _best(queries: list, k: int, floor: float):
                 least = np.partition(scores, -k, axis=0)[-k] if len(at) > k else np.full(len(names), -np.inf)
                 row, column = np.nonzero((scores >= least) & (scores > floor))
                 keys = b.column("key").take(pa.array(at[row]))
-                yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in column]), keys, pa.array(scores[row, column])], ["query_id", "key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(column)), keys, pa.array(scores[row, column])], ["query_id", "key", "score"])
 
     return run
 

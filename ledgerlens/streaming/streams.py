@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlens.functions import params as p
 from ledgerlens.operators.shared import shared_path
@@ -27,17 +23,18 @@ def stream_scores(signals: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 
 def stream_doubts(doubts: DataFrame, threshold: int = p.DOUBT_THRESHOLD) -> DataFrame:
-    """(key, escalations, open): a key's doubts are counted, and start anew when they reach the threshold."""
+    """(key, escalations, open) of each key with new doubts: they are counted, and start anew when they reach the threshold."""
+    return doubts.groupBy("key").agg(F.count("*").alias("n")).selectExpr("key", f"n div {int(threshold)} as escalations", f"n % {int(threshold)} as open")
+
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_, escalated = state.get if state.exists else (0, 0)
-        for f in frames:
-            open_ += len(f)
-        escalated, open_ = escalated + open_ // threshold, open_ % threshold
-        state.update((open_, escalated))
-        yield pd.DataFrame({"key": [key[0]], "escalations": [escalated], "open": [open_]})
+def escalation_actions(counts: DataFrame, before: DataFrame, kind: str) -> DataFrame:
+    """(key, action, times): what a batch of ``stream_doubts`` calls for beyond the escalations (key, escalations) seen before.
 
-    return doubts.groupBy("key").applyInPandasWithState(step, "key long, escalations long, open long", "open long, escalated long", "update", GroupStateTimeout.NoTimeout)
+    A module is to be inspected from then on; an entry gets a rejection each time.
+    """
+    seen = before.select("key", F.col("escalations").alias("seen"))
+    rows = counts.join(seen, "key", "left").withColumn("times", F.col("escalations") - F.coalesce("seen", F.lit(0)))
+    return rows.filter("times > 0").select("key", F.lit("inspect" if kind == "module" else "user-reject").alias("action"), "times")
 
 
 def stream_labels(log: DataFrame, signals: DataFrame, days: int = p.LABEL_DAYS, watermark: str = "1 day") -> DataFrame:
