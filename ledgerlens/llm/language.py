@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_and_text
+from ledgerlens.llm.common import id_and_text, materialize
 
 #: Families of closely related languages; any other language is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance"}
@@ -111,11 +111,12 @@ def fit(labelled: DataFrame, families: dict[str, str] | None = None, sample: int
     """Train on (text, lang) rows; lang is not null. Rows are drawn by a hash of their text, each language equally."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     different = F.approx_count_distinct("text", 0.02).alias("n")  # copies count once, else a large group of them would be the sample
-    sizes = rows.groupBy("lang").agg(different)  # a row for each language
+    sizes = materialize(rows.groupBy("lang").agg(different), "languages")
     each = max(LEAST, sample // max(1, sizes.count()))
     # texts whose hash is small enough, three times as many as wanted on average, then the smallest of these
     drawn = F.shiftrightunsigned(F.xxhash64("text"), 1).cast("double") / float(1 << 63)
-    rows = rows.join(sizes, "lang").filter(drawn <= 3.0 * each / F.greatest(F.col("n"), F.lit(1)))
+    # a row for each language, of which the model will hold vectors of 32 KB
+    rows = rows.join(F.broadcast(sizes), "lang").filter(drawn <= 3.0 * each / F.greatest(F.col("n"), F.lit(1)))
     rows = rows.select("lang", "text").dropDuplicates()
     smallest = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     rows = rows.withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= each)
