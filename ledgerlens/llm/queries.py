@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import audio, chunk_dedup, decontaminate, language, mixing, pii, quality, sharding, simhash, token_counts
-from ledgerlens.llm.common import table
+from ledgerlens.llm import audio, chunk_dedup, collocations, decontaminate, fill_middle, language, mixing, pii, quality, quality_rules, sharding, simhash, token_counts
+from ledgerlens.llm.common import materialize, table
 
 ERROR_RATE = 0.08
 SHARDS = 8
 SEED = 7
 MAX_EPOCHS = 4
+FIM_SEED, FIM_PERCENT, FIM_SPM_PERCENT = 42, 50, 80
 #: The corpus is read once over: as many tokens as it has.
 SHARE = (1, 1)
 #: Weights of the mixture; 1 where none is given.
@@ -96,10 +97,34 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "words", "first_doc_id", dropped.alias("dropped_chars"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), FIM_SEED, FIM_PERCENT, FIM_SPM_PERCENT)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select(
+        "doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"), F.char_length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics are made once and written; labels of the held-out third (as in op9) are never seen."""
+    stats = materialize(quality_rules.statistics(table(spark, sf_dir, "documents")), "statistics")
+    rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"), bucket("label_id", 3) != 1)
+    rows = quality_rules.apply_rules(stats, rules)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", (bucket("doc_id", 3) == 1).alias("held_out"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_counts, op3_language_id, op4_sharding, op5_mixing, op6_personal_data, op7_audio_features, op8_simhash, op9_quality, op10_chunk_dedup)
-}
+    for f in (
+        op1_decontamination, op2_token_counts, op3_language_id, op4_sharding, op5_mixing, op6_personal_data, op7_audio_features, op8_simhash, op9_quality, op10_chunk_dedup,
+        op11_fill_middle, op12_quality_rules, op13_collocations,
+    )
+}
 
 _CASES = " ".join(f"when '{k}' then {v}" for k, v in WEIGHTS.items())
 
@@ -142,4 +167,34 @@ ORACLE_SQL: dict[str, str] = {
     q as (select *, sum(tokens) over (partition by d, l, s order by spot range between unbounded preceding and current row exclude group) as before from k),
     m as (select *, full_epochs + (case when left_over > 0 and coalesce(before, 0) < left_over then 1 else 0 end) as times from q)
     select doc_id, d as domain, l as lang, s as source, tokens, unnest(range(times::bigint))::bigint as epoch from m""",
+    "op11_fill_middle": f"""
+    with u as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as units,
+               sha256('{FIM_SEED}:' || coalesce(doc_id::varchar, '')) as h from documents),
+    k as (select *, len(units)::bigint as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from u),
+    c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+          case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= {FIM_PERCENT} then 'plain' when h4 % 100 < {FIM_SPM_PERCENT} then 'spm' else 'psm' end as form from k),
+    p as (select *, coalesce(array_to_string(units[1:a], ''), '') as pre, coalesce(array_to_string(units[a + 1:b], ''), '') as mid, coalesce(array_to_string(units[b + 1:], ''), '') as suf from c),
+    o as (select *, case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end as out from p)
+    select doc_id, n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars, case when form <> 'plain' then length(mid) end::bigint as middle_chars, sha256(out) as output_sha256,
+      sha256(case form when 'plain' then out when 'psm' then regexp_extract(out, '(?s)^<P>(.*)<S>(.*)<M>(.*)$', 1) || regexp_extract(out, '(?s)^<P>(.*)<S>(.*)<M>(.*)$', 3) || regexp_extract(out, '(?s)^<P>(.*)<S>(.*)<M>(.*)$', 2)
+        else regexp_extract(out, '(?s)^<S>(.*)<P>(.*)<M>(.*)$', 2) || regexp_extract(out, '(?s)^<S>(.*)<P>(.*)<M>(.*)$', 3) || regexp_extract(out, '(?s)^<S>(.*)<P>(.*)<M>(.*)$', 1) end) as restored_sha256 from o""",
+    "op13_collocations": """
+    with pieces as (select lang, row_number() over () as piece, regexp_extract_all(p, '[^\\x20\\x09]+') as words from (select coalesce(lang, 'und') as lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents)),
+    t as (select lang, piece, unnest(words) as w1, generate_subscripts(words, 1) as i from pieces),
+    g as (select lang, w1, lead(w1) over w as w2, lead(w1, 2) over w as w3 from t window w as (partition by piece order by i)),
+    f1 as (select lang, w1, count(*)::hugeint as f from g group by all),
+    f2 as (select lang, w1, w2, count(*)::hugeint as f from g where w2 is not null group by all),
+    f3 as (select lang, w1, w2, w3, count(*)::hugeint as f from g where w3 is not null group by all having count(*) >= 10),
+    totals as (select lang, sum(f)::bigint as n from f1 group by lang),
+    inner2 as (select lang, w1, w2, max(f) as longer from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by all),
+    two as (select f2.lang, f2.w1 || ' ' || f2.w2 as phrase, f2.f as a, x.f as l, y.f as r from f2 join f1 x on x.lang = f2.lang and x.w1 = f2.w1 join f1 y on y.lang = f2.lang and y.w1 = f2.w2
+            left join inner2 i on i.lang = f2.lang and i.w1 = f2.w1 and i.w2 = f2.w2 where f2.f >= 10 and (longer is null or 100 * longer < 50 * f2.f)),
+    cuts as (select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 as phrase, f3.f as a, x.f as l1, yz.f as r1, xy.f as l2, z.f as r2 from f3
+             join f1 x on x.lang = f3.lang and x.w1 = f3.w1 join f1 z on z.lang = f3.lang and z.w1 = f3.w3
+             join f2 xy on xy.lang = f3.lang and xy.w1 = f3.w1 and xy.w2 = f3.w2 join f2 yz on yz.lang = f3.lang and yz.w1 = f3.w2 and yz.w2 = f3.w3),
+    three as (select lang, phrase, a, case when early then l1 else l2 end as l, case when early then r1 else r2 end as r from (select *, (1000000 * a * a) // (l1 * r1) <= (1000000 * a * a) // (l2 * r2) as early from cuts)),
+    every as (select *, (1000000 * a * a) // (l * r) as score from (select * from two union all select * from three)),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from every)
+    select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000""",
 }
