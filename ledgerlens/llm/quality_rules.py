@@ -67,7 +67,10 @@ def with_repeated_words(rows: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ...): the counts of each whole text."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ...): the counts of each whole text.
+
+    They are written: a filter on a count would else be pushed down into the steps that make it, which would then run for each word.
+    """
     text = F.col("text")
     rows = id_and_text(docs).select(
         "doc_id", "text",
@@ -78,7 +81,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     rows = with_repeated_words(rows)
     count = lambda whole, pattern: (F.length(whole) - F.length(F.regexp_replace(whole, pattern, ""))).cast("long")
     rows = rows.withColumn("rest", F.regexp_replace("dense", r"[\p{L}\p{M}]+", ""))
-    return rows.select(
+    counts = rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length("dense").cast("long").alias("word_chars"),
@@ -92,6 +95,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         count(F.col("dense"), r"\p{Lu}+").alias("n_capitals"),
         count(F.col("rest"), "[.,;:!?]+").alias("n_marks"),
     )
+    return materialize(counts, "statistics")
 
 
 def base_failed() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import audio, chunk_dedup, collocations, decontaminate, fill_middle, language, mixing, pii, quality, quality_rules, sharding, simhash, token_counts
-from ledgerlens.llm.common import materialize, table
+from ledgerlens.llm.common import table
 
 ERROR_RATE = 0.08
 SHARDS = 8
@@ -107,8 +107,8 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics are made once and written; labels of the held-out third (as in op9) are never seen."""
-    stats = materialize(quality_rules.statistics(table(spark, sf_dir, "documents")), "statistics")
+    """Labels of the held-out third (as in op9) are never seen."""
+    stats = quality_rules.statistics(table(spark, sf_dir, "documents"))
     rules = quality_rules.learn(stats, table(spark, sf_dir, "labels"), bucket("label_id", 3) != 1)
     rows = quality_rules.apply_rules(stats, rules)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", (bucket("doc_id", 3) == 1).alias("held_out"))
