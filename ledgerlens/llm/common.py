@@ -65,6 +65,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns under plain names c0, c1, ..., as functions over Arrow batches need them."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[Column], values: list[str], name: str) -> DataFrame:
     """Add ``before_<v>``: the sum of each value over the rows that sort earlier in the group.
 

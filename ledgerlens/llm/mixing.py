@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import body, materialize, prefix_sums
+from ledgerlens.llm.common import body, materialize, prefix_sums, quoted, unused
 
 LEVELS = ["mix_domain", "mix_lang", "mix_source"]
 #: A token, for budgets, is a run of characters other than ASCII white space.
@@ -99,14 +99,15 @@ def mix(
 ) -> DataFrame:
     """All columns of ``docs`` and mix_domain, mix_lang, mix_source, mix_tokens, mix_epoch: one row for each time a document is read.
 
-    The budget is ``share`` (a fraction) of all tokens. ``weights`` has paths such as
+    Where ``docs`` has a column of such a name already, it stays, and the new one has an underscore more. The budget is ``share`` (a fraction) of all tokens. ``weights`` has paths such as
     ``web``, ``web/en``, ``web/en/src0``.
     """
     text = body()
     leaf = [F.coalesce(c.cast("string"), F.lit("(none)")) for c in (domain, F.col("lang"), F.col("source"))]
     own = {**dict(zip(LEVELS, leaf)), "mix_tokens": count_tokens(text) if tokens is None else tokens.cast("long"), "mix_digest": digest(text)}
-    marked = docs.withColumns(own)
-    rows = materialize(marked.select(F.col("doc_id").alias("mix_id"), *own), "mix-rows")
+    names = dict(zip([*own, "mix_epoch", "mix_full", "mix_cut"], unused(docs, *own, "mix_epoch", "mix_full", "mix_cut")))
+    marked = docs.withColumns({names[k]: v for k, v in own.items()})
+    rows = materialize(marked.select(F.col("doc_id").alias("mix_id"), *(F.col(names[k]).alias(k) for k in own)), "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("tokens"))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = materialize(budgets(leaves, weights, total * share[0] // share[1], max_epochs), "mix-plan")
@@ -115,9 +116,10 @@ def mix(
     )
     draws = draws.groupBy(*LEVELS, "at").agg(F.sum("mix_tokens").alias("size"), F.max("rest").alias("rest"))
     cuts = prefix_sums(draws, LEVELS, [F.col("at")], ["size"], "mix-draws").filter("before_size < rest").groupBy(*LEVELS).agg(F.max("at").alias("cut"))
-    plan = plan.join(cuts, LEVELS, "left").select(*LEVELS, F.col("full_epochs").alias("mix_full"), F.col("cut").alias("mix_cut"))
+    plan = plan.join(cuts, LEVELS, "left").select(*(F.col(k).alias(names[k]) for k in LEVELS), F.col("full_epochs").alias(names["mix_full"]), F.col("cut").alias(names["mix_cut"]))
     plan = materialize(plan, "mix-cuts")
-    last = F.col("mix_cut").isNotNull() & (draw(F.col("mix_full"), F.col("doc_id"), F.col("mix_digest"), seed) <= F.col("mix_cut"))
-    times = F.col("mix_full") + last.cast("long")
-    chosen = marked.join(plan, LEVELS).withColumn("mix_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))))
-    return chosen.select(*docs.columns, *LEVELS, "mix_tokens", "mix_epoch")
+    full, cut = F.col(names["mix_full"]), F.col(names["mix_cut"])
+    last = cut.isNotNull() & (draw(full, F.col("doc_id"), F.col(names["mix_digest"]), seed) <= cut)
+    times = full + last.cast("long")
+    chosen = marked.join(plan, [names[k] for k in LEVELS]).withColumn(names["mix_epoch"], F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))))
+    return chosen.select(*quoted(docs), *(names[k] for k in (*LEVELS, "mix_tokens", "mix_epoch")))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import doc_number, id_and_text, materialize
+from ledgerlens.llm.common import doc_number, id_and_text, materialize, numbered
 
 CHUNK = 1_024
 SAMPLE = 2_000
@@ -162,4 +162,5 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
         for b in batches:
             yield b.filter(pa.array([scorer(t.as_py() or "")[0] >= threshold for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

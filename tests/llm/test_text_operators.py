@@ -173,3 +173,25 @@ def test_radix_order_and_runs_over_batches():
         want[tuple(row)] += n
         want[(*row[:2], 0)] += n
     assert found == {k: n for k, n in want.items() if n >= 5}
+
+
+def test_every_sign_that_the_transducer_rewrites_wakes_it():
+    import sys
+
+    from ledgerlens.llm import pii
+
+    signs = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    assert all(pii._HINT.search(c) for c in signs if (m := pii._TRIGGER.fullmatch(c)) and m.lastgroup == "glyph" and pii._plain_glyph(c) != c)
+    for text, span in (("192.168.¹.¹", (0, 11)), ("192.168.².7", (0, 11)), ("192.168.⁴.⁴", (0, 11))):
+        assert [(k, a, b) for k, a, b, _ in pii.find(text)] == [("ip", *span)]
+
+
+def test_columns_of_any_name_stay(spark, odd):
+    from ledgerlens.llm import mixing, quality
+
+    rows = odd.select("doc_id", "text", "lang", "source", F.lit(0.5).alias("mix_tokens"), F.lit("x").alias("a.b"))
+    mixed = mixing.mix(rows, q.domain_of(), {}, (1, 1), 2, 7)
+    assert mixed.columns[:6] == rows.columns and "mix_tokens_" in mixed.columns
+    assert {r["mix_tokens"] for r in mixed.collect()} == {0.5}
+    kept = quality.keep_good(rows, quality.Model(b"", b"", (0.0, 0.0), 1.0))
+    assert kept.columns == rows.columns and kept.count() == rows.count()
