@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
 from ledgerlens.operators.lexical import top_k
-from ledgerlens.operators.ranking import fuse
+from ledgerlens.operators.ranking import QUERY_BLOCK, fuse, unit
 from ledgerlens.operators.shared import write_shared
 
 _HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*")
@@ -71,66 +73,165 @@ def chunk(text: str, longest: int = p.CHUNK_CHARS, step: int = p.WINDOW_STEP) ->
     return out
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """Chunks of (doc_id, text)."""
-    schema = CHUNK.format(dict(docs.dtypes)["doc_id"])
+def chunk_documents(docs: DataFrame, bodies: bool = False) -> DataFrame:
+    """Chunks of (doc_id, text); with ``bodies`` each carries its own lines, joined, and nothing else of its document."""
+    schema = CHUNK.format(dict(docs.dtypes)["doc_id"]) + (", body string" if bodies else "")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(d, *c, p.CHUNKER_VERSION) for d, x in zip(f["doc_id"], f["text"]) for c in chunk(x or "")]
+            rows = []
+            for d, x in zip(f["doc_id"], f["text"]):
+                lines = re.sub(r"\r\n?", "\n", x or "").split("\n") if bodies else []
+                rows += [(d, *c, p.CHUNKER_VERSION, *(["\n".join(lines[c[2] - 1 : c[3]])] if bodies else [])) for c in chunk(x or "")]
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"seq": "int32", "start_line": "int32", "end_line": "int32", "chars": "int32", "overlap_with": "Int32"})
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
-def search_chunks(
-    docs: DataFrame, chunks: DataFrame, queries: DataFrame, redlines: DataFrame, limit: int = p.RESULT_LIMIT, heading_weight: float = 2.0, body_weight: float = 1.0
-) -> DataFrame:
-    """The best chunks of each query (query_id, doc_id, query): second-level search inside one document.
+#: Lines to a bin when the furthest end of ranges is looked up.
+REACH_BIN = 1_024
 
-    ``redlines``: (doc_id, from_line, to_line); a null doc_id means every document. Chunks that one
-    redline covers are gone, redlined lines are not read, and a chunk that repeats the end of a
-    matching predecessor gives way to it.
+
+def reach(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line, reach) of each different (keys, line) of ``points``: the furthest ``to_line`` of the ranges (keys, from_line, to_line) that begin at the line or before.
+
+    One number answers three questions: a range covers lines a to b if the reach at a is b or more; one meets
+    them if the reach at b is a or more; a line is inside one if its own reach is not less. Lines are ranked inside bins, each of
+    which starts from the furthest end of the bins before, so neither a long document nor many ranges of one meet in one task,
+    and no row holds an array.
     """
-    ranges = redlines.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("from_line").alias("from"), F.col("to_line").alias("to"))).alias("own"))
-    every = redlines.filter("doc_id is null").agg(F.collect_list(F.struct(F.col("from_line").alias("from"), F.col("to_line").alias("to"))).alias("every"))  # one row
-    wanted = queries.select("doc_id").distinct()
-    rows = chunks.join(wanted, "doc_id").join(docs.select("doc_id", F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n").alias("all_lines")), "doc_id")
-    rows = rows.join(ranges.filter("doc_id is not null"), "doc_id", "left").crossJoin(F.broadcast(every))
-    rows = rows.withColumn("red", F.concat(F.coalesce("own", F.expr("cast(array() as array<struct<`from`: int, `to`: int>>)")), "every"))
-    lines = F.slice("all_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    kept = F.filter(
-        F.transform(lines, lambda x, i: F.struct((F.col("start_line") + i).alias("n"), x.alias("x"))),
-        lambda l: ~F.exists("red", lambda r: (l["n"] >= r["from"]) & (l["n"] <= r["to"])),
-    )
-    rows = rows.filter(~F.exists("red", lambda r: (F.col("start_line") >= r["from"]) & (F.col("end_line") <= r["to"])))
-    rows = rows.select(
-        "doc_id", "seq", "overlap_with", "heading_path", "start_line", "end_line",
-        t.tokenize(F.col("heading_path")).alias("head"), t.tokenize(F.array_join(F.transform(kept, lambda x: x["x"]), "\n")).alias("body"),
-        F.exists("red", lambda r: (F.col("start_line") <= r["to"]) & (F.col("end_line") >= r["from"])).alias("partly_redlined"),
+    at = F.floor(F.col("line") / REACH_BIN)
+    asked = points.select(*keys, "line").distinct().select(*keys, "line", F.lit(None).cast("int").alias("to"), F.lit(2).alias("turn"))
+    begun = ranges.groupBy(*keys, F.col("from_line").alias("line")).agg(F.max("to_line").cast("int").alias("to")).withColumn("turn", F.lit(1))
+    rows = asked.unionByName(begun).withColumn("bin", at)
+    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(*keys, "bin").agg(F.max("to").alias("top")).withColumn("to", F.max("top").over(before))
+    bins = bins.filter("to is not null").select(*keys, (F.col("bin") * REACH_BIN).cast("int").alias("line"), "to", F.lit(0).alias("turn"), "bin")
+    running = Window.partitionBy(*keys, "bin").orderBy("line", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.unionByName(bins).withColumn("reach", F.max("to").over(running)).filter("turn = 2").select(*keys, "line", "reach")
+
+
+def read_chunks(chunks: DataFrame, redlines: DataFrame) -> DataFrame:
+    """Chunks (with ``body``) as search reads them: without those that one redline covers, and without redlined lines.
+
+    ``redlines``: (doc_id, from_line, to_line); a null doc_id means every document. Gives doc_id, seq, overlap_with,
+    head and kept (tokens of the heading path and of the lines that stand), partly_redlined.
+    """
+    parts = chunks.select("doc_id", "seq", "start_line", "end_line", F.posexplode(F.split("body", "\n", -1)).alias("at", "x")).withColumn("line", F.col("start_line") + F.col("at"))
+    own = reach(parts, redlines.filter("doc_id is not null"), ["doc_id"])
+    every = reach(parts, redlines.filter("doc_id is null"), []).withColumnRenamed("reach", "reach_all")
+    parts = parts.join(own, ["doc_id", "line"], "left").join(every, "line", "left").withColumn("reach", F.greatest("reach", "reach_all"))
+    stands = F.col("reach").isNull() | (F.col("reach") < F.col("line"))
+    read = parts.groupBy("doc_id", "seq").agg(
+        F.max(F.when(F.col("line") == F.col("start_line"), F.col("reach") >= F.col("end_line"))).alias("covered"),
+        F.max(F.when(F.col("line") == F.col("end_line"), F.col("reach") >= F.col("start_line"))).alias("met"),
+        F.sort_array(F.collect_list(F.when(stands, F.struct("line", "x")))).alias("lines"),
     )
-    asked = queries.select("query_id", "doc_id", t.tokenize(F.col("query")).alias("terms"))
-    hits = asked.join(rows, "doc_id")
-    in_head, in_body = F.array_intersect("terms", "head"), F.array_intersect("terms", "body")
-    matched = F.array_sort(F.array_union(in_head, in_body))
+    heads = chunks.select("doc_id", "seq", "overlap_with", t.tokenize(F.col("heading_path")).alias("head"))
+    return read.filter("covered is null or not covered").join(heads, ["doc_id", "seq"]).select(
+        "doc_id", "seq", "overlap_with", "head", t.tokenize(F.array_join(F.transform("lines", lambda l: l["x"]), "\n")).alias("kept"), F.coalesce("met", F.lit(False)).alias("partly_redlined")
+    )
+
+
+def chunk_hits(read: DataFrame, queries: DataFrame, heading_weight: float = 2.0, body_weight: float = 1.0) -> DataFrame:
+    """Chunks of ``read_chunks`` that share words with a query (query_id, doc_id, query), with score and matched words."""
+    hits = queries.select("query_id", "doc_id", t.tokenize(F.col("query")).alias("terms")).filter(F.size("terms") > 0).join(read, "doc_id")
+    in_head, in_body = F.array_intersect("terms", "head"), F.array_intersect("terms", "kept")
     total = F.size(in_head) * heading_weight + F.size(in_body) * body_weight
-    hits = hits.withColumn("matched", matched).withColumn("score", F.when(F.size("terms") > 0, t.round_half_up(total * F.size("matched") / F.size("terms"), 2)).otherwise(0.0)).filter("score > 0")
+    hits = hits.withColumn("matched", F.array_sort(F.array_union(in_head, in_body)))
+    hits = hits.withColumn("score", t.round_half_up(total * F.size("matched") / F.size("terms"), 2)).filter("score > 0")
+    return hits.select("query_id", "doc_id", "seq", "overlap_with", "score", "matched", "partly_redlined")
+
+
+def best_chunks(hits: DataFrame, limit: int = p.RESULT_LIMIT) -> DataFrame:
+    """Each query's best hits; a chunk that repeats the end of a predecessor that matches too gives way to it."""
     before = hits.select("query_id", "doc_id", F.col("seq").alias("overlap_with"), F.lit(True).alias("shown"))
-    hits = hits.join(before, ["query_id", "doc_id", "overlap_with"], "left").filter("shown is null")
-    return top_k(hits, limit, F.col("score").desc(), F.col("seq"), F.col("doc_id")).drop("shown", "head", "body", "terms")
+    alone = hits.join(before, ["query_id", "doc_id", "overlap_with"], "left").filter("shown is null")
+    return top_k(alone, limit, F.col("score").desc(), F.col("seq"), F.col("doc_id")).drop("shown")
+
 
+def search_chunks(chunks: DataFrame, queries: DataFrame, redlines: DataFrame, limit: int = p.RESULT_LIMIT) -> DataFrame:
+    """The best chunks of each query (query_id, doc_id, query) by words: second-level search inside one document."""
+    wanted = chunks.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    return best_chunks(chunk_hits(read_chunks(wanted, redlines), queries), limit)
 
-def fused_chunks(lexical: DataFrame, vectors: DataFrame, limit: int = p.RESULT_LIMIT) -> DataFrame:
-    """(query_id, doc_id, seq, rank, score, channels): chunks by the fused ranks of both channels, each (query_id, doc_id, seq, rank) and of one document a query.
 
-    A chunk that only one channel found still counts; without vectors the lexical order stands.
+def vector_state(chunks: DataFrame, layer: DataFrame, version: str) -> DataFrame:
+    """(doc_id, state, missing) of each document's vectors: used, partial, index-stale (other versions only) or index-missing."""
+    mine = layer.filter((F.col("version") == version) & F.col("embedding").isNotNull()).select("doc_id", "seq").distinct().withColumn("has", F.lit(1))
+    other = layer.filter(F.col("version") != version).select("doc_id").distinct().withColumn("stale", F.lit(True))
+    rows = chunks.select("doc_id", "seq").join(mine, ["doc_id", "seq"], "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("has").alias("have")).join(other, "doc_id", "left")
+    state = F.when((F.col("have") == 0) & F.col("stale"), "index-stale").when(F.col("have") == 0, "index-missing").when(F.col("have") < F.col("n"), "partial").otherwise("used")
+    return rows.select("doc_id", state.alias("state"), (F.col("n") - F.col("have")).alias("missing"))
+
+
+def nearest_chunks(layer: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, seq, rank, cosine): the ``k`` chunks of each query's own document whose vectors (doc_id, seq, embedding) are nearest, if cosine is above 0.
+
+    Queries (query_id, doc_id, embedding) of one document come in blocks, each of which meets the document's
+    vectors as one matrix product and keeps its best before anything else is shuffled.
     """
-    channel = lambda rows, name: rows.select("query_id", F.lit(name).alias("channel"), F.lit(1.0).alias("weight"), "rank", F.struct("doc_id", "seq").alias("key"))
-    rows = fuse(channel(lexical, "lexical").unionByName(channel(vectors, "vector"))).filter(F.col("position") <= limit)
+    dealt = asked.groupBy("doc_id").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
+    left = layer.select("doc_id", "seq", "embedding").join(dealt, "doc_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = asked.select("query_id", "doc_id", "embedding").join(dealt, "doc_id").select("query_id", F.col("doc_id").alias("of"), "embedding", block.alias("of_block"))
+    types = dict(asked.dtypes)
+
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", queries.schema.field("query_id").type), ("doc_id", vectors.schema.field("doc_id").type), ("seq", pa.int32()), ("rank", pa.int32()), ("cosine", pa.float64())])
+        rows: list[tuple] = []
+        own = sorted((s, e) for s, e in zip(vectors.column("seq").to_pylist(), vectors.column("embedding").to_pylist()) if e)
+        for dim in {len(e) for _, e in own}:
+            seqs, mine = [s for s, e in own if len(e) == dim], [e for _, e in own if len(e) == dim]
+            ids, theirs = zip(*[(i, e) for i, e in zip(queries.column("query_id").to_pylist(), queries.column("embedding").to_pylist()) if e and len(e) == dim], strict=True) if queries.num_rows else ((), ())
+            if not ids:
+                continue
+            scores = np.floor(unit(list(theirs), dim) @ unit(mine, dim).T * 1e6 + 0.5) / 1e6
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores: the earlier chunk
+            rows += [(i, seqs[j], r + 1, float(scores[n, j])) for n, i in enumerate(ids) for r, j in enumerate(order[n].tolist()) if scores[n, j] > 0]
+        columns = [[r[0] for r in rows], [vectors.column("doc_id")[0].as_py()] * len(rows) if rows else [], *([r[i] for r in rows] for i in (1, 2, 3))]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    found = left.groupBy("doc_id", "block").cogroup(right.groupBy("of", "of_block"))
+    return found.applyInArrow(best, f"query_id {types['query_id']}, doc_id {types['doc_id']}, seq int, rank int, cosine double")
+
+
+def fused_chunks(lexical: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, doc_id, seq, position, score, channels): chunks by the fused ranks of both channels, each (query_id, doc_id, seq, rank) and of one document a query.
+
+    A chunk that only one channel found still counts.
+    """
+    channel = lambda rows, name: rows.select("query_id", F.lit(name).alias("channel"), F.lit(1.0).alias("weight"), "rank", F.struct(F.col("seq").cast("string").alias("name"), "doc_id", "seq").alias("key"))
+    rows = fuse(channel(lexical, "lexical").unionByName(channel(vectors, "vector")))
     names = F.array_join(F.transform(F.array_sort(F.map_entries("ranks")), lambda x: F.concat(x["key"], F.lit(" #"), x["value"].cast("string"))), " / ")
-    return rows.select("query_id", "key.doc_id", "key.seq", F.col("position").alias("rank"), t.round_half_up(F.col("fused"), 4).alias("score"), names.alias("channels"))
+    return rows.select("query_id", "key.doc_id", "key.seq", "position", t.round_half_up(F.col("fused"), 4).alias("score"), names.alias("channels"))
+
+
+def search_chunks_fused(chunks: DataFrame, queries: DataFrame, redlines: DataFrame, layer: DataFrame, asked: DataFrame, version: str, limit: int = p.RESULT_LIMIT, depth: int = 20) -> DataFrame:
+    """(query_id, doc_id, seq, rank, score, channels, state, missing): chunk search by words and vectors.
+
+    ``layer``: stored vectors (doc_id, seq, version, embedding); ``asked``: the queries' (query_id, embedding), null where
+    embedding failed. Both channels meet by rank: words in the order of the document, vectors by cosine, ``depth`` deep. A document
+    without vectors of this version (index-missing, index-stale) and a query without a vector (error) fall back to
+    the order of words and say so; partial layers take part and say how many are missing. Covered chunks never return.
+    """
+    queries = queries.join(asked.select("query_id", "embedding"), "query_id", "left")
+    wanted = chunks.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    read = write_shared(read_chunks(wanted, redlines), "read-chunks")
+    hits = write_shared(chunk_hits(read, queries), "chunk-hits")
+    known = queries.join(vector_state(wanted, layer, version), "doc_id").filter(F.size(t.tokenize(F.col("query"))) > 0)
+    known = known.withColumn("state", F.when(F.col("state").isin("used", "partial") & F.col("embedding").isNull(), "error").otherwise(F.col("state")))
+    known = write_shared(known.select("query_id", "doc_id", "embedding", "state", "missing"), "chunk-queries")
+    with_vectors = known.filter(F.col("state").isin("used", "partial"))
+    near = nearest_chunks(layer.filter(F.col("version") == version), with_vectors, depth)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
+    words = hits.join(with_vectors.select("query_id"), "query_id", "left_semi").withColumn("rank", place)
+    both = fused_chunks(words.select("query_id", "doc_id", "seq", "rank"), near.select("query_id", "doc_id", "seq", "rank")).join(read.select("doc_id", "seq"), ["doc_id", "seq"])
+    both = top_k(both, limit, F.col("position")).select("query_id", "doc_id", "seq", "rank", "score", "channels")
+    plain = best_chunks(hits.join(with_vectors.select("query_id"), "query_id", "left_anti"), limit).select("query_id", "doc_id", "seq", "rank", "score", F.lit(None).cast("string").alias("channels"))
+    return both.unionByName(plain).join(known.select("query_id", "state", "missing"), "query_id")
 
 
 def browse_chunks(chunks: DataFrame, limit: int = p.RESULT_LIMIT) -> DataFrame:

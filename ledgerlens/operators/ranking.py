@@ -38,7 +38,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = p.RECALL_DEPTH,
     return top_k(found, k, F.col("score").desc(), F.col("key"))
 
 
-def _unit(rows: list, dim: int) -> np.ndarray:
+def unit(rows: list, dim: int) -> np.ndarray:
+    """Rows of unit length; rows of zeros stay."""
     m = np.array(rows, np.float64).reshape(-1, dim)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
@@ -48,7 +49,7 @@ def _best(queries: list, k: int, floor: float):
     """Each batch's rows with their best k for every query, equal scores included."""
     sizes = sorted({len(q["embedding"] or ()) for q in queries})
     ids = [[q["query_id"] for q in queries if len(q["embedding"] or ()) == d] for d in sizes]
-    asked = [_unit([q["embedding"] or () for q in queries if len(q["embedding"] or ()) == d], d) for d in sizes]
+    asked = [unit([q["embedding"] or () for q in queries if len(q["embedding"] or ()) == d], d) for d in sizes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,7 +63,7 @@ def _best(queries: list, k: int, floor: float):
                 own = lengths[at] == dim
                 scores = np.zeros((len(at), len(names)))
                 if own.any() and dim:
-                    scores[own] = _unit(b.column("embedding").take(pa.array(at[own])).flatten().to_numpy(zero_copy_only=False), dim) @ q.T
+                    scores[own] = unit(b.column("embedding").take(pa.array(at[own])).flatten().to_numpy(zero_copy_only=False), dim) @ q.T
                 scores = np.floor(scores * 1e6 + 0.5) / 1e6
                 least = np.partition(scores, -k, axis=0)[-k] if len(at) > k else np.full(len(names), -np.inf)
                 row, column = np.nonzero((scores >= least) & (scores > floor))

@@ -217,7 +217,8 @@ def chunk_search(spark, d):
     docs = _pages(spark, d)
     red = docs.filter("doc_id % 3 = 0").select("doc_id", F.lit(2).alias("from_line"), F.lit(3).alias("to_line"))
     ask = docs.select("doc_id", F.col("doc_id").alias("query_id"), F.array_join(F.slice(t.tokenize(F.col("text")), 1, 12), " ").alias("query"))
-    return documents.search_chunks(docs, documents.chunk_documents(docs), ask, red).select("query_id", "doc_id", "seq", "rank", "score", JOINED("matched"), "partly_redlined")
+    cut = shared.write_shared(documents.chunk_documents(docs, bodies=True), "chunks")
+    return documents.search_chunks(cut, ask, red).select("query_id", "doc_id", "seq", "rank", "score", JOINED("matched"), "partly_redlined")
 
 
 @query
@@ -600,16 +601,36 @@ def relation_changes(spark, d):
     return layout.relation_changes(before, after)
 
 
+def _chunk_layer(spark, d):
+    """Documents' chunks, and their stored vectors: some documents have none, some old ones, some not all."""
+    docs = views.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cut = shared.write_shared(documents.chunk_documents(docs, bodies=True), "chunks")
+    units = cut.select(F.struct("doc_id", "seq").alias("key"), F.concat_ws("\n", "heading_path", "body").alias("text"))
+    rows = ranking.hash_embed(units).select("key.doc_id", "key.seq", "embedding")
+    i = F.col("doc_id") % 7
+    return cut, rows.filter((i != 3) & ((i != 5) | (F.col("seq") % 2 == 1))).withColumn("version", F.when(i == 4, "v0").otherwise("v1"))
+
+
 @query
 def chunk_search_fused(spark, d):
-    """Chunk search where every query's words and the vectors of a hash embedder meet by rank."""
-    docs = _pages(spark, d)
-    cut = shared.write_shared(documents.chunk_documents(docs), "chunks")
+    """Each document's first words asked of its own chunks, by words and by the vectors of a hash embedder; every eleventh query has no vector."""
+    cut, layer = _chunk_layer(spark, d)
+    layer = shared.write_shared(layer, "chunk-vectors")
+    docs = views.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ask = docs.select("doc_id", F.col("doc_id").alias("query_id"), F.array_join(F.slice(t.tokenize(F.col("text")), 1, 12), " ").alias("query"))
-    none = spark.createDataFrame([], "doc_id long, from_line int, to_line int")
-    words = documents.search_chunks(docs, cut, ask, none, limit=50).select("query_id", "doc_id", "seq", "rank")
-    near = cut.select(F.col("doc_id").alias("query_id"), "doc_id", "seq", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("chars").desc(), "seq")).alias("rank")).filter("rank <= 3")
-    return documents.fused_chunks(words, near)
+    vectors = ranking.hash_embed(ask.filter("query_id % 11 <> 0").select(F.col("query_id").alias("key"), F.col("query").alias("text"))).withColumnRenamed("key", "query_id")
+    red = docs.filter("doc_id % 3 = 0").select("doc_id", F.lit(2).alias("from_line"), F.lit(9).alias("to_line")).unionByName(docs.limit(0).select(F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("from_line"), F.lit(1).alias("to_line")))
+    return documents.search_chunks_fused(cut, ask, red, layer, vectors, "v1")
+
+
+@query
+def redlined_chunks(spark, d):
+    """What redlines of all documents and of single ones leave of each document's chunks."""
+    docs = views.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cut = shared.write_shared(documents.chunk_documents(docs, bodies=True), "chunks")
+    own = docs.select("doc_id", F.explode(F.array(F.lit(2), F.lit(5), F.lit(5))).alias("from_line")).withColumn("to_line", (F.col("from_line") + F.col("doc_id") % 6).cast("int"))
+    every = docs.filter("doc_id % 50 = 0").select(F.lit(None).cast("long").alias("doc_id"), (F.col("doc_id") % 40 + 12).cast("int").alias("from_line"), (F.col("doc_id") % 40 + 12).cast("int").alias("to_line"))
+    return documents.read_chunks(cut, own.unionByName(every)).select("doc_id", "seq", "partly_redlined", F.size("kept").alias("words"), F.md5(F.array_join(F.array_sort("kept"), " ")).alias("words_md5"))
 
 
 @query

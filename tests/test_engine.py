@@ -154,10 +154,10 @@ def test_chunk_headings():
 def test_chunk_search_respects_redlines_and_overlap(spark):
     long = "\n".join(f"line {i} common word{i} " + "pad " * 30 for i in range(20))
     docs = spark.createDataFrame([("d", long), ("e", "# Head common\nbody"), ("f", "common here")], "doc_id string, text string")
-    ch = documents.chunk_documents(docs)
+    ch = documents.chunk_documents(docs, bodies=True)
     ask = spark.createDataFrame([(1, "d", "common"), (2, "e", "head common"), (3, "f", "common")], "query_id int, doc_id string, query string")
     red = spark.createDataFrame([("f", 1, 5)], "doc_id string, from_line int, to_line int")
-    rows = documents.search_chunks(docs, ch, ask, red, 50).collect()
+    rows = documents.search_chunks(ch, ask, red, 50).collect()
     assert [r["seq"] for r in rows if r["query_id"] == 1] == [1]  # each later window repeats part of a match
     assert [r["score"] for r in rows if r["query_id"] == 2] == [6.0]
     assert not [r for r in rows if r["query_id"] == 3]

@@ -8,8 +8,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
+from ledgerlens.operators import documents
 from ledgerlens.plans.queries import QUERIES, _pages, _training, _verified
 
 WS = " \t\n\x0b\x0c\r\xa0﻿"
@@ -100,24 +102,97 @@ def test_chunk_search(spark, data, pages, chunks):
     assert {(r["doc_id"], r["seq"], r["rank"], r["score"], r["matched"], r["partly_redlined"]) for r in got} == want and len(got) == len(want)
 
 
-def test_chunk_search_fused(spark, data, pages, chunks):
-    words = _best(_hits(pages, chunks, False), 50)
-    longest = {d: sorted(rows, key=lambda r: (-r["chars"], r["seq"]))[:3] for d, rows in chunks.items()}
-    fused = defaultdict(dict)
-    for (d, seq), rank in words.items():
-        fused[d, seq]["lexical"] = rank
-    for d, rows in longest.items():
-        for i, r in enumerate(rows):
-            fused[d, r["seq"]]["vector"] = i + 1
-    got = {(r["doc_id"], r["seq"]): (r["rank"], r["score"], r["channels"]) for r in QUERIES["chunk_search_fused"](spark, data).collect()}
-    for d in chunks:
-        score = lambda seq: round(sum(1 / (p.RRF_K + r) for r in fused[d, seq].values()), 9)  # noqa: B023, E731
-        order = sorted((s for x, s in fused if x == d), key=lambda s: (-score(s), min(fused[d, s].values()), s))  # noqa: B023
-        for i, seq in enumerate(order[: p.RESULT_LIMIT]):
-            assert got.pop((d, seq)) == (i + 1, np.floor(score(seq) * 1e4 + 0.5) / 1e4, " / ".join(f"{k} #{v}" for k, v in sorted(fused[d, seq].items())))
+def _embedding(text: str) -> np.ndarray:
+    v = np.zeros(p.EMBED_DIM)
+    for token in _tokens(text):
+        a, b = 0x811C9DC5, 0x9E3779B9
+        for i, c in enumerate(token.encode()):
+            a, b = (a ^ c) * 0x01000193 % 2**32, (b ^ (c + i)) * 0x85EBCA6B % 2**32
+        v[a % p.EMBED_DIM] += 1 - 2 * (b % 2)
+    return v / np.linalg.norm(v) if v.any() else v
+
+
+def _word_hits(terms, rows, lines, red):
+    """seq -> score, and the covered seqs, of one document's chunks under redlines (from, to)."""
+    out, covered = {}, set()
+    for r in rows:
+        own = range(r["start_line"], r["end_line"] + 1)
+        if any(a <= own[0] and own[-1] <= b for a, b in red):
+            covered.add(r["seq"])
+            continue
+        body = _tokens("\n".join(lines[i - 1] for i in own if not any(a <= i <= b for a, b in red)))
+        one, two = set(terms) & _tokens(r["heading_path"]), set(terms) & body
+        if score := np.floor((2 * len(one) + len(two)) * len(one | two) / len(terms) * 100 + 0.5) / 100:
+            out[r["seq"]] = score
+    return out, covered
+
+
+def test_chunk_search_fused(spark, data):
+    """Every state of the vectors, against the definition: words in document order, cosines, fusion, covered chunks gone."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    cut = defaultdict(list)
+    for r in sorted(documents.chunk_documents(spark.read.parquet(f"{data}/documents.parquet")).collect(), key=lambda r: (r["doc_id"], r["seq"])):
+        cut[r["doc_id"]].append(r)
+    got, states = defaultdict(dict), set()
+    for r in QUERIES["chunk_search_fused"](spark, data).collect():
+        got[r["query_id"]][r["rank"]] = (r["seq"], r["score"], r["channels"], r["state"], r["missing"])
+        states.add(r["state"])
+    assert states == {"used", "partial", "index-stale", "index-missing", "error"}
+    for d, text in docs.items():
+        lines, terms, rows = text.split("\n"), sorted(_tokens(text))[:12], cut[d]
+        hits, covered = _word_hits(terms, rows, lines, [(2, 9)] if d % 3 == 0 else []) if terms else ({}, set())
+        have = [r for r in rows if d % 7 not in (3, 4) and (d % 7 != 5 or r["seq"] % 2 == 1)]
+        state = "index-missing" if d % 7 == 3 else "index-stale" if d % 7 == 4 else "error" if d % 11 == 0 else "partial" if len(have) < len(rows) else "used"
+        if state in ("used", "partial"):
+            ask = _embedding(" ".join(terms))
+            cosines = [(-np.floor(float(_embedding(r["heading_path"] + "\n" + "\n".join(lines[r["start_line"] - 1 : r["end_line"]])) @ ask) * 1e6 + 0.5) / 1e6, r["seq"]) for r in have]
+            ranks = defaultdict(dict)
+            for i, seq in enumerate(sorted(hits), 1):
+                ranks[seq]["lexical"] = i
+            for i, (c, seq) in enumerate(sorted(cosines)[:20], 1):
+                if c < 0:
+                    ranks[seq]["vector"] = i
+            score = {seq: round(sum(1 / (p.RRF_K + r) for r in x.values()), 9) for seq, x in ranks.items()}
+            order = [s for s in sorted(ranks, key=lambda s: (-score[s], min(ranks[s].values()), str(s))) if s not in covered][: p.RESULT_LIMIT]  # noqa: B023
+            want = {i: (s, np.floor(score[s] * 1e4 + 0.5) / 1e4, " / ".join(f"{k} #{v}" for k, v in sorted(ranks[s].items()))) for i, s in enumerate(order, 1)}
+        else:
+            of = {r["seq"]: r["overlap_with"] for r in rows}
+            order = sorted((s for s in hits if of[s] not in hits), key=lambda s: (-hits[s], s))[: p.RESULT_LIMIT]  # noqa: B023
+            want = {i: (s, hits[s], None) for i, s in enumerate(order, 1)}
+        assert got.pop(d, {}) == {i: (*x, state, len(rows) - len(have)) for i, x in want.items()}, d
     assert not got
 
 
+def test_redlined_chunks(spark, data):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {(r["doc_id"], r["seq"]): (r["partly_redlined"], r["words"], r["words_md5"]) for r in QUERIES["redlined_chunks"](spark, data).collect()}
+    every = [(d % 40 + 12,) * 2 for d in docs if d % 50 == 0]
+    for r in documents.chunk_documents(spark.read.parquet(f"{data}/documents.parquet")).collect():
+        red = [(a, a + r["doc_id"] % 6) for a in (2, 5)] + every
+        own = range(r["start_line"], r["end_line"] + 1)
+        if any(a <= own[0] and own[-1] <= b for a, b in red):
+            continue
+        lines = docs[r["doc_id"]].split("\n")
+        words = sorted(_tokens("\n".join(lines[i - 1] for i in own if not any(a <= i <= b for a, b in red))))
+        met = any(a <= own[-1] and own[0] <= b for a, b in red)
+        assert got.pop((r["doc_id"], r["seq"])) == (met, len(words), hashlib.md5(" ".join(words).encode()).hexdigest())
+    assert not got
+
+
+def test_a_long_document_under_many_redlines(spark):
+    """100,000 lines and 20,000 redlines of one document: no row grows with them, and only what stands is found."""
+    text = "\n".join(f"word{i} filler" for i in range(1, 100_001))
+    cut = documents.chunk_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), bodies=True).cache()
+    red = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 5 + 1).cast("int").alias("from_line"), (F.col("id") * 5 + 2).cast("int").alias("to_line"))
+    found = documents.reach(spark.range(1, 100_001).select(F.col("id").cast("int").alias("line"), F.lit(1).alias("doc_id")), red, ["doc_id"])
+    assert found.filter("reach <> ((line - 1) div 5) * 5 + 2").count() == 0 and found.count() == 100_000
+    read = documents.read_chunks(cut, red)
+    assert read.count() == cut.count() and read.filter("not partly_redlined").count() == 0
+    ask = spark.createDataFrame([(1, 1, "word50001"), (2, 1, "word50003")], "query_id int, doc_id long, query string")
+    assert {r["query_id"] for r in documents.search_chunks(cut, ask, red).collect()} == {2}
+    cut.unpersist()
+
+
 def test_chunk_browse(spark, data, chunks):
     want = set()
     for d, rows in chunks.items():
