@@ -507,6 +507,30 @@ def stream_doubt_escalations(spark, d):
     return rows.groupBy("key").agg(F.max_by(F.struct("escalations", "open"), F.col("escalations") * 1000 + F.col("open")).alias("x")).select("key", "x.escalations", "x.open")
 
 
+@query
+def stream_closed_scores(spark, d):
+    """Each window's scores once, when the watermark has passed its end: closed windows leave the state."""
+    marks = views.to_signals(streams.read_events(spark, d, None))
+    rows = streams.drain(streams.stream_scores(marks), "closed-scores", "append")
+    return rows.select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "entry_id", SIX("window_score"), "n")
+
+
+@query
+def stream_open_doubts(spark, d):
+    """Open doubts of each key, which an escalation in the ledger restarts, from keyed state."""
+    e = streams.read_events(spark, d).filter("event_type in ('error', 'click', 'purchase')")
+    rows = e.select(F.when(F.col("user_id") % 2 == 0, "module").otherwise("entry").alias("kind"), F.col("user_id").alias("key"), F.when(F.col("event_type") == "purchase", "escalated").otherwise("doubt").alias("type"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    found = streams.drain(streams.track_doubts(rows, watermark=streams.span(spark, d)), "open-doubts", "update", numbered=True)
+    return streams.latest(found, ["kind", "key"]).select("kind", F.col("key").cast("long").alias("key"), "open", "due")
+
+
+@query
+def stream_turn_sessions(spark, d):
+    """The last five turns of each session, from keyed state."""
+    c = streams.read_stream(spark, d, "conversations", None).select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
+    return streams.latest(streams.drain(streams.track_turns(c), "turns", "update", numbered=True), ["session_id"]).withColumn("session_id", F.col("session_id").cast("long"))
+
+
 @query
 def stream_label_join(spark, d):
     e = streams.read_events(spark, d)
