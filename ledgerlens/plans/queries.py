@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents, evaluation, governance, hybrid, index, layout, lexical, ranking, shared, store
+from ledgerlens.operators import documents, evaluation, governance, hybrid, index, layout, lexical, ranking, segments, shared, store
 from ledgerlens.sources import files, views
 from ledgerlens.streaming import streams
 
@@ -83,6 +83,34 @@ def bm25f_indexed_topk(spark, d):
     return index.search(index.read_index(spark, path), q, p.RESULT_LIMIT).select("query_id", "id", "rank", "score")
 
 
+@query
+def refreshed_index_topk(spark, d):
+    """Search over two tiers whose stored indexes were built before entries were edited, added and removed, then refreshed."""
+    e, q = lexical.visible(views.entries(spark, d)), views.queries(spark, d)
+    i = F.col("id")
+    before = e.filter("id % 13 <> 0").withColumn("text", F.when(i % 7 == 0, F.concat(F.lit("an older text "), F.reverse("text"))).otherwise(F.col("text")))
+    before = before.unionByName(e.filter("id % 17 = 0").withColumn("id", -1 - i))
+    tiers = []
+    for tier in ("project", "global"):
+        path = shared.shared_path(spark, f"index-{tier}")
+        segments.refresh(before.filter(F.col("tier") == tier), path)
+        segments.refresh(e.filter(F.col("tier") == tier), path)
+        tiers.append(segments.open_tier(spark, path))
+    return segments.search(tiers, q, p.RESULT_LIMIT).select("query_id", "id", "rank", "score")
+
+
+@query
+def replaced_chunk_layer(spark, d):
+    """A stored chunk layer after some documents were read anew and others left."""
+    docs = _pages(spark, d)
+    path = shared.shared_path(spark, "chunk-layer")
+    cut = documents.chunk_documents(docs)
+    files.write_layer(cut, path)
+    anew = docs.filter("doc_id % 9 = 0").withColumn("text", F.concat(F.lit("# Read anew\n"), "text"))
+    files.replace_in_layer(documents.chunk_documents(anew), path, docs.filter("doc_id % 10 = 1").select("doc_id"))
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("end_line").alias("lines"), F.max(F.col("heading_path").startswith("Read anew").cast("int")).alias("anew"))
+
+
 @query
 def bm25_p90_scale(spark, d):
     return lexical.p90_scale(lexical.score(corpus(spark, d), views.queries(spark, d))).select("query_id", SIX("scale"))

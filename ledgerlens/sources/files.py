@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as t
+from ledgerlens.operators.shared import write_shared
 
 SIGNAL = "at string, entryId string, polarity string, source string, weight double, note string"
 DOUBT = "at string, type string, kind string, key string, sessionId string, turn int, reason string, count int, action string"
@@ -98,6 +99,42 @@ def drop_chunks(ledger: DataFrame, gone: DataFrame) -> DataFrame:
     return ledger.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+#: Folders that a layer's documents are dealt into.
+LAYER_BUCKETS = 64
+
+
+def _with_bucket(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(LAYER_BUCKETS)).cast("int"))
+
+
+def write_layer(rows: DataFrame, path: str) -> None:
+    """Store a layer of documents (chunks or vectors, by doc_id), in folders by a hash of the document."""
+    _with_bucket(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def replace_in_layer(rows: DataFrame, path: str, gone: DataFrame | None = None) -> None:
+    """Put new rows of documents in place of their old ones, and drop the documents of ``gone`` (doc_id).
+
+    Only the folders of these documents are read and written: they are staged in the shared folder, then put in place by a
+    dynamic partition overwrite, which is all or nothing for each folder. A document with no rows left just goes.
+    """
+    spark = rows.sparkSession
+    rows = write_shared(rows, "layer-rows")
+    ids = rows.select("doc_id").distinct()
+    ids = write_shared(ids.unionByName(gone.select("doc_id")).distinct() if gone is not None else ids, "layer-documents")
+    old = spark.read.schema(_with_bucket(rows).schema).parquet(path)
+    touched = _with_bucket(ids).select("bucket").distinct()
+    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(ids, "doc_id", "left_anti")  # at most LAYER_BUCKETS rows
+    fresh = write_shared(kept.unionByName(_with_bucket(rows)), "layer-folders")
+    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    empty = touched.join(fresh.select("bucket").distinct(), "bucket", "left_anti").collect()  # at most LAYER_BUCKETS rows
+    if empty:  # an overwrite leaves folders alone for which it has no rows
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for r in empty:
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(root, f"bucket={r['bucket']}"), True)
+
+
 def write_vectors(vectors: DataFrame, path: str, version: str, dim: int) -> None:
     """Store (key, embedding) with its version; a vector of another length or a repeated key fails the write."""
     checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit("wrong length: "), F.col("key").cast("string"))))

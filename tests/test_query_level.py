@@ -278,3 +278,46 @@ def test_query_normalize_profiles(spark, data):
         assert got[i, "pre-step"]["lexical"] == plain[:1200] and got[i, "pre-step"]["truncated"] == (len(plain) > 1200)
         rest, taken = got[i, "gate"]["semantic"].split(), got[i, "gate"]["identifiers"].split()
         assert sorted(rest + taken) == sorted(words) and set(named) <= set(taken) and "see" in rest and "and" in rest
+
+
+def test_replaced_chunk_layer(spark, data, pages, chunks):
+    got = {r["doc_id"]: (r["chunks"], r["lines"], r["anew"]) for r in QUERIES["replaced_chunk_layer"](spark, data).collect()}
+    for d, text in pages.items():
+        rows = documents.chunk("# Read anew\n" + text) if d % 9 == 0 else [tuple(r)[1:] for r in chunks.get(d, [])]
+        if d % 9 == 0 or d % 10 != 1:
+            assert got.pop(d, None) == ((len(rows), max(r[3] for r in rows), int(d % 9 == 0)) if rows else None)
+    assert not got
+
+
+def test_only_touched_folders_and_segments_are_written(spark, data, tmp_path):
+    from ledgerlens.operators import lexical, segments
+    from ledgerlens.sources import files, views
+
+    names = lambda path: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    docs = _pages(spark, data)
+    layer = tmp_path / "layer"
+    files.write_layer(documents.chunk_documents(docs), str(layer))
+    before, count = names(layer), spark.read.parquet(str(layer)).count()
+    one = documents.chunk_documents(docs.filter("doc_id = 3"))
+    files.replace_in_layer(one, str(layer))
+    files.replace_in_layer(one, str(layer))
+    after = names(layer)
+    changed = {n.split("/")[0] for n, _ in set(before.items()) ^ set(after.items())}
+    assert len(changed) == 1 and {n for n in before if n.split("/")[0] not in changed} <= set(after)
+    assert spark.read.parquet(str(layer)).count() == count
+    files.replace_in_layer(one.limit(0), str(layer), docs.select("doc_id"))
+    assert not names(layer)
+
+    e = lexical.visible(views.entries(spark, data)).cache()
+    path = tmp_path / "index"
+    assert segments.refresh(e, str(path)).filter("state <> 'new'").isEmpty()
+    before = names(path)
+    assert segments.refresh(e, str(path)).isEmpty() and names(path) == before
+    first, last = (e.agg(f("id")).first()[0] for f in (F.min, F.max))
+    edited = e.filter(F.col("id") != last).withColumn("title", F.when(F.col("id") == first, F.lit("zebra")).otherwise(F.col("title")))
+    assert {(r["id"], r["state"]) for r in segments.refresh(edited, str(path)).collect()} == {(first, "changed"), (last, "gone")}
+    assert before.items() <= names(path).items()
+    ask = spark.createDataFrame([(1, "zebra")], "query_id int, query string")
+    assert [r["id"] for r in segments.search([segments.open_tier(spark, str(path))], ask).collect()] == [first]
+    assert segments.open_tier(spark, str(path)).postings.filter(f"generation = 2 and id <> {first}").isEmpty()
+    e.unpersist()
