@@ -271,6 +271,14 @@ def excerpt(lines: Column, redlined: Column, budget: int = 600) -> Column:
     return F.aggregate(marked, start, step, close)
 
 
-def stable_json(attributes: Column) -> Column:
-    """JSON of a map with its keys in order: the same text for the same content."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attributes))))
+def stable_json(value: Column) -> Column:
+    """JSON of a struct, map or array with keys in order at every depth, while arrays keep theirs: one text for one content, in whatever order keys came.
+
+    A variant holds an object's fields sorted by name, so a value that goes through one comes back in order. Null fields are left out.
+    """
+    return F.to_json(F.parse_json(F.to_json(value)))
+
+
+def stable_json_text(raw: Column) -> Column:
+    """The same for JSON text; null where it is none."""
+    return F.to_json(F.try_parse_json(raw))

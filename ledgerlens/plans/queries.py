@@ -297,8 +297,7 @@ def sweep_transitions(spark, d):
 
 @query
 def promotion_candidates(spark, d):
-    s = governance.window_scores(views.signals(spark, d).filter("polarity = 'positive'"), views.now()).select("entry_id", "window_score")
-    return governance.promotions(views.entries(spark, d), s, views.approvals(spark, d), views.now())
+    return governance.promotions(views.entries(spark, d), _scores(spark, d), views.approvals(spark, d), views.now())
 
 
 @query
@@ -360,11 +359,11 @@ def packed_context(spark, d):
 
 @query
 def failure_signatures(spark, d):
-    first = Window.partitionBy("session_id").orderBy("turn", "text")
-    rows = views.turns(spark, d).withColumn("rn", F.row_number().over(first)).filter("rn <= 4")  # two assertions, then three lines from the second on
-    rows = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("rn", "text"))).alias("xs"))
-    lines = F.transform("xs", lambda x: x["text"])
-    return rows.select("session_id", t.failure_signature(F.slice(lines, 1, 2), F.slice(lines, 2, 3), F.array(F.lit("src/a.css"))).alias("signature"))
+    """Whole sessions: what the user says counts as assertions, all else as errors."""
+    said = lambda own: F.transform(F.sort_array(F.collect_list(F.when(own, F.struct("turn", "text")))), lambda x: x["text"])
+    user = F.col("role") == "user"
+    rows = views.turns(spark, d).groupBy("session_id").agg(said(user).alias("assertions"), said(~user).alias("errors"))
+    return rows.select("session_id", t.failure_signature(F.col("assertions"), F.col("errors"), F.array(F.lit("src/a.css"))).alias("signature"))
 
 
 @query
@@ -685,6 +684,16 @@ def redlined_chunks(spark, d):
     return documents.read_chunks(cut, own.unionByName(every)).select("doc_id", "seq", "partly_redlined", F.size("kept").alias("words"), F.md5(F.array_join(F.array_sort("kept"), " ")).alias("words_md5"))
 
 
+@query
+def stable_snapshots(spark, d):
+    """Orders as nested records whose keys come in two orders: one text for one content."""
+    o = views.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    inner = lambda *names: F.struct(*(F.col(n) for n in names))
+    one = F.struct(F.array(F.lit(3), F.lit(1)).alias("marks"), inner("o_orderstatus", "o_custkey").alias("facts"), F.col("o_orderpriority").alias("a"))
+    two = F.struct(F.col("o_orderpriority").alias("a"), inner("o_custkey", "o_orderstatus").alias("facts"), F.array(F.lit(3), F.lit(1)).alias("marks"))
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, t.stable_json(one)).otherwise(t.stable_json(two)).alias("snapshot"))
+
+
 @query
 def hit_lines(spark, d):
     e = views.entries(spark, d).withColumn("notes", governance.annotations())
@@ -763,6 +772,6 @@ def workspace_roster(spark, d):
 @query
 def chunk_excerpts(spark, d):
     """The first lines of each page, every third one redlined."""
-    lines = F.slice(F.split("text", "\n"), 1, 40)
+    lines = F.split("text", "\n")
     red = F.transform(lines, lambda x, i: i % 3 == 2)
     return _pages(spark, d).select("doc_id", t.excerpt(lines, red, 200).alias("excerpt"))
