@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
-from ledgerlens.operators.shared import components
+from ledgerlens.operators.shared import components, write_shared
 
 
 def window_scores(signals: DataFrame, now: Column, days: int = p.WINDOW_DAYS) -> DataFrame:
@@ -141,31 +144,63 @@ def similar_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+def _token_sets(entries: DataFrame) -> DataFrame:
+    """(id, project, of, tokens, n) of entries: title tokens (of = 0) and all tokens (1); empty sets are similar to none."""
+    tokens = F.posexplode(F.array(t.tokenize(F.col("title")), t.tokenize(F.concat_ws(" ", "title", "text")))).alias("of", "tokens")
+    return entries.select("id", "project", tokens).withColumn("n", F.size("tokens")).filter("n > 0")
+
+
 def similar_across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, project_a, project_b, similarity), a of ``left`` and b of ``right``, whose overlap reaches the threshold; pairs may repeat.
+    """(a, b, project_a, project_b, similarity), a of ``left`` and b of ``right``, whose overlap reaches the threshold; pairs may repeat."""
+    named = lambda rows, side: _token_sets(rows).select(F.struct("id", "project").alias(side), "of", "tokens", "n").distinct()
+    a, b = named(left, "a"), named(right, "b")
+    both = _subsets_meet(a, "a", b, "b", threshold).unionByName(_subsets_meet(b, "b", a, "a", threshold))
+    return both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.project").alias("project_a"), F.col("b.project").alias("project_b"), "similarity")
+
+
+def _subsets_meet(small: DataFrame, side: str, large: DataFrame, other: str, threshold: float) -> DataFrame:
+    """(side, other, similarity) of sets (side, of, tokens, n) with sets of at least their size (other, of, tokens, n) whose overlap reaches the threshold.
 
     The smaller of two such sets has one of its n - ceil(threshold n) + 1 rarest tokens in the other, so
     these alone probe the index of all tokens. Frequent tokens come last and hardly ever probe.
     """
-    sets = lambda rows, side: rows.select(
-        F.col("id").alias(side), F.col("project").alias(f"project_{side}"), F.posexplode(F.array(t.tokenize(F.col("title")), t.tokenize(F.concat_ws(" ", "title", "text")))).alias("of", "tokens")
-    ).withColumn("n", F.size("tokens")).filter("n > 0").distinct()
-    a, b = sets(left, "a"), sets(right, "b")
-    counts = a.select(F.explode("tokens").alias("token")).unionAll(b.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("times"))
-
-    def probes(rows: DataFrame, side: str) -> DataFrame:
-        """Each set once for each of its rarest tokens."""
-        key = [side, f"project_{side}", "of", "tokens", "n"]
-        order = rows.select(*key, F.explode("tokens").alias("token")).join(counts, "token").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("order"))
-        most = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-        return order.select(*key, F.explode(F.transform(F.slice("order", F.lit(1), most), lambda x: x["token"])).alias("token"))
-
-    def meet(probe: DataFrame, side: str, index: DataFrame, other: str) -> DataFrame:
-        index = index.select(other, f"project_{other}", "of", F.col("tokens").alias("theirs"), F.col("n").alias("m"), F.explode("tokens").alias("token"))
-        return probe.join(index, ["token", "of"]).filter("n <= m").select("a", "b", "project_a", "project_b", t.overlap(F.col("tokens"), F.col("theirs")).alias("similarity"))
-
-    both = meet(probes(a, "a"), "a", b, "b").unionByName(meet(probes(b, "b"), "b", a, "a"))
-    return both.filter(F.col("similarity") >= threshold)
+    counts = small.unionByName(large.withColumnRenamed(other, side)).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("times"))
+    key = [side, "of", "tokens", "n"]
+    order = small.select(*key, F.explode("tokens").alias("token")).join(counts, "token").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("order"))
+    most = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    probes = order.select(*key, F.explode(F.transform(F.slice("order", F.lit(1), most), lambda x: x["token"])).alias("token"))
+    index = large.select(other, "of", F.col("tokens").alias("theirs"), F.col("n").alias("m"), F.explode("tokens").alias("token"))
+    found = probes.join(index, ["token", "of"]).filter("n <= m").select(side, other, t.overlap(F.col("tokens"), F.col("theirs")).alias("similarity"))
+    return found.filter(F.col("similarity") >= threshold)
+
+
+def similar_sets(entries: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members (id, project, of, set), links (of, a, b, similarity)): what :func:`similar_pairs` finds, without a pair for each two entries.
+
+    Entries with equal title tokens share one set (of = 0), so do entries with equal tokens at all (of = 1); a set is named by its
+    least id. Links, a <= b, join sets whose overlap reaches the threshold if they hold entries of different
+    projects; a = b says so of the entries of one set. Two entries of different projects are similar if their sets of either
+    kind are linked. Entries without a project are left out. An empty table gives empty results.
+    """
+    rows = _token_sets(entries).filter("project is not null")
+    known = rows.groupBy("of", "tokens", "n").agg(F.min("id").alias("set"), F.min("project").alias("low"), F.max("project").alias("high"))
+    known = write_shared(known, "token-sets")
+    members = write_shared(rows.join(known.select("of", "tokens", "set"), ["of", "tokens"]).select("id", "project", "of", "set").distinct(), "members")
+    side = lambda name: known.select(F.struct("of", "set", "low", "high").alias(name), "of", "tokens", "n")
+    found = _subsets_meet(side("a"), "a", side("b"), "b", threshold)
+    several = F.least("a.low", "b.low") != F.greatest("a.high", "b.high")
+    links = found.filter(several).groupBy(F.col("a.of").alias("of"), F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).agg(F.max("similarity").alias("similarity"))
+    return members, write_shared(links, "set-links")
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, of, set, links): to how many entries of other projects each entry is linked, by sums over sets; never by pairs of entries."""
+    sizes = members.groupBy("of", "set", "project").agg(F.count("*").alias("n"))
+    near = links.select("of", F.col("a").alias("to"), F.col("b").alias("set")).unionByName(links.filter("a <> b").select("of", F.col("b").alias("to"), F.col("a").alias("set")))
+    reach = write_shared(near.join(sizes, ["of", "set"]).groupBy("of", F.col("to").alias("set"), "project").agg(F.sum("n").alias("n")), "reach")
+    every = reach.groupBy("of", "set").agg(F.sum("n").alias("every"))
+    rows = members.join(every, ["of", "set"], "left").join(reach.withColumnRenamed("n", "own"), ["of", "set", "project"], "left")
+    return rows.select("id", "of", "set", (F.coalesce("every", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("links"))
 
 
 def proposals(verified: DataFrame, clustered: DataFrame, common: DataFrame, threshold: float) -> DataFrame:
@@ -208,40 +243,88 @@ def new_dislikes(polls: DataFrame) -> DataFrame:
 
 
 def clusters(verified: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, project, cluster): greedy growth over similar pairs, at most one entry of a project in a cluster.
+    """(id, project, cluster) of :func:`set_clusters` for similar pairs (a, b) of entries: each entry is a set of its own."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    members = verified.join(ends, "id").select("id", "project", F.lit(0).alias("of"), F.col("id").alias("set"))
+    return set_clusters(members, pairs.select(F.lit(0).alias("of"), "a", "b"))
+
+
+def set_clusters(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, project, cluster): greedy growth over linked sets (of, a, b) of members (id, project, of, set), at most one entry of a project in a cluster.
 
     The result depends on the order of entries (by id), but only inside a connected part of the
-    similarity graph. Parts are found on Spark and grown side by side; a task sees one part's ids and links.
+    links. Parts are found on Spark and grown side by side; a task sees the ids of one part and the links of its
+    sets, never pairs of entries, and the work of a seed follows the sets that its cluster touches.
     """
-    part = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    nodes = verified.select("id", "project").join(part.select(F.col("node").alias("id"), "part"), "id")
-    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("near"))
-    rows = nodes.join(near, nodes.id == near.a).select("part", "id", "project", "near")
-
-    def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        ids, project = frame["id"].tolist(), dict(zip(frame["id"], frame["project"]))
-        near = {i: set(x) for i, x in zip(frame["id"], frame["near"])}
-        free, out = dict.fromkeys(ids), []
-        for seed in ids:
-            if seed not in free:
-                continue
-            del free[seed]
-            members, used, touched, grew = [seed], {project[seed]}, set(near[seed]), True
-            while grew:
-                grew = False
-                for i in [i for i in free]:
-                    if i in touched and project[i] not in used:
-                        del free[i]
-                        members.append(i)
-                        used.add(project[i])
-                        touched |= near[i]
-                        grew = True
-            if len(members) > 1:
-                out += [(i, project[i], seed) for i in members]
-        return pd.DataFrame(out, columns=["id", "project", "cluster"]).astype({"id": "int64", "cluster": "int64", "project": "object"})
-
-    return rows.groupBy("part").applyInPandas(grow, "id long, project string, cluster long")
+    name = lambda kind, of_set: F.struct(F.col(kind).alias("of"), F.col(of_set).alias("set"))
+    linked = links.select(name("of", "a").alias("u"), name("of", "b").alias("v"))
+    live = linked.select("u").union(linked.select("v")).distinct().select(F.col("u").alias("key"))
+    held = members.select("id", "project", name("of", "set").alias("key")).join(live, "key")
+    firsts = held.groupBy("id").agg(F.min("key").alias("u"), F.max("key").alias("v"))
+    part = components(linked.unionByName(firsts.select("u", "v")))
+    near = linked.union(linked.select("v", "u")).distinct().groupBy("u").agg(F.collect_list("v").alias("near"))
+    of_part = part.select(F.col("node").alias("key"), "part")
+    nothing = F.expr("cast(null as array<struct<of: int, set: bigint>>)")
+    rows = held.select("key", "id", "project", nothing.alias("near")).unionByName(near.select(F.col("u").alias("key"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("project"), "near"))
+    rows = rows.join(of_part, "key").select("part", "key.of", "key.set", "id", "project", "near")
+    return rows.groupBy("part").applyInPandas(_grow, "id long, project string, cluster long")
+
+
+def _grow(frame: pd.DataFrame) -> pd.DataFrame:
+    """The clusters of one part: rows of members (id, project) of sets (of, set), and of sets with their linked sets (near)."""
+    near, held, waiting, project = {}, {}, {}, {}
+    links = frame["near"].notna()
+    for of, name, x in frame.loc[links, ["of", "set", "near"]].itertuples(index=False):
+        near[of, name] = [(y["of"], y["set"]) for y in x]
+    for of, name, i, of_project in frame.loc[~links, ["of", "set", "id", "project"]].astype({"id": "int64"}).sort_values("id").itertuples(index=False):
+        held.setdefault(i, []).append((of, name))
+        waiting.setdefault((of, name), {}).setdefault(of_project, [0, []])[1].append(i)
+        project[i] = of_project
+    taken, out = set(), []
+    for seed in held:
+        if seed in taken:
+            continue
+        taken.add(seed)
+        members, used, touched, grew = [seed], {project[seed]}, set(), True
+
+        def touch(i: int) -> list[tuple[int, int]]:
+            new = [x for s in held[i] for x in near.get(s, []) if x not in touched]
+            touched.update(new)
+            return list(dict.fromkeys(new))
+
+        def first(where: list[tuple[int, int]], behind: int | None) -> list[int]:
+            """The first free entry, behind a place if one is given, of each set and each project not used yet."""
+            found = []
+            for s in where:
+                for of_project, queue in waiting.get(s, {}).items():
+                    if of_project not in used:
+                        ids = queue[1]
+                        while queue[0] < len(ids) and ids[queue[0]] in taken:
+                            queue[0] += 1
+                        at = queue[0] if behind is None else bisect_right(ids, behind, queue[0])
+                        while at < len(ids) and ids[at] in taken:
+                            at += 1
+                        if at < len(ids):
+                            found.append(ids[at])
+            return found
+
+        touch(seed)
+        while grew:  # one pass over the free entries by id; what a pass leaves behind it waits for the next one
+            grew, heap = False, first(list(touched), None)
+            heapq.heapify(heap)
+            while heap:
+                i = heapq.heappop(heap)
+                if i in taken or project[i] in used:
+                    continue
+                taken.add(i)
+                members.append(i)
+                used.add(project[i])
+                grew = True
+                for x in first(touch(i), i):
+                    heapq.heappush(heap, x)
+        if len(members) > 1:
+            out += [(i, project[i], seed) for i in members]
+    return pd.DataFrame(out, columns=["id", "project", "cluster"]).astype({"id": "int64", "cluster": "int64", "project": "object"})
 
 
 def sync_roster(hosts: DataFrame, roster: DataFrame) -> DataFrame:

@@ -431,13 +431,20 @@ def _verified(spark, d):
 
 @query
 def overlap_similar_pairs(spark, d):
-    return governance.similar_pairs(_verified(spark, d), 0.75).select("a", "b", SIX("similarity"))
+    """Linked sets of equal title tokens (of = 0) or equal tokens (1), by their least ids; ``overlap_classes`` has who is in them."""
+    _, links = governance.similar_sets(_verified(spark, d), 0.75)
+    return links.select("of", "a", "b", SIX("similarity"))
+
+
+@query
+def overlap_classes(spark, d):
+    """Each entry's two sets and how many entries of other projects they link it to."""
+    return governance.link_counts(*governance.similar_sets(_verified(spark, d), 0.75))
 
 
 @query
 def generalize_clusters(spark, d):
-    v = _verified(spark, d)
-    return governance.clusters(v, governance.similar_pairs(v, 0.75))
+    return governance.set_clusters(*governance.similar_sets(_verified(spark, d), 0.75))
 
 
 @query
@@ -635,12 +642,16 @@ def feedback_dislikes(spark, d):
 
 @query
 def generalization_proposals(spark, d):
-    """Drafts from clusters of suppliers' twins: two projects hold each verified entry, in the same words."""
-    n = views.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("title"))
-    copies = n.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    v = copies.select((F.col("k") * 2 + F.col("copy")).cast("long").alias("id"), F.concat(F.lit("p"), F.col("copy").cast("string")).alias("project"), "title", F.concat(F.lit("note on "), "title").alias("text"), F.array(F.lit("nation"), F.concat(F.lit("c"), F.col("copy").cast("string"))).alias("tags"), (F.col("k") * 3 % 7 + F.col("copy")).cast("double").alias("score"))
-    known = n.filter("k % 4 = 0").select(F.col("k").alias("id"), "title", F.lit("known").alias("text"), F.when(F.col("k") % 8 == 0, "trusted").otherwise("expired").alias("status"))
-    return governance.proposals(v, governance.clusters(v, governance.similar_pairs(v, 0.99)), known, 0.99).select("cluster", "id", "title", JOINED("tags"), "sources")
+    """Drafts from parts that several projects name alike; names that the global tier knows already, by a candidate or trusted entry, make none."""
+    p_, number = views.table(spark, d, "part"), F.regexp_extract("p_brand", "[0-9]+", 0)
+    v = p_.select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("p"), (F.col("p_partkey") % 11).cast("string")).alias("project"), F.col("p_name").alias("title"),
+        F.concat(F.lit("type_"), "p_type", F.lit(" brand_"), number).alias("text"), F.array("p_type", "p_brand").alias("tags"), (F.col("p_partkey") * 7919 % 1000).cast("double").alias("score"),
+    )
+    known = p_.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("id"))
+    known = known.select("id", "title", F.lit("known").alias("text"), F.element_at(F.array(F.lit("trusted"), F.lit("expired"), F.lit("candidate"), F.lit("discarded")), (F.col("id") % 4 + 1).cast("int")).alias("status"))
+    grown = governance.set_clusters(*governance.similar_sets(v, 0.99))
+    return governance.proposals(v, grown, known, 0.99).select("cluster", "id", "title", JOINED("tags"), "sources")
 
 
 @query

@@ -152,3 +152,32 @@ def test_writes_that_must_fail(spark):
         store.point_lookup(old, old.select("id")).collect()
     cleared = store.rebind(old, spark.createDataFrame([(1, [], "why")], "id long, paths array<string>, reason string"), none, views.now()).first()
     assert cleared["bindings"] == [] and cleared["history"][0]["reason"] == "why (a -> none)" and cleared["history"][0]["at"] == datetime(2024, 1, 31)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 1.0])
+def test_sets_stand_for_all_pairs_and_clusters(spark, threshold):
+    """Linked sets say what all pairs say, with repeated titles, empty ones, and entries without a project; clusters grow alike over both."""
+    r = random.Random(int(threshold * 100))
+    words = [f"w{i}" for i in range(9)]
+    titles = [" ".join(r.sample(words, k)) for k in (0, 1, 2, 3, 4, 4)]
+    rows = [(i, r.choice(["p0", "p1", "p2", "p3", None]), r.choice(titles), " ".join(r.sample(words, r.randint(0, 4)))) for i in range(70)]
+    entries = spark.createDataFrame(rows, "id long, project string, title string, text string")
+    members, links = governance.similar_sets(entries, threshold)
+    sets, linked = {}, {(x["of"], x["a"], x["b"]) for x in links.collect()}
+    for x in members.collect():
+        sets.setdefault(x["id"], []).append((x["of"], x["set"]))
+    project = {i: p for i, p, _, _ in rows}
+    near = lambda i, j: any(of == to and (of, min(a, b), max(a, b)) in linked for of, a in sets.get(i, []) for to, b in sets.get(j, []))
+    apart = lambda i, j: None not in (project[i], project[j]) and project[i] != project[j]
+    pairs = governance.similar_pairs(entries, threshold)
+    assert {(x["a"], x["b"]) for x in pairs.collect()} == {(i, j) for i in project for j in project if i < j and apart(i, j) and near(i, j)}
+    for x in governance.link_counts(members, links).collect():
+        own = [j for j in project if apart(x["id"], j) and (x["of"], *sorted((x["set"], dict(sets.get(j, [])).get(x["of"], -1)))) in linked]
+        assert x["links"] == len(own)
+    by_set, by_pair = (sorted(map(tuple, c.collect())) for c in (governance.set_clusters(members, links), governance.clusters(entries, pairs)))
+    assert by_set and by_set == by_pair
+
+
+def test_sets_of_empty_tables(spark):
+    members, links = governance.similar_sets(spark.createDataFrame([], "id long, project string, title string, text string"), 0.75)
+    assert governance.link_counts(members, links).isEmpty() and governance.set_clusters(members, links).isEmpty()
