@@ -59,6 +59,23 @@ def diff(before: DataFrame, after: DataFrame, move: int = 2, resize: int = 2, ep
     return rows.select("module_id", "x.kind", "x.severity", "x.detail")
 
 
+def page_findings(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(page_id, kind, severity, detail) of pages (page_id, width, height, scale, page_height, scrolls) in both snapshots.
+
+    Another viewport or scale warns that places cannot be compared; the page's height and whether it scrolls inform.
+    """
+    rows = before.alias("o").join(after.alias("n"), "page_id")
+    o, n = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
+    seen = lambda s: F.format_string("%dx%d at %s", s("width"), s("height"), s("scale").cast("string"))
+    other = (o("width") != n("width")) | (o("height") != n("height")) | (o("scale") != n("scale"))
+    findings = F.array(
+        _finding("viewport", other, "warn", F.concat(seen(o), F.lit(" -> "), seen(n), F.lit(": places do not compare"))),
+        _finding("page", o("page_height") != n("page_height"), "info", F.format_string("page height %d -> %d (%+d)", o("page_height"), n("page_height"), n("page_height") - o("page_height"))),
+        _finding("page", o("scrolls") != n("scrolls"), "info", F.when(n("scrolls"), "scrolls now").otherwise("scrolls no longer")),
+    )
+    return rows.select("page_id", F.explode(F.filter(findings, lambda x: x.isNotNull())).alias("x")).select("page_id", "x.kind", "x.severity", "x.detail")
+
+
 def worst_first(findings: DataFrame) -> DataFrame:
     """Findings by severity, then kind, module and detail."""
     rank = F.array_position(F.array(*(F.lit(x) for x in SEVERITY)), F.col("severity"))

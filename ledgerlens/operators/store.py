@@ -175,6 +175,70 @@ def resolve_approvals(entries: DataFrame, approvals: DataFrame, verdicts: DataFr
     return after, settled.drop("verdict", "done"), refused
 
 
+def act(entries: DataFrame, approvals: DataFrame, acts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, approvals, refused) after people's own acts (id, action, by, reason): promote, retire, reactivate, rescue or discard.
+
+    A legal act settles every pending request of its action on its entry, as approved; requests of other
+    actions stay, and so does the review flag. Illegal and unknown acts, and acts on unknown entries, are
+    refused (id, action) and settle nothing. One act for each entry.
+    """
+    what = F.create_map(*(x for a, s, g in ACTIONS for x in (F.lit(a), F.struct(F.lit(s).alias("s"), F.lit(g).alias("g")))))
+    why = F.concat(F.lit("by "), F.coalesce("by", F.lit("cli")), F.when(F.trim(F.coalesce("reason", F.lit(""))) != "", F.concat(F.lit(", "), F.trim("reason"))).otherwise(""))
+    asked = acts.withColumn("w", F.try_element_at(what, F.col("action")))
+    known = asked.filter("w is not null").join(entries.select("id"), "id", "left_semi")
+    after, illegal = governance.transition(entries, known.select("id", F.col("w.s").alias("to_status"), F.col("w.g").alias("trigger"), why.alias("reason")), now)
+    done = known.join(illegal.select("id"), "id", "left_anti").select(F.col("id").alias("entry_id"), "action")
+    refused = acts.select("id", "action").join(done.withColumnRenamed("entry_id", "id"), ["id", "action"], "left_anti")
+    rows = approvals.join(done.withColumn("done", F.lit(True)), ["entry_id", "action"], "left")
+    settles = F.col("done") & F.col("resolved_at").isNull()
+    settled = rows.withColumns({"resolution": F.when(settles, "approved").otherwise(F.col("resolution")), "resolved_at": F.when(settles, now).otherwise(F.col("resolved_at"))}).drop("done")
+    return after, settled, refused
+
+
+def attach_docs(entries: DataFrame, mounts: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
+    """Entries with documents mounted by (id, doc_id, from_line, to_line, quote), noted in the history; lines may be null, a missing quote is empty.
+
+    An unknown entry, and a document that is not among docs (doc_id), fails. One document for each entry.
+    """
+    ids = entries.select("id", F.lit(True).alias("is_entry"))
+    new = mounts.join(docs.select("doc_id").distinct().withColumn("is_doc", F.lit(True)), "doc_id", "left").join(ids, "id", "left")
+    fail = lambda what, c: F.raise_error(F.concat(F.lit(f"no such {what}: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+    named = F.when(F.col("is_entry").isNull(), fail("entry", "id")).when(F.col("is_doc").isNull(), fail("document", "doc_id")).otherwise(F.col("doc_id"))
+    lines = F.struct("from_line", "to_line", F.coalesce("quote", F.lit("")).alias("quote"))
+    where = F.when(F.col("from_line").isNotNull(), F.format_string(" lines %d-%d", "from_line", "to_line")).otherwise("")
+    new = new.select("id", named.alias("new_doc"), lines.alias("new_anchor"), F.concat(F.lit("document attached: "), "doc_id", where).alias("why"))
+    # an outer join, so that an unknown entry is not dropped before it fails
+    rows = entries.join(new, "id", "full_outer")
+    asked, past = F.col("new_doc").isNotNull(), _past(entries)
+    old = F.col("doc_anchor") if "doc_anchor" in entries.columns else F.lit(None).cast("struct<from_line: int, to_line: int, quote: string>")
+    return rows.withColumns({
+        "history": F.when(asked, F.concat(past, F.array(_event(now, "rebind", F.lit(None).cast("string"), F.col("why"))))).otherwise(past),
+        "mounted_doc": F.coalesce("new_doc", "mounted_doc"), "doc_anchor": F.when(asked, F.col("new_anchor")).otherwise(old),
+    }).drop("new_doc", "new_anchor", "why")
+
+
+def check_docs(entries: DataFrame, docs: DataFrame, files: DataFrame) -> DataFrame:
+    """Project entries' mounted documents (doc_id, path, source_hash) held against the files (path, hash) they came from.
+
+    A missing snapshot, a missing file and a changed one raise the review flag; the status stays. Where all agrees, a flag that such
+    a check raised goes, and no other. Global entries, and those without a document, stay as they are.
+    """
+    found = docs.select("doc_id", "path", "source_hash").join(files.select("path", "hash"), "path", "left").select(F.col("doc_id").alias("mounted_doc"), "path", "source_hash", "hash")
+    rows = entries.join(found, "mounted_doc", "left")
+    finding = (
+        F.when((F.col("tier") == "global") | F.col("mounted_doc").isNull(), F.lit(None))
+        .when(F.col("source_hash").isNull(), F.concat(F.lit("document: no snapshot "), "mounted_doc"))
+        .when(F.col("hash").isNull(), F.concat(F.lit("document: no file "), "path"))
+        .when(F.col("hash") != F.col("source_hash"), F.concat(F.lit("document: changed "), "path"))
+    )
+    old = F.col("review_reason") if "review_reason" in entries.columns else F.lit(None).cast("string")
+    own = (F.col("tier") != "global") & F.col("mounted_doc").isNotNull() & F.col("needs_review") & F.coalesce(old.startswith("document: "), F.lit(False))
+    rows = rows.withColumn("finding", finding)
+    agrees = F.col("finding").isNull() & own
+    checked = {"needs_review": (F.col("needs_review") & ~agrees) | F.col("finding").isNotNull(), "review_reason": F.when(~agrees, F.coalesce("finding", old))}
+    return rows.withColumns(checked).select(*entries.columns, *([] if "review_reason" in entries.columns else ["review_reason"]))
+
+
 def apply_sweep(entries: DataFrame, scores: DataFrame, now: Column) -> DataFrame:
     """Entries after a sweep: discarded and expired ones change, purged ones are gone."""
     due = governance.sweep(entries, scores, now)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents, evaluation, governance, hybrid, index, layout, lexical, ranking, segments, shared, store
+from ledgerlens.operators import documents, evaluation, governance, hybrid, index, layout, lexical, ranking, roster, segments, shared, store
 from ledgerlens.sources import files, views
 from ledgerlens.streaming import streams
 
@@ -786,3 +786,80 @@ def chunk_excerpts(spark, d):
     lines = F.split("text", "\n")
     red = F.transform(lines, lambda x, i: i % 3 == 2)
     return _pages(spark, d).select("doc_id", t.excerpt(lines, red, 200).alias("excerpt"))
+
+
+def _acts(e):
+    action = F.element_at(F.array(F.lit("promote"), F.lit("retire"), F.lit("reactivate"), F.lit("rescue"), F.lit("discard")), (F.col("id") % 5 + 1).cast("int"))
+    return e.filter("id % 2 = 0").select("id", action.alias("action"), F.when(F.col("id") % 3 == 0, "panel").alias("by"), F.when(F.col("id") % 4 == 0, " checked ").alias("reason"))
+
+
+@query
+def human_acts(spark, d):
+    """Entries after people's own acts: status, the last note, and whether the act was refused."""
+    e = views.entries(spark, d)
+    after, _, refused = store.act(e, views.approvals(spark, d), _acts(e), views.now())
+    rows = after.join(refused.select("id", F.lit(True).alias("refused")), "id", "left")
+    return rows.select("id", "status", F.try_element_at("history", F.lit(-1))["reason"].alias("note"), F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+@query
+def settled_requests(spark, d):
+    """Every request after people's own acts settled those of their action."""
+    e = views.entries(spark, d)
+    return store.act(e, views.approvals(spark, d), _acts(e), views.now())[1].select("approval_id", "entry_id", "resolution", "resolved_at")
+
+
+@query
+def attached_documents(spark, d):
+    e = views.entries(spark, d)
+    i = F.col("id")
+    mounts = e.filter("id % 4 = 0").select("id", F.concat(F.lit("d-"), (i + 1).cast("string")).alias("doc_id"), F.when(i % 8 == 0, (i % 9 + 1).cast("int")).alias("from_line"), F.when(i % 8 == 0, (i % 9 + 3).cast("int")).alias("to_line"), F.when(i % 12 == 0, F.col("title")).alias("quote"))
+    docs = e.select(F.concat(F.lit("d-"), (i + 1).cast("string")).alias("doc_id"))
+    after = store.attach_docs(e, mounts, docs, views.now())
+    return after.select("id", "mounted_doc", "doc_anchor.from_line", "doc_anchor.quote", F.try_element_at("history", F.lit(-1))["reason"].alias("note"))
+
+
+@query
+def checked_documents(spark, d):
+    """Review flags after mounted documents were held against their files; some were flagged by an earlier check, some by hand."""
+    e = views.entries(spark, d).withColumn("review_reason", F.when(F.col("needs_review"), F.when(F.col("id") % 2 == 0, "document: changed before").otherwise("by hand")))
+    i = F.col("id")
+    docs = e.filter("mounted_doc is not null and id % 7 <> 0").select(F.col("mounted_doc").alias("doc_id"), F.concat(F.lit("doc"), i.cast("string"), F.lit(".md")).alias("path"), F.md5("text").alias("source_hash"))
+    found = e.filter("id % 9 <> 0").select(F.concat(F.lit("doc"), i.cast("string"), F.lit(".md")).alias("path"), F.when(i % 4 == 0, "other").otherwise(F.md5("text")).alias("hash"))
+    return store.check_docs(e, docs, found).select("id", "needs_review", "review_reason")
+
+
+def _roster(spark, d):
+    k = F.col("c_custkey")
+    return views.table(spark, d, "customer").filter("c_custkey % 4 <> 0").select(
+        k.alias("key"), F.concat(F.lit("/w/"), "c_name").alias("root"), F.when(k % 3 == 0, "given").otherwise(F.col("c_name")).alias("label"), F.when(k % 2 == 0, "registry").otherwise("cli").alias("origin"),
+        F.element_at(F.array(F.lit("live"), F.lit("orphaned"), F.lit("kept")), (k % 3 + 1).cast("int")).alias("state"), (views.now() - F.make_dt_interval(days=F.lit(9))).alias("added_at"), (views.now() - F.make_dt_interval(days=F.lit(3))).alias("last_seen_at"),
+    )
+
+
+@query
+def registered_workspaces(spark, d):
+    k = F.col("c_custkey")
+    seen = views.table(spark, d, "customer").filter("c_custkey % 5 <> 0").select(k.alias("key"), F.concat(F.lit("/x/"), "c_name").alias("root"), F.when(k % 7 == 0, "new").otherwise(F.col("c_name")).alias("label"), F.when(k % 11 < 4, "registry").otherwise("auto").alias("origin"), views.now().alias("at"))
+    return roster.register(_roster(spark, d), seen)
+
+
+@query
+def answered_orphans(spark, d):
+    """The roster after renames, removals and both answers to orphans."""
+    r = _roster(spark, d)
+    labels = r.filter("key % 6 = 1").select("key", F.lit(" named ").alias("new_label"))
+    after = roster.rename(roster.remove(r, r.filter("key % 10 = 7").select("key")), labels.filter("key % 10 <> 7"), views.now())
+    orphans = after.filter("state = 'orphaned'").select("key")
+    stored = r.select("key", F.explode(F.array(F.lit("kb"), F.lit("baselines"))).alias("kind")).filter("key % 2 = 1 or kind = 'kb'")
+    after, moves = roster.purge(roster.keep(after, orphans.filter("key % 5 < 2")), orphans.filter("key % 5 = 2"), stored, views.now())
+    moved = moves.groupBy("key").agg(F.array_join(F.sort_array(F.collect_list(F.concat("from", F.lit(" > "), "to"))), ", ").alias("moved"))
+    return after.join(moved, "key", "left").select("key", "label", "state", "last_seen_at", "purged_at", "moved")
+
+
+@query
+def page_findings(spark, d):
+    i = F.col("page_id")
+    was = views.table(spark, d, "pages").select("page_id", F.lit(1280).alias("width"), F.lit(800).alias("height"), F.lit(2).alias("scale"), F.coalesce(F.length("html"), F.lit(0)).alias("page_height")).withColumn("scrolls", F.col("page_height") > 800)
+    now = was.withColumns({"width": F.when(i % 5 == 0, 390).otherwise(F.col("width")), "page_height": F.col("page_height") - F.when(i % 3 == 0, 300).otherwise(0)}).withColumn("scrolls", F.col("page_height") > 800)
+    return layout.page_findings(was, now)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents, evaluation, governance, hybrid, layout, lexical, ranking, store
+from ledgerlens.operators import documents, evaluation, governance, hybrid, layout, lexical, ranking, roster, store
 from ledgerlens.sources import files, views
 from ledgerlens.streaming import streams
 
@@ -181,3 +181,57 @@ def test_sets_stand_for_all_pairs_and_clusters(spark, threshold):
 def test_sets_of_empty_tables(spark):
     members, links = governance.similar_sets(spark.createDataFrame([], "id long, project string, title string, text string"), 0.75)
     assert governance.link_counts(members, links).isEmpty() and governance.set_clusters(members, links).isEmpty()
+
+
+ROSTER = "key long, root string, label string, origin string, state string, added_at timestamp_ntz, last_seen_at timestamp_ntz"
+
+
+@pytest.fixture()
+def workspaces(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(1, "/w/a", "a", "registry", "live", at, at), (2, "/w/b", "mine", "cli", "live", at, at), (3, "/w/c", "c", "registry", "orphaned", at, at), (4, "/w/d", "d", "registry", "kept", at, at)]
+    return spark.createDataFrame(rows, ROSTER)
+
+
+def test_roster_refuses_what_it_does_not_know(spark, workspaces):
+    now, one = views.now(), lambda k: spark.createDataFrame([(k,)], "key long")
+    for ask in (
+        lambda: roster.remove(workspaces, one(9)), lambda: roster.keep(workspaces, one(9)), lambda: roster.rename(workspaces, spark.createDataFrame([(1, "  ")], "key long, new_label string"), now),
+        lambda: roster.purge(workspaces, one(1), spark.createDataFrame([], "key long, kind string"), now)[0],
+    ):
+        with pytest.raises(Exception, match="no such workspace|blank|no orphan"):
+            ask().collect()
+
+
+def test_roster_register_purge_find_and_panel(spark, workspaces):
+    now = datetime(2024, 1, 31)
+    seen = [(2, "/v/b", "b", "auto", now), (4, "/w/d", "d", "registry", now), (5, "/w/e", "e", "auto", now), (5, "/w/z", "z", "auto", datetime(2024, 1, 2))]
+    after = {r["key"]: r for r in roster.register(workspaces, spark.createDataFrame(seen, "key long, root string, label string, origin string, at timestamp_ntz")).collect()}
+    assert (after[2]["root"], after[2]["label"], after[2]["state"]) == ("/v/b", "mine", "live")
+    assert after[4]["state"] == "live" and after[4]["added_at"] == datetime(2024, 1, 1) and after[5]["root"] == "/w/e" and after[1]["last_seen_at"] == datetime(2024, 1, 1)
+    stored = spark.createDataFrame([(3, "kb"), (3, "other"), (1, "kb")], "key long, kind string")
+    purged, moves = roster.purge(workspaces, spark.createDataFrame([(3,)], "key long"), stored, views.now())
+    assert [tuple(r) for r in moves.collect()] == [(3, "kb", "kb/3", "trash/2024-01-31T00-00-00/3/kb")]
+    assert {r["key"]: (r["state"], r["purged_at"]) for r in purged.collect()}[3] == ("kept", now)
+    names = spark.createDataFrame([("1",), ("/w/b/",), ("\\w\\c",), ("/none",)], "name string")
+    assert {r["name"]: r["key"] for r in roster.find(workspaces, names).collect()} == {"1": 1, "/w/b/": 2, "\\w\\c": 3}
+    assert [r["key"] for r in roster.panel(workspaces).collect()] == [1, 3]
+
+
+def test_unknown_documents_and_entries_are_not_attached(spark, data):
+    e, schema = views.entries(spark, data), "id long, doc_id string, from_line int, to_line int, quote string"
+    docs = spark.createDataFrame([("d-1",)], "doc_id string")
+    for row in [(0, "d-2", None, None, None), (-1, "d-1", None, None, None)]:
+        with pytest.raises(Exception, match="no such"):
+            store.attach_docs(e, spark.createDataFrame([row], schema), docs, views.now()).collect()
+
+
+def test_acts_settle_only_their_own_pending_requests(spark, data):
+    e = views.entries(spark, data).filter("status = 'candidate'")
+    i = e.select(F.min("id")).first()[0]
+    a = spark.createDataFrame([(i, "promote", None, None), (i, "retire", None, None), (i, "promote", datetime(2024, 1, 1), "rejected")], "entry_id long, action string, resolved_at timestamp_ntz, resolution string")
+    acts = spark.createDataFrame([(i, "promote", None, None), (-5, "promote", None, None), (i + 0, "paint", None, None)], "id long, action string, by string, reason string")
+    after, settled, refused = store.act(e, a, acts, views.now())
+    assert after.filter(F.col("id") == i).first()["status"] == "trusted"
+    assert sorted((r["action"], r["resolution"]) for r in settled.fillna("open", ["resolution"]).collect()) == [("promote", "approved"), ("promote", "rejected"), ("retire", "open")]
+    assert {(r["id"], r["action"]) for r in refused.collect()} == {(-5, "promote"), (i, "paint")}
