@@ -5,7 +5,7 @@ difference of the two compressed sizes, divided by their sum, is the only eviden
 curve in it, fitted on labelled rows that built no dictionary, gives a score from 0 to 1.
 
 Training takes a bounded sample of labelled rows: the ``sample`` documents of each class whose ids
-have the smallest hashes, whole texts. Null and empty texts get the score of zero evidence. Without
+have the smallest hashes, whole texts; of their chunks the ``TRAIN_BYTES`` with the smallest hashes train a class's dictionary. Null and empty texts get the score of zero evidence. Without
 rows of both classes every score is the good rows' share (0.5 without any). Repeated rows get equal
 results; an empty table gives an empty result. A doc_id that is no number counts as null.
 """
@@ -26,6 +26,8 @@ from ledgerlens.llm.common import doc_number, id_and_text, materialize, numbered
 
 CHUNK = 1_024
 SAMPLE = 2_000
+#: Bytes of chunks of each class that come to the driver, at most.
+TRAIN_BYTES = 16_000_000
 DICT_BYTES = 64 * 1024
 LEVEL = 3
 SCORED = "doc_id long, score double, predicted int, difference double"
@@ -84,7 +86,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60
     return float(w[0]), 10 * float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, train_bytes: int = TRAIN_BYTES) -> Model:
     """Train on documents whose ``labels.quality`` is 0 or 1; ``usable`` (over label_id) says which labels may be seen."""
     marks = labels.select(doc_number().alias("label_id"), F.col("quality").try_cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & usable)
     marks = marks.groupBy("label_id").agg(F.max("quality").alias("quality"))
@@ -107,8 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["quality", "data"])
 
-    found = rows.filter(half == 0).select("quality", "text").mapInArrow(pieces, "quality int, data binary").collect()
-    chunks = {q: sorted(bytes(r["data"]) for r in found if r["quality"] == q) for q in (0, 1)}
+    found = rows.filter(half == 0).select("quality", "text").mapInArrow(pieces, "quality int, data binary")
+    taken = {q: found.filter(F.col("quality") == q).orderBy(F.xxhash64("data"), "data").limit(train_bytes // CHUNK).collect() for q in (0, 1)}
+    chunks = {q: sorted(bytes(r["data"]) for r in taken[q]) for q in (0, 1)}
     if not all(chunks.values()):
         return Model(b"", b"", (0.0, 0.0), prior)
     good, bad = (_train(chunks[q]) for q in (1, 0))
