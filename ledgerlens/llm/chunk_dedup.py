@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import body, doc_number, materialize, unused
+from ledgerlens.llm.common import body, doc_number, materialize, numbered
 
 REACH = 16
 LONGEST = 256
@@ -112,10 +112,10 @@ def text_spans(text: str, span_words: int) -> tuple[np.ndarray, ...]:
     return digests.view(np.int64), letters[:n].astype(np.int32), letters[last].astype(np.int32), words[:n].astype(np.int32), (words[last] - words[:n]).astype(np.int32)
 
 
-def _marks() -> tuple[Column, Column]:
+def _marks(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     """(doc, row) of a row: the document, and its text's hash, which is negative where there is no id."""
-    number, text = doc_number(), F.hash(body()).bitwiseAND(F.lit((1 << 31) - 1))
-    return F.coalesce(number, F.xxhash64(body())), F.when(number.isNull(), -1 - text).otherwise(text)
+    number, hashed = doc_number(doc_id), F.hash(body(text)).bitwiseAND(F.lit((1 << 31) - 1))
+    return F.coalesce(number, F.xxhash64(body(text))), F.when(number.isNull(), -1 - hashed).otherwise(hashed)
 
 
 def spans(docs: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
@@ -232,9 +232,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, span_words: i
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, all columns, without the passages that an earlier document keeps."""
     runs = repeated_passages(docs, min_words).filter("size(drops) > 0")
-    names = unused(docs, "doc", "row", "drops")
-    drops = runs.groupBy("doc", "row").agg(F.sort_array(F.flatten(F.collect_list("drops"))).alias("drops")).toDF(*names)
-    at, columns = docs.columns.index("text"), docs.schema
+    drops = runs.groupBy("doc", "row").agg(F.sort_array(F.flatten(F.collect_list("drops"))).alias("drops"))
+    plain = numbered(docs)
+    at, columns = docs.columns.index("text"), plain.schema
+    names = [plain.columns[docs.columns.index(c)] for c in ("doc_id", "text")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,6 +248,5 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(out, names=b.schema.names[: len(columns)])
 
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumns(dict(zip(names, _marks()))).join(drops, names[:2], "left")
-    return marked.select(*own, names[2]).mapInArrow(cut, columns)
+    marked = plain.withColumns(dict(zip(("doc", "row"), _marks(*names)))).join(drops, ["doc", "row"], "left")
+    return marked.select(*plain.columns, "drops").mapInArrow(cut, columns).toDF(*docs.columns)

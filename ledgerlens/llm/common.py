@@ -75,6 +75,24 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
+#: Bits of the table by which ``sieve`` tells which rows need not move: 1,024 rows of 4 KB at most.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(rows: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
+    """``rows`` with a column ``hit``: false where no row of ``wanted`` has the same values in ``columns``, true where one may have.
+
+    The values' hashes mark bits of a table of ``SIEVE_BITS``, which is broadcast: its size is bound, however many rows are wanted.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS)) + 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    marks = wanted.select(bucket.alias("sieve"), bit.alias("bit")).repartition("sieve").groupBy("sieve").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    octet = F.conv(F.hex(F.substring("marks", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(octet, F.pmod(F.col("place"), F.lit(8)).cast("int")) == 1, F.lit(False))
+    joined = rows.withColumns({"sieve": bucket, "place": bit}).join(F.broadcast(marks), "sieve", "left")
+    return joined.withColumn("hit", hit).drop("sieve", "place", "marks")
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[Column], values: list[str], name: str) -> DataFrame:
     """Add ``before_<v>``: the sum of each value over the rows that sort earlier in the group.
 

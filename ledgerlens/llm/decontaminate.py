@@ -8,7 +8,8 @@ are verified, with Myers' bit-parallel distance.
 
 The benchmark is cut into blocks of bounded size on Spark; each block meets all documents, and
 where there are several, its matches are written before the next block is fetched, so neither the
-driver, a plan nor a task ever holds more than one. Null or empty texts and items match nothing; an
+driver, a plan nor a task ever holds more than one. To drop documents, each block writes the hashes of the texts that
+hold one of its items, and documents are filtered once in the end. Null or empty texts and items match nothing; an
 item without a budget (k = 0) must match on word boundaries; each of several equal items is
 reported. An item without an item_id (or with one that is no number) cannot be named in a match, but
 documents that hold it are dropped. Repeated documents each have their rows; empty tables give empty results.
@@ -17,13 +18,14 @@ documents that hold it are dropped. Repeated documents each have their rows; emp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import doc_number, id_and_text, materialize, prefix_sums
+from ledgerlens.llm.common import body, doc_number, id_and_text, materialize, numbered, prefix_sums, sieve
 
 #: Characters of one block of items.
 BLOCK_CHARS = 1_000_000
@@ -160,16 +162,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.0
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item. Decided row by row, so ids may repeat or be null."""
+    """The rows of ``docs``, all columns, that hold no item. Decided by their texts, so ids may repeat or be null."""
+    plain_docs = numbered(docs)
     at = docs.columns.index("text")
+    text = body(plain_docs.columns[at])
+    marks = [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h1")]
+    parts = []
     for items, only in item_blocks(benchmark, block_chars):
+        if only:
+            return plain_docs.mapInArrow(_clean(items, error_rate, at), plain_docs.schema).toDF(*docs.columns)
+        texts = plain_docs.select(*marks, text.alias("text")).mapInArrow(_holding(items, error_rate), "h long, h1 long").distinct()
+        parts.append(materialize(texts, "contaminated"))
+    if not parts:
+        return docs
+    bad = materialize(reduce(DataFrame.unionAll, parts).distinct(), "contaminated")
+    rows = sieve(plain_docs.withColumns({"h": marks[0], "h1": marks[1]}), ["h", "h1"], bad)
+    clean = rows.filter("hit").join(bad.hint("merge"), ["h", "h1"], "left_anti")
+    return rows.filter("not hit").select(*plain_docs.columns).unionAll(clean.select(*plain_docs.columns)).toDF(*docs.columns)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, error_rate)
-            for b in batches:
-                clean = [next(matcher.find(plain(t.as_py() or "")), None) is None for t in b.column(at)]
-                yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-        docs = docs if only else materialize(docs, "clean")
-    return docs
+def _clean(items: list[tuple[int | None, str]], error_rate: float, at: int):
+    """Rows whose text, column ``at``, holds none of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, error_rate)
+        for b in batches:
+            yield b.filter(pa.array([next(matcher.find(plain(t.as_py() or "")), None) is None for t in b.column(at)], pa.bool_()))
+
+    return run
+
+
+def _holding(items: list[tuple[int | None, str]], error_rate: float):
+    """The hashes of texts that hold one of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(items, error_rate)
+        for b in batches:
+            yield b.select(["h", "h1"]).filter(pa.array([next(matcher.find(plain(t.as_py())), None) is not None for t in b.column("text")], pa.bool_()))
+
+    return run

@@ -195,3 +195,26 @@ def test_columns_of_any_name_stay(spark, odd):
     assert {r["mix_tokens"] for r in mixed.collect()} == {0.5}
     kept = quality.keep_good(rows, quality.Model(b"", b"", (0.0, 0.0), 1.0))
     assert kept.columns == rows.columns and kept.count() == rows.count()
+
+
+def test_columns_of_any_name_stay_in_filters_of_texts(spark, odd):
+    from ledgerlens.llm import chunk_dedup, decontaminate, near_copies
+
+    rows = odd.select("doc_id", F.lit("x").alias("a.b"), "text", F.lit("y").alias("h"), F.lit("z").alias("odd `name"))
+    items = spark.createDataFrame([(1, "QUICK, brown fox!"), (4, "x")], "item_id long, text string")
+    for kept, n in ((decontaminate.drop_contaminated(rows, items), 8), (decontaminate.drop_contaminated(rows, items, block_chars=8), 8), (chunk_dedup.drop_repeats(rows), 11), (near_copies.drop_near_copies(rows), None)):
+        assert kept.columns == rows.columns
+        found = kept.collect()
+        assert n is None or len(found) == n
+        assert found and {tuple(r)[1::2] for r in found} == {("x", "y")} and {r[4] for r in found} == {"z"}
+
+
+def test_chunks_for_the_driver_are_bounded(spark):
+    """However long the labelled texts are, no more bytes than asked for train a dictionary, and the order of rows does not matter."""
+    from ledgerlens.llm import quality
+
+    docs = spark.createDataFrame([(i, " ".join(f"{'good' if i % 2 else 'bad'}{j * i % 977}" for j in range(4000))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, two = (quality.fit(d, labels, F.lit(True), train_bytes=20_000) for d in (docs, docs.orderBy(F.rand(3))))
+    assert 0 < len(one.good) <= 10_000 and (one.good, one.bad, one.curve) == (two.good, two.bad, two.curve)
+    assert len(quality.fit(docs, labels, F.lit(True)).good) > len(one.good)
