@@ -8,8 +8,9 @@ has no single largest hash; there the cuts are at equal hashes, 32 bytes apart o
 Chunks are deduplicated by digest in spans: from each chunk as many as make ``SPAN_WORDS`` words.
 A span whose digest occurs in several documents stands word for word in each of them. Spans
 that overlap and have the same partner (the least document that has them; for that one the
-greatest) make a run. Cuts lose a few dozen bytes at a passage's ends, so a run of fewer than ``min_words`` words is
-compared with its partner's text and grows as far as both agree. Runs of ``min_words`` or more are reported.
+greatest) make a run. Cuts lose a few dozen bytes at a passage's ends, so of a run of fewer than ``min_words`` words every
+window of ``min_words`` words that may hold one of its spans is looked up by digest among those of all runs: it is reported as far as its windows
+stand in another document, whichever that is (words parted by any white space). Runs of more words are reported as they are.
 
 The least document of each span keeps it (documents sort by doc_id; one without an id counts by
 its text's hash). Rows that share a doc_id are one document; rows without one are told apart by
@@ -19,7 +20,10 @@ result. A doc_id that is no number counts as null. start and end count code poin
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import body, doc_number, materialize, numbered
+from ledgerlens.llm.common import body, doc_number, materialize, numbered, sieve
 
 REACH = 16
 LONGEST = 256
@@ -141,47 +145,52 @@ def spans(docs: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
     return docs.select(doc.alias("doc"), row.alias("row"), body().alias("text")).mapInArrow(run, SPANS)
 
 
-def _common_words(text: str, start: int, end: int, other: str) -> tuple[int, int, int]:
-    """(words, start, end) of the longest stretch around text[start:end] that both texts have; only whole words count."""
-    own, partner = (np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t in (text, other))
-    part, best, at = text[start:end], (0, start, end), other.find(text[start:end])
-    while at >= 0:
-        left = _agree(own[:start][::-1], partner[:at][::-1])
-        right = _agree(own[end:], partner[at + len(part) :])
-        a, b = start - left, end + right
-        inside = text[a:b]
-        cut = [x is not None and not x.isspace() for t, i, j in ((text, a, b), (other, at - left, at + len(part) + right)) for x in (t[i - 1] if i else None, t[j] if j < len(t) else None)]
-        words = len(inside.split()) - (not inside[0].isspace() and (cut[0] or cut[2])) - (not inside[-1].isspace() and (cut[1] or cut[3]))
-        best = max(best, (words, a, b), key=lambda x: x[0])
-        at = other.find(part, at + 1)
-    return best
+def windows(text: str, runs: list[tuple[int, int, int]], min_words: int, span_words: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number, at, digest, start, end) of each window of ``min_words`` words that shares ``span_words`` or more, cut ones included, with a run (number, start, end); all of a run that has fewer."""
+    found = [m.span() for m in re.finditer(r"\S+", text)]
+    starts, ends = ([x[i] for x in found] for i in (0, 1))
+    for number, start, end in runs:
+        first, last = bisect_right(ends, start), bisect_left(starts, end)  # of the words that the run touches, and behind them
+        shared = min(span_words, last - first)
+        for at in range(max(0, first + shared - min_words), min(last - shared, len(found) - min_words) + 1 if shared > 0 else 0):
+            words = " ".join([text[a:b] for a, b in found[at : at + min_words]])
+            yield number, at, xxhash.xxh3_64_intdigest(words.encode("utf-8", "replace")) - (1 << 63), starts[at], ends[at + min_words - 1]
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> int:
-    """How many leading elements are equal."""
-    n = min(len(x), len(y))
-    unequal = np.flatnonzero(x[:n] != y[:n])
-    return int(unequal[0]) if len(unequal) else n
-
-
-def _grown(short: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """The runs, grown to where the texts of their document and its partner agree, that then have ``min_words`` words."""
+def _windows(runs: DataFrame, docs: DataFrame, min_words: int, span_words: int) -> DataFrame:
+    """(doc, row, number, at, digest, start, end) of the windows of the runs; only texts that have runs move."""
     doc, row = _marks()
-    needed = short.select("doc", "row").union(short.select("partner", "partner_row")).distinct()
-    texts = docs.select(doc.alias("doc"), row.alias("row"), body().alias("text")).join(needed, ["doc", "row"], "left_semi")
-    texts = materialize(texts.dropDuplicates(["doc", "row"]), "run-texts")
-    own, other = texts.withColumnRenamed("text", "own"), texts.toDF("partner", "partner_row", "other")
-    columns = short.schema
+    # a document's runs begin at different chunks, so the list is no longer than the text
+    lists = runs.groupBy("doc", "row").agg(F.collect_list(F.struct("number", "start", "end")).alias("runs"))
+    texts = sieve(docs.select(doc.alias("doc"), row.alias("row"), body().alias("text")), ["doc", "row"], runs.select("doc", "row"))
+    texts = texts.filter("hit").drop("hit").dropDuplicates(["doc", "row"])
+    names, types = ["doc", "row", "number", "at", "digest", "start", "end"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_common_words(*r) for r in zip(*(b.column(c).to_pylist() for c in ("own", "start", "end", "other")))]
-            words, starts, ends = (pa.array(c, pa.int32()) for c in (zip(*found) if found else ([], [], [])))
-            new = {"words": words, "start": starts, "end": ends}
-            out = pa.RecordBatch.from_arrays([new.get(f.name, b.column(f.name)) for f in columns], [f.name for f in columns])
-            yield out.filter(pa.array([w >= min_words for w in words.to_pylist()], pa.bool_()))
-
-    return short.join(own, ["doc", "row"]).join(other, ["partner", "partner_row"]).select(*short.columns, "own", "other").mapInArrow(run, columns)
+            for doc, row, text, own in zip(*(b.column(c).to_pylist() for c in ("doc", "row", "text", "runs"))):
+                found = windows(text, [(r["number"], r["start"], r["end"]) for r in own], min_words, span_words)
+                while part := [(doc, row, *w) for w in islice(found, 50_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
+
+    return texts.join(lists, ["doc", "row"]).select("doc", "row", "text", "runs").mapInArrow(run, "doc long, row int, number long, at int, digest long, start int, end int")
+
+
+def _grown(short: DataFrame, long: DataFrame, docs: DataFrame, min_words: int, span_words: int) -> DataFrame:
+    """The short runs as far as their windows of ``min_words`` words stand in another document too; ``first`` is then the least document that has one."""
+    short = materialize(short.withColumn("number", F.monotonically_increasing_id()), "short-runs")
+    found = materialize(_windows(short, docs, min_words, span_words), "windows")
+    others = _windows(long.withColumn("number", F.lit(0)), docs, min_words, span_words).select("doc", "row", "digest")
+    others = sieve(others, ["digest"], found).filter("hit").drop("hit")
+    shared = found.select("doc", "row", "digest").unionAll(others).groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("row", "doc").alias("first_row"))
+    shared = materialize(shared.filter("first <> last").drop("last"), "shared-windows")
+    hits = found.select("number", "at", "start", "end", "digest").join(shared, "digest")
+    island = F.col("at") - F.row_number().over(Window.partitionBy("number").orderBy("at"))
+    hits = hits.withColumn("island", island).groupBy("number", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.count("*") + min_words - 1).cast("int").alias("words"),
+        F.min("first").alias("first"), F.min_by("first_row", "first").alias("first_row"),
+    )
+    return short.drop("start", "end", "words", "first", "first_row").join(hits, "number").select([c for c in short.columns if c != "number"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, span_words: int = SPAN_WORDS) -> DataFrame:
@@ -207,7 +216,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, span_words: i
     dropped = F.when(F.col("first") != F.col("doc"), F.array(F.struct("start", "end"))).otherwise(F.expr("cast(array() as array<struct<start: int, end: int>>)"))
     runs = materialize(runs.drop("run").withColumn("drops", dropped), "runs")
     enough = F.col("words") > int(min_words)  # a run's last word may be cut short
-    runs = runs.filter(enough).unionByName(_grown(runs.filter(~enough), docs, int(min_words)))
+    runs = runs.filter(enough).unionByName(_grown(runs.filter(~enough), runs.filter(enough), docs, int(min_words), int(span_words)))
     by = Window.partitionBy("doc", "row").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.withColumn("new", F.coalesce((reach <= F.col("start")).cast("int"), F.lit(1)))

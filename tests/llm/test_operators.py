@@ -9,7 +9,6 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -578,17 +577,33 @@ def test_repeated_passages_against_word_windows(spark):
             assert any(" ".join(words[i : i + 20]) in " ".join(t.split()) for i in range(0, max(1, len(words) - 20), 20) for o, t in texts.items() if o < r["doc_id"])
 
 
-def test_short_runs_grow_to_what_both_texts_have():
+def test_windows_around_short_runs():
     r = random.Random(2)
-    word = lambda: "".join(r.choice("abcdef é") for _ in range(7))
-    for _ in range(60):
-        same = " ".join(word() for _ in range(30))
-        one, two = (" ".join(word() for _ in range(r.randint(0, 9))) + same + " ".join(word() for _ in range(r.randint(0, 9))) for _ in (1, 2))
-        at = one.index(same)
-        words, a, b = chunk_dedup._common_words(one, at + 20, at + 60, two)
-        m = SequenceMatcher(None, one, two, autojunk=False).find_longest_match()
-        assert one[a:b] in two and b - a == m.size and a == m.a
-        assert len(one[a:b].split()) - 2 <= words <= len(one[a:b].split())
+    for _ in range(200):
+        n = r.randint(0, 90)
+        text = "".join(r.choice(" \n ") * r.randint(1, 2) + f"é{r.randrange(99)}" for _ in range(n)) + " " * r.randint(0, 1)
+        spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        start = r.randrange(len(text) + 1)
+        end = r.randint(start, len(text))
+        touched = [i for i, (x, y) in enumerate(spans) if y > start and x < end]
+        want = {i: " ".join(text.split()[i : i + 51]) for i in range(n - 50) if len(set(touched) & set(range(i, i + 51))) >= max(1, min(30, len(touched)))}
+        got = list(chunk_dedup.windows(text, [(7, start, end)], 51, 30))
+        assert {w[1]: " ".join(text[w[3] : w[4]].split()) for w in got} == want and {w[0] for w in got} <= {7}
+
+
+def test_a_short_run_meets_every_document(spark):
+    """A passage of 55 words in two documents is found although its middle stands in an earlier third one."""
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    rows, want = [], set()
+    for i in range(30):
+        before, middle, after = words(6), words(44), words(5)
+        rows += [(10 * i, f"{words(20)} {middle} {words(20)}")]
+        rows += [(10 * i + k, f"{words(20)} {before} {middle} {after} {words(20)}") for k in (1, 2, 3)]
+        want |= {10 * i + k for k in (1, 2, 3)}
+    found = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in found} <= want and len({x["doc_id"] for x in found}) >= 0.8 * len(want)
+    assert all(51 <= x["words"] <= 57 and x["doc_id"] // 10 == x["first_doc_id"] // 10 for x in found)
 
 
 def test_ids_of_any_sign_and_none_are_kept(spark):
