@@ -21,9 +21,7 @@ result. A doc_id that is no number counts as null. start and end count code poin
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +39,8 @@ MIN_WORDS = 51
 _STEP = 1 << 22
 #: One random 32-bit number for each byte, from a fixed rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 2024) for b in range(256)], np.uint32)
+#: Factor of the windows' digests: odd, so that it has an inverse modulo 2 to the 64.
+FACTOR = xxhash.xxh64_intdigest(b"windows", 2024) | 1
 SPANS = "doc long, row int, digest long, start int, end int, word int, words int"
 
 
@@ -145,16 +145,26 @@ def spans(docs: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
     return docs.select(doc.alias("doc"), row.alias("row"), body().alias("text")).mapInArrow(run, SPANS)
 
 
-def windows(text: str, runs: list[tuple[int, int, int]], min_words: int, span_words: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(number, at, digest, start, end) of each window of ``min_words`` words that shares ``span_words`` or more, cut ones included, with a run (number, start, end); all of a run that has fewer."""
-    found = [m.span() for m in re.finditer(r"\S+", text)]
-    starts, ends = ([x[i] for x in found] for i in (0, 1))
-    for number, start, end in runs:
-        first, last = bisect_right(ends, start), bisect_left(starts, end)  # of the words that the run touches, and behind them
-        shared = min(span_words, last - first)
-        for at in range(max(0, first + shared - min_words), min(last - shared, len(found) - min_words) + 1 if shared > 0 else 0):
-            words = " ".join([text[a:b] for a, b in found[at : at + min_words]])
-            yield number, at, xxhash.xxh3_64_intdigest(words.encode("utf-8", "replace")) - (1 << 63), starts[at], ends[at + min_words - 1]
+def windows(text: str, runs: list[tuple[int, int, int]], min_words: int, span_words: int) -> list[np.ndarray]:
+    """(number, at, digest, start, end) of each window of ``min_words`` words that shares ``span_words`` or more, cut ones included, with a run (number, start, end); all of a run that has fewer.
+
+    A window's digest is the polynomial of its words' hashes, taken from prefix sums.
+    """
+    found = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64).reshape(-1, 2)
+    starts, ends, n = found[:, 0], found[:, 1], len(found)
+    if n < min_words:
+        return [np.empty(0, np.int64)] * 5
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in re.findall(r"\S+", text)), np.uint64, n)
+    powers, back = (np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+    sums = np.r_[np.uint64(0), np.cumsum(hashes * powers[:n])]
+    digests = ((sums[min_words:] - sums[:-min_words]) * back[: n - min_words + 1]).view(np.int64)
+    own = np.array(runs, np.int64).reshape(-1, 3)
+    first, last = np.searchsorted(ends, own[:, 1], "right"), np.searchsorted(starts, own[:, 2])  # of the words that a run touches, and behind them
+    shared = np.minimum(span_words, last - first)
+    low, high = np.maximum(0, first + shared - min_words), np.minimum(last - shared, n - min_words) + 1
+    many = np.where(shared > 0, np.maximum(high - low, 0), 0)
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    return [np.repeat(own[:, 0], many), at, digests[at], starts[at], ends[at + min_words - 1]]
 
 
 def _windows(runs: DataFrame, docs: DataFrame, min_words: int, span_words: int) -> DataFrame:
@@ -168,10 +178,17 @@ def _windows(runs: DataFrame, docs: DataFrame, min_words: int, span_words: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parts, size = [], 0
             for doc, row, text, own in zip(*(b.column(c).to_pylist() for c in ("doc", "row", "text", "runs"))):
                 found = windows(text, [(r["number"], r["start"], r["end"]) for r in own], min_words, span_words)
-                while part := [(doc, row, *w) for w in islice(found, 50_000)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names)
+                n = len(found[0])
+                parts.append((np.full(n, doc), np.full(n, row), *found))
+                size += n
+                if size > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(zip(*parts), types)], names)
+                    parts, size = [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(zip(*parts), types)], names)
 
     return texts.join(lists, ["doc", "row"]).select("doc", "row", "text", "runs").mapInArrow(run, "doc long, row int, number long, at int, digest long, start int, end int")
 

@@ -587,8 +587,10 @@ def test_windows_around_short_runs():
         end = r.randint(start, len(text))
         touched = [i for i, (x, y) in enumerate(spans) if y > start and x < end]
         want = {i: " ".join(text.split()[i : i + 51]) for i in range(n - 50) if len(set(touched) & set(range(i, i + 51))) >= max(1, min(30, len(touched)))}
-        got = list(chunk_dedup.windows(text, [(7, start, end)], 51, 30))
+        got = list(zip(*(c.tolist() for c in chunk_dedup.windows(text, [(7, start, end)], 51, 30))))
         assert {w[1]: " ".join(text[w[3] : w[4]].split()) for w in got} == want and {w[0] for w in got} <= {7}
+        again = chunk_dedup.windows("some other words " + text, [(8, start + 17, end + 17)], 51, 30)
+        assert {w[2] for w in got} <= set(again[2].tolist()) and len({w[2] for w in got}) == len(set(want.values()))
 
 
 def test_a_short_run_meets_every_document(spark):
