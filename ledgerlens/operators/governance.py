@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -270,61 +272,89 @@ def set_clusters(members: DataFrame, links: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInPandas(_grow, "id long, project string, cluster long")
 
 
+#: So many free entries for each set touched are looked at one by one before the sets are searched: a matter of speed only.
+_NEXT = 2
+
+
 def _grow(frame: pd.DataFrame) -> pd.DataFrame:
     """The clusters of one part: rows of members (id, project) of sets (of, set), and of sets with their linked sets (near)."""
-    near, held, waiting, project = {}, {}, {}, {}
-    links = frame["near"].notna()
-    for of, name, x in frame.loc[links, ["of", "set", "near"]].itertuples(index=False):
-        near[of, name] = [(y["of"], y["set"]) for y in x]
-    for of, name, i, of_project in frame.loc[~links, ["of", "set", "id", "project"]].astype({"id": "int64"}).sort_values("id").itertuples(index=False):
-        held.setdefault(i, []).append((of, name))
-        waiting.setdefault((of, name), {}).setdefault(of_project, [0, []])[1].append(i)
-        project[i] = of_project
-    taken, out = set(), []
-    for seed in held:
-        if seed in taken:
+    links = frame["near"].notna().to_numpy()
+    code = frame.groupby(["of", "set"], sort=False).ngroup().to_numpy()
+    number = {(of, name): c for of, name, c in zip(frame["of"][links], frame["set"][links], code[links])}
+    near = {c: [number[y["of"], y["set"]] for y in x] for c, x in zip(code[links], frame["near"][links])}
+    ids, place = np.unique(frame["id"][~links].to_numpy("int64"), return_inverse=True)  # entries by id are 0, 1, ...
+    rows = pd.DataFrame({"place": place, "key": code[~links], "project": pd.factorize(frame["project"][~links])[0]}).sort_values("place")
+    project = rows.drop_duplicates("place")["project"].tolist()
+    held = [[] for _ in ids]
+    for i, s in zip(rows["place"].tolist(), rows["key"].tolist()):
+        held[i].append(s)
+    # the entries of each set, and of its entries of each project, with how to skip those that are gone
+    queue = lambda x: (array("i", x), array("i", range(len(x) + 1)))
+    whole = queue(pd.Series(range(len(ids))))
+    every = {s: queue(x) for s, x in rows.groupby("key")["place"]}
+    waiting = {}
+    for (s, of_project), x in rows.groupby(["key", "project"])["place"]:
+        waiting.setdefault(s, []).append((of_project, queue(x)))
+    taken, projects, out = bytearray(len(ids)), len(set(project)), []
+
+    def free(entries: tuple, behind: int) -> int | None:
+        """The first free entry behind a place; taken ones are passed once, later searches jump over them."""
+        places, skip = entries
+        at = bisect_right(places, behind)
+        while True:
+            while skip[at] != at:
+                skip[at] = at = skip[skip[at]]
+            if at == len(places):
+                return None
+            if not taken[places[at]]:
+                return places[at]
+            skip[at] = at + 1
+
+    for seed in range(len(ids)):
+        if taken[seed]:
             continue
-        taken.add(seed)
+        taken[seed] = 1
         members, used, touched, grew = [seed], {project[seed]}, set(), True
 
-        def touch(i: int) -> list[tuple[int, int]]:
-            new = [x for s in held[i] for x in near.get(s, []) if x not in touched]
+        def touch(i: int) -> set[int]:
+            new = {x for s in held[i] for x in near.get(s, ())} - touched
             touched.update(new)
-            return list(dict.fromkeys(new))
-
-        def first(where: list[tuple[int, int]], behind: int | None) -> list[int]:
-            """The first free entry, behind a place if one is given, of each set and each project not used yet."""
-            found = []
-            for s in where:
-                for of_project, queue in waiting.get(s, {}).items():
-                    if of_project not in used:
-                        ids = queue[1]
-                        while queue[0] < len(ids) and ids[queue[0]] in taken:
-                            queue[0] += 1
-                        at = queue[0] if behind is None else bisect_right(ids, behind, queue[0])
-                        while at < len(ids) and ids[at] in taken:
-                            at += 1
-                        if at < len(ids):
-                            found.append(ids[at])
-            return found
+            return new
+
+        def firsts(where: set[int], behind: int) -> list[tuple[int, int]]:
+            return [(i, s) for s in where if s in every and (i := free(every[s], behind)) is not None]
+
+        def take(i: int) -> set[int]:
+            taken[i] = 1
+            members.append(i)
+            used.add(project[i])
+            return touch(i)
 
         touch(seed)
-        while grew:  # one pass over the free entries by id; what a pass leaves behind it waits for the next one
-            grew, heap = False, first(list(touched), None)
+        while grew and len(used) < projects:  # one pass over the free entries by id; what a pass leaves behind it waits for the next one
+            size, i, seen = len(members), seed, 0
+            while seen < _NEXT * len(touched):  # the next entries are looked at one by one; farther ones are sought through the sets touched
+                seen += 1
+                if len(used) == projects or (i := free(whole, i)) is None:
+                    break
+                if project[i] not in used and not touched.isdisjoint(held[i]):
+                    take(i)
+            heap = firsts(touched, i) if i is not None and len(used) < projects else []
             heapq.heapify(heap)
-            while heap:
-                i = heapq.heappop(heap)
-                if i in taken or project[i] in used:
-                    continue
-                taken.add(i)
-                members.append(i)
-                used.add(project[i])
-                grew = True
-                for x in first(touch(i), i):
-                    heapq.heappush(heap, x)
+            while heap and len(used) < projects:
+                i, s = heapq.heappop(heap)
+                if not taken[i] and project[i] not in used:
+                    for x in firsts(take(i), i):
+                        heapq.heappush(heap, x)
+                behind = [j for of_project, x in waiting[s] if of_project not in used and (j := free(x, i)) is not None]
+                if behind:
+                    heapq.heappush(heap, (min(behind), s))
+            grew = len(members) > size
         if len(members) > 1:
-            out += [(i, project[i], seed) for i in members]
-    return pd.DataFrame(out, columns=["id", "project", "cluster"]).astype({"id": "int64", "cluster": "int64", "project": "object"})
+            out += [(i, seed) for i in members]
+    at = pd.DataFrame(out, columns=["id", "cluster"]).astype("int64")
+    names = pd.unique(frame["project"][~links])
+    return pd.DataFrame({"id": ids[at["id"]], "project": [names[project[i]] for i in at["id"]], "cluster": ids[at["cluster"]]}).astype({"project": "object"})
 
 
 def sync_roster(hosts: DataFrame, roster: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +180,44 @@ def test_sets_stand_for_all_pairs_and_clusters(spark, threshold):
     assert by_set and by_set == by_pair
 
 
+def test_growth_passes_taken_entries_once():
+    """Entries taken far behind a seed are not walked through again by each later seed (it took time with their square)."""
+    n = 40_000
+    ids = {1: range(n), 2: range(n + 1, 2 * n + 1), 3: [n, *range(2 * n + 1, 3 * n + 1)]}
+    rows = [("p%d" % s, s, i, None) for s in ids for i in ids[s]]
+    rows += [(None, s, None, [{"of": 0, "set": x} for x in near]) for s, near in ((1, [2]), (2, [1, 3]), (3, [2]))]
+    frame = pd.DataFrame(rows, columns=["project", "set", "id", "near"]).assign(of=0)
+    began = time.process_time()
+    got = governance._grow(frame)
+    assert time.process_time() - began < 12
+    assert sorted(zip(got["cluster"], got["id"])) == sorted((k, i) for k in range(n) for i in (k, n + 1 + k, 2 * n + 1 + k))
+
+
+@pytest.mark.parametrize("step", [0, 3])
+def test_growth_by_sets_only(spark, monkeypatch, step):
+    """The same clusters whether near entries are looked at one by one or all are sought through their sets."""
+    r = random.Random(step)
+    sets = {s: [{"of": 0, "set": x} for x in r.sample(range(12), 3)] for s in range(12)}
+    near = {s: {x["set"] for x in sets[s]} | {x for x in sets if any(y["set"] == s for y in sets[x])} for s in sets}
+    held, project = {i: r.sample(range(12), 2) for i in range(150)}, {i: "p%d" % r.randrange(6) for i in range(150)}
+    rows = [(project[i], s, i, None) for i in held for s in held[i]] + [(None, s, None, [{"of": 0, "set": x} for x in near[s]]) for s in near]
+    free, want = list(held), set()
+    while free:
+        cluster, grew = [free.pop(0)], True
+        while grew:
+            grew = False
+            for i in list(free):
+                if project[i] not in {project[m] for m in cluster} and any(set(held[i]) & near[s] for m in cluster for s in held[m]):
+                    cluster.append(i)
+                    free.remove(i)
+                    grew = True
+        if len(cluster) > 1:
+            want |= {(i, project[i], cluster[0]) for i in cluster}
+    monkeypatch.setattr(governance, "_NEXT", step)
+    got = governance._grow(pd.DataFrame(rows, columns=["project", "set", "id", "near"]).assign(of=0))
+    assert want and set(got.itertuples(index=False, name=None)) == want
+
+
 def test_sets_of_empty_tables(spark):
     members, links = governance.similar_sets(spark.createDataFrame([], "id long, project string, title string, text string"), 0.75)
     assert governance.link_counts(members, links).isEmpty() and governance.set_clusters(members, links).isEmpty()
