@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import collocations, fill_middle, quality_rules
+from ledgerlens.llm import collocations, fill_middle, pii, quality_rules
 from ledgerlens.llm import queries as q
 from ledgerlens.llm.common import table
 
@@ -218,3 +218,14 @@ def test_chunks_for_the_driver_are_bounded(spark):
     one, two = (quality.fit(d, labels, F.lit(True), train_bytes=20_000) for d in (docs, docs.orderBy(F.rand(3))))
     assert 0 < len(one.good) <= 10_000 and (one.good, one.bad, one.curve) == (two.good, two.bad, two.curve)
     assert len(quality.fit(docs, labels, F.lit(True)).good) > len(one.good)
+
+
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("write to joe@example[dot]com today", "email", "joe@example[dot]com"),
+    ("host 192(.)168(.)0(.)17 is up", "ip", "192(.)168(.)0(.)17"),
+    ("call +49 170 1234     five     six", "phone", "+49 170 1234     five     six"),
+    ("mail joe@fünf.de now", "email", "joe@fünf.de"),
+    ("ask joe at mail.example dot com for it", "email", "joe at mail.example dot com"),
+])
+def test_disguises_need_no_other_sign_to_be_read(text, kind, span):
+    assert (kind, text.index(span), text.index(span) + len(span), False) in pii.find(text)
