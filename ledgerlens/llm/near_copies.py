@@ -1,7 +1,8 @@
 """Operator 8 for texts of a stated similarity: near copies by exact similarity of word shingle sets.
 
 A fingerprint cannot keep the promise of a similarity of 0.8: there 64 bits differ in about 10, and
-variants of a few segments miss a good part of such pairs (README). So texts are compared by their sets.
+variants of a few segments miss a good part of such pairs (README). So operator 8 goes first: its fingerprints and deletion variants
+give candidates, which are compared by their sets; the sets' rarest shingles then find what fingerprints miss.
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 With all shingles in one fixed order, sets that similar share one among the first
 n - ceil(0.8 n) + 1 of each, so those prefixes are indexed and every linked pair meets in a bucket.
@@ -33,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import simhash
 from ledgerlens.llm.common import body, connected, doc_number, materialize, numbered, sieve
 
 #: Documents sampled for the order of shingles, at least this many or this share.
@@ -120,26 +122,37 @@ def _marks(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
 
 
 def _sets(docs: DataFrame, words: int, seed: int, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(node, n, prefix, bits, least): one row for each set; least is the row that stays of it and names a text that has it."""
+    """(node, n, prefix, bits, least, fp): one row for each set; least is the row that stays of it and names a text that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, sizes, firsts, bits = [], [], [], []
+            names, sizes, firsts, bits, prints = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 items = shingles(t, words, seed)
+                prints.append(simhash.simhash(t, words, seed))
                 n = len(items)
                 rare = items[np.argsort(_counts(items, keys, counts), kind="stable")]
                 names.append(xxhash.xxh3_128_digest(items.tobytes()))
                 sizes.append(n)
                 firsts.append(rare[: n - -(-4 * n // 5) + 1])
                 bits.append(bitmap(items))
-            own = [pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), _lists(firsts), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ROW), *own], [*ROW, "name", "n", "prefix", "bits"])
+            own = [pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), _lists(firsts), pa.array(bits, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ROW), *own], [*ROW, "name", "n", "prefix", "bits", "fp"])
 
     rows = docs.select(*(c.alias(k) for k, c in _marks().items()), body().cast("binary").alias("text"))
-    rows = rows.mapInArrow(run, "id long, none int, h long, h1 long, name binary, n int, prefix array<long>, bits binary")
-    rows = rows.groupBy("name").agg(F.min(F.struct("none", "id", "h", "h1")).alias("least"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits")))
-    return materialize(rows.select(F.monotonically_increasing_id().alias("node"), "n", "prefix", "bits", "least"), "sets")
+    rows = rows.mapInArrow(run, "id long, none int, h long, h1 long, name binary, n int, prefix array<long>, bits binary, fp long")
+    rows = rows.groupBy("name").agg(F.min(F.struct("none", "id", "h", "h1")).alias("least"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits")), F.min("fp").alias("fp"))
+    return materialize(rows.select(F.monotonically_increasing_id().alias("node"), "n", "prefix", "bits", "least", "fp"), "sets")
+
+
+def _by_fingerprints(sets: DataFrame, bits: int) -> DataFrame:
+    """(u, v), u > v: sets that operator 8 links, by its index of deletion variants; sets of one fingerprint are paired with its least."""
+    prints = materialize(sets.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = sets.select("node", "fp").join(prints, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    ends = [prints.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_first")) for k in ("u", "v")]
+    other = simhash.links(prints.select("fp"), bits).join(ends[0], "u").join(ends[1], "v")
+    pairs = same.unionAll(other.select(F.greatest("u_first", "v_first").alias("u"), F.least("u_first", "v_first").alias("v")))
+    return materialize(pairs.distinct(), "fingerprint-pairs")
 
 
 ROW = ["id", "none", "h", "h1"]
@@ -381,7 +394,12 @@ def _last_links(grouped: DataFrame, tried: DataFrame, sets: DataFrame, texts: Da
     return links.unionAll(materialize(_buckets([*columns, "bits", "items"], _linking, "u long, v long", rows.join(items, "node")), "links"))
 
 
-def linked_sets(docs: DataFrame, words: int = 5, seed: int = 42, hot_bucket: int = HOT_BUCKET, heavy_bucket: int = HEAVY_BUCKET) -> DataFrame:
+def _grouped(live: DataFrame, links: DataFrame) -> DataFrame:
+    groups = connected(links).select("node", F.col("root").alias("group"))
+    return live.drop("group").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+
+def linked_sets(docs: DataFrame, words: int = 5, seed: int = 42, hot_bucket: int = HOT_BUCKET, heavy_bucket: int = HEAVY_BUCKET, bits: int = 4) -> DataFrame:
     """(least, root): for each different set of shingles the row that stays of it, and its group."""
     keys, counts = _frequent(docs.select(body().cast("binary").alias("text")), words, seed)
     sets = _sets(docs, words, seed, keys, counts)
@@ -390,8 +408,10 @@ def linked_sets(docs: DataFrame, words: int = 5, seed: int = 42, hot_bucket: int
     live = live.withColumn("group", F.col("node"))
     near = materialize(sets.join(live.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "n", "bits", "least"), "near-sets")
     texts = _texts(near, docs)
-    none = docs.sparkSession.createDataFrame([], "u long, v long")
-    links, tried, grouped = none, none, live
+    # operator 8 first: what its fingerprints link is compared by whole sets; what they miss the index of rare shingles finds
+    tried = _by_fingerprints(sets, bits)
+    links = _similar(tried, near, texts, words, seed)
+    grouped = _grouped(live, links)
     for _ in range(ROUNDS):
         one = _buckets([*ENTRY, "group"], _one_each, "node long, other long", grouped)
         order = F.xxhash64("other", "node")
@@ -400,8 +420,7 @@ def linked_sets(docs: DataFrame, words: int = 5, seed: int = 42, hot_bucket: int
         pairs = materialize(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = tried.unionAll(pairs)
         links = links.unionAll(_similar(pairs, near, texts, words, seed))
-        groups = connected(links).select("node", F.col("root").alias("group"))
-        grouped = live.drop("group").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+        grouped = _grouped(live, links)
     links = links.unionAll(_last_links(grouped, tried, near, texts, words, seed, heavy_bucket))
     return sets.select("node", "least").join(connected(links), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
 

@@ -9,7 +9,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerlens.llm import common, near_copies
+from ledgerlens.llm import common, near_copies, simhash
 
 from .conftest import ROWS
 
@@ -144,3 +144,24 @@ def test_small_sets_at_exactly_the_limit_are_linked(spark):
     rows += ["wjbqniy njyvfkg rtqqtli suebpee lyojyfw xtnjkzu ppqicxq zxxnyip", "wjbqniy njyvfkg rtqqtli suebpee lyojyfw xtnjkzu ppqicxq zxxnyip tantysf"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert near_copies.drop_near_copies(docs).count() == want + left + 1 == len(set(groups_of(rows)))
+
+
+def test_operator_8_gives_the_first_candidates(spark):
+    """The pairs that the stage tries first join whatever texts operator 8 puts into one component."""
+    docs = spark.createDataFrame(list(enumerate(_texts())), "doc_id long, text string")
+    keys, counts = near_copies._frequent(docs.select(common.body().cast("binary").alias("text")), 5, 42)
+    sets = near_copies._sets(docs, 5, 42, keys, counts)
+    least = {r["node"]: r["least"]["id"] for r in sets.collect()}
+    component = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, words=5).collect()}
+    up = {d: d for d in least.values()}
+
+    def top(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    pairs = near_copies._by_fingerprints(sets, 4).collect()
+    assert all(r["u"] > r["v"] for r in pairs)
+    for r in pairs:
+        up[top(least[r["u"]])] = top(least[r["v"]])
+    assert pairs and all((component[a] == component[b]) == (top(a) == top(b)) for a in up for b in up)
