@@ -275,3 +275,24 @@ def test_acts_settle_only_their_own_pending_requests(spark, data):
     assert after.filter(F.col("id") == i).first()["status"] == "trusted"
     assert sorted((r["action"], r["resolution"]) for r in settled.fillna("open", ["resolution"]).collect()) == [("promote", "approved"), ("promote", "rejected"), ("retire", "open")]
     assert {(r["id"], r["action"]) for r in refused.collect()} == {(-5, "promote"), (i, "paint")}
+
+
+def test_bound_entries_meet_queries_as_far_as_they_are_shown(spark, data, capsys):
+    """A query shows 8 bound entries at most and has 24 hits, so the first 32 bound ones are enough; all of them met every query before."""
+    e, q = views.entries(spark, data), views.queries(spark, data)
+    files = [f"src/mod{i}.css" for i in range(50)]
+    rows = lexical.bound_strata(e, q, files)
+    rows.explain()
+    assert "limit=32" in capsys.readouterr().out
+    got, bound = {}, {r["id"] for r in lexical.visible(e).filter(F.size("bindings") > 0).collect()}
+    for r in rows.collect():
+        got.setdefault(r["query_id"], []).append((r["stratum"], r["rank"], r["id"]))
+    hits = {}
+    for r in lexical.retrieve(e, q, 24).collect():
+        hits.setdefault(r["query_id"], set()).add(r["id"])
+    assert len(bound) > 32 and got
+    for query, shown in got.items():
+        mine = hits.get(query, set())
+        both = len(mine & bound)
+        only = sorted(bound - mine)[: max(0, 8 - both)]
+        assert [i for s, _, i in sorted(shown, key=lambda x: x[1]) if s == 1] == only
