@@ -221,11 +221,13 @@ def test_chunks_for_the_driver_are_bounded(spark):
 
 
 @pytest.mark.parametrize(("text", "kind", "span"), [
-    ("write to joe@example[dot]com today", "email", "joe@example[dot]com"),
-    ("host 192(.)168(.)0(.)17 is up", "ip", "192(.)168(.)0(.)17"),
-    ("call +49 170 1234     five     six", "phone", "+49 170 1234     five     six"),
-    ("mail joe@fünf.de now", "email", "joe@fünf.de"),
-    ("ask joe at mail.example dot com for it", "email", "joe at mail.example dot com"),
+    ("send to joe@example[dot]com today", "email", "joe@example[dot]com"),
+    ("host 192(.)168(.)0(.)17 runs", "ip", "192(.)168(.)0(.)17"),
+    ("call +49 170 1234     two     two", "phone", "+49 170 1234     two     two"),
+    ("ask joe@fünf.de now", "email", "joe@fünf.de"),
+    ("ask joe at mail.example dot com today", "email", "joe at mail.example dot com"),
 ])
 def test_disguises_need_no_other_sign_to_be_read(text, kind, span):
+    """Texts without an i (but for the last), which woke the transducer by chance (as the other case of a dotless one)."""
+    assert "i" not in text.replace("mail.", "")
     assert (kind, text.index(span), text.index(span) + len(span), False) in pii.find(text)
