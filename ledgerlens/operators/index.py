@@ -6,7 +6,7 @@ and nothing else. Tables carry a version and a fingerprint of the entries they w
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +40,7 @@ def fingerprint(entries: DataFrame) -> DataFrame:
 def write_index(entries: DataFrame, path: str, identifiers: bool = False) -> None:
     fields = lexical.fielded(entries, identifiers)
     lengths = [f"dl_{f}" for f in lexical.FIELDS]
-    rows = fields.select("id", *lengths, F.explode(lexical._marked(distinct=False)).alias("x")).select("id", *lengths, "x.field", "x.token")
-    postings = rows.groupBy("token", "id", *lengths).agg(*(F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in lexical.FIELDS))
+    postings = lexical.postings(fields, lengths)
     postings.repartitionByRange("token").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
     entries.select("id", "status", "tier", "kind", "needs_review", projection_hash().alias("projection")).write.mode("overwrite").parquet(f"{path}/facts")
     mark = fingerprint(entries)
@@ -69,9 +68,6 @@ def stale(index: Index, entries: DataFrame) -> DataFrame:
 
 
 def search(index: Index, queries: DataFrame, limit: int = 8, scorer: str = "bm25", frequency: str = "presence") -> DataFrame:
-    terms = lexical.query_terms(queries)
-    hits = index.postings.join(terms.select("token").distinct(), "token")
-    stats = index.stats.drop("fingerprint", "entries", "version")
-    scored = lexical.score_hits(hits, terms, stats, lexical.document_counts(hits), scorer, frequency)
-    rows = lexical.governed(scored, index.facts, 2 if scorer == "weights" else None)
-    return lexical.top_k(rows, limit, F.col("score").desc(), (F.col("tier") != "project").cast("int"), F.col("id"))
+    stats = index.stats.drop("fingerprint", "entries", "version").first().asDict()
+    found = [replace(lexical.stored_hits(index.postings, index.facts, asked), stats=stats) for asked in lexical.query_blocks(queries)]
+    return lexical.leading(found, queries, limit, scorer, frequency)

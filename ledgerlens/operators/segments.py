@@ -8,7 +8,7 @@ counts once its statistics are there, which are written last; one whose writing
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,8 +96,7 @@ def refresh(entries: DataFrame, path: str) -> DataFrame:
     touched = entries.join(changes.filter("state <> 'gone'").select("id"), "id", "left_semi")
     fields = lexical.fielded(touched)
     lengths = [f"dl_{f}" for f in lexical.FIELDS]
-    rows = fields.select("id", *(F.col(c).cast("bigint").alias(c) for c in lengths), F.explode(lexical._marked(distinct=False)).alias("x")).select("id", *lengths, "x.field", "x.token")
-    postings = rows.groupBy("token", "id", *lengths).agg(*(F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in lexical.FIELDS)).withColumn("bucket", _bucket("token"))
+    postings = lexical.postings(fields.withColumns({c: F.col(c).cast("bigint") for c in lengths}), lengths).withColumn("bucket", _bucket("token"))
     put(postings.repartition("bucket").sortWithinPartitions("bucket", "token", "id"), "postings", "bucket")
     sizes = fields.select("id", *(F.col(c).cast("bigint").alias(c) for c in _LENGTHS))
     put(touched.select("id", *_FACTS, projection_hash().alias("projection")).join(sizes, "id"), "facts")
@@ -111,12 +110,12 @@ def refresh(entries: DataFrame, path: str) -> DataFrame:
 
 def search(tiers: list[Tier], queries: DataFrame, limit: int = 8, scorer: str = "bm25", frequency: str = "presence") -> DataFrame:
     """The best entries of all tiers (ids differ between tiers), as if they were one."""
-    terms = lexical.query_terms(queries)
-    asked = terms.select("token").distinct().withColumn("bucket", _bucket("token"))
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    hits = union([_standing(tier.postings.join(asked, ["bucket", "token"]), tier.dead) for tier in tiers]).drop("bucket", "generation")
     facts = union([_standing(tier.facts, tier.dead) for tier in tiers]).select("id", *_FACTS)
-    stats = lexical.merge_stats(union([tier.stats for tier in tiers]))
-    scored = lexical.score_hits(hits, terms, stats, lexical.document_counts(hits), scorer, frequency)
-    rows = lexical.governed(scored, facts, 2 if scorer == "weights" else None)
-    return lexical.top_k(rows, limit, F.col("score").desc(), (F.col("tier") != "project").cast("int"), F.col("id"))
+    stats = lexical.merge_stats(union([tier.stats for tier in tiers])).first().asDict()
+    found = []
+    for asked in lexical.query_blocks(queries):
+        words = queries.sparkSession.createDataFrame([(w,) for w in asked.words], "token string").withColumn("bucket", _bucket("token"))
+        postings = union([_standing(tier.postings.join(F.broadcast(words), ["bucket", "token"]), tier.dead) for tier in tiers])
+        found.append(replace(lexical.stored_hits(postings, facts, asked), stats=stats))
+    return lexical.leading(found, queries, limit, scorer, frequency)
