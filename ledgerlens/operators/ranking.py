@@ -7,24 +7,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
+from ledgerlens.operators.leading import QUERY_BLOCK, SLICE, Leading, id_array
 from ledgerlens.operators.lexical import factor, top_k
 from ledgerlens.operators.shared import write_shared
 
 
-#: Query vectors that meet all rows at a time.
-QUERY_BLOCK = 1_024
-
-
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = p.RECALL_DEPTH, floor: float = 0.0, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, score, rank): exact cosine of a stated query set against all (key, embedding).
 
-    The queries come in blocks of about ``block``; a block goes to the tasks as one matrix, and each batch
-    of rows keeps its best k for each query before anything is shuffled. Vectors of another length score 0.
+    The queries come in blocks of about ``block``; a block goes to the tasks as one matrix, and each task
+    passes on what may be among the best k of a query before anything is shuffled. Vectors of another length score 0.
     """
     types, asked = dict(vectors.dtypes), dict(queries.dtypes)
     queries = write_shared(queries.select("query_id", "embedding"), "query-vectors")
@@ -33,7 +31,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = p.RECALL_DEPTH,
     found = queries.sparkSession.createDataFrame([], schema)
     for number in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
-        part = vectors.select("key", "embedding").mapInArrow(_best(rows, k, floor), schema)
+        part = vectors.select("key", "embedding").mapInArrow(_best(rows, k, floor, asked["query_id"]), schema)
         found = found.unionAll(part if blocks == 1 else write_shared(top_k(part, k, F.col("score").desc(), F.col("key")).drop("rank"), "vector-hits"))
     return top_k(found, k, F.col("score").desc(), F.col("key"))
 
@@ -45,59 +43,71 @@ def unit(rows: list, dim: int) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(queries: list, k: int, floor: float):
-    """Each batch's rows with their best k for every query, equal scores included."""
+def _best(queries: list, k: int, floor: float, kind: str):
+    """A task's rows that may be among the best k of a query, a slice of rows at a time; equal scores by key."""
     sizes = sorted({len(q["embedding"] or ()) for q in queries})
     ids = [[q["query_id"] for q in queries if len(q["embedding"] or ()) == d] for d in sizes]
     asked = [unit([q["embedding"] or () for q in queries if len(q["embedding"] or ()) == d], d) for d in sizes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lengths = b.column("embedding").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for dim, names, q in zip(sizes, ids, asked):
-                at = np.flatnonzero(lengths == dim)
-                if floor < 0:  # vectors of other lengths count as 0
-                    at = np.arange(len(lengths))
-                if not len(at) or not len(names):
-                    continue
-                own = lengths[at] == dim
-                scores = np.zeros((len(at), len(names)))
-                if own.any() and dim:
-                    scores[own] = unit(b.column("embedding").take(pa.array(at[own])).flatten().to_numpy(zero_copy_only=False), dim) @ q.T
-                scores = np.floor(scores * 1e6 + 0.5) / 1e6
-                least = np.partition(scores, -k, axis=0)[-k] if len(at) > k else np.full(len(names), -np.inf)
-                row, column = np.nonzero((scores >= least) & (scores > floor))
-                keys = b.column("key").take(pa.array(at[row]))
-                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(column)), keys, pa.array(scores[row, column])], ["query_id", "key", "score"])
+        best = [Leading(k, len(names)) for names in ids]
+        for whole in batches:
+            whole = whole.take(pc.sort_indices(whole, [("key", "ascending")]))
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                lengths = b.column("embedding").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                for dim, names, q, lead in zip(sizes, ids, asked, best):
+                    at = np.flatnonzero(lengths == dim)
+                    if floor < 0:  # vectors of other lengths count as 0
+                        at = np.arange(len(lengths))
+                    if not len(at) or not len(names):
+                        continue
+                    own = lengths[at] == dim
+                    scores = np.zeros((len(at), len(names)))
+                    if own.any() and dim:
+                        scores[own] = unit(b.column("embedding").take(pa.array(at[own])).flatten().to_numpy(zero_copy_only=False), dim) @ q.T
+                    scores = np.floor(scores * 1e6 + 0.5) / 1e6
+                    row, column = lead.take(scores, floor)
+                    keys = b.column("key").take(pa.array(at[row]))
+                    yield pa.RecordBatch.from_arrays([id_array(names, kind).take(pa.array(column)), keys, pa.array(scores[row, column])], ["query_id", "key", "score"])
 
     return run
 
 
 def hash_embed(texts: DataFrame, dim: int = p.EMBED_DIM) -> DataFrame:
-    """(key, embedding) of (key, text): signed hashed token counts of unit length, an embedder without semantics."""
+    """(key, embedding) of (key, text): signed hashed token counts of unit length, an embedder without semantics.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"key": f["key"], "embedding": [_hashed(tokens, dim) for tokens in f["tokens"]]})
+    A slice of texts is worked on at a time; each of its different tokens is hashed once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                token = b.column("tokens").flatten().dictionary_encode()
+                places = np.array([_place(x, dim) for x in token.dictionary.to_pylist()], np.int64).reshape(-1, 2)[token.indices.to_numpy()]
+                row = np.repeat(np.arange(b.num_rows), b.column("tokens").value_lengths().fill_null(0).to_numpy())
+                out = np.bincount(row * dim + places[:, 0], places[:, 1], b.num_rows * dim).astype(np.float32).reshape(-1, dim)
+                norm = np.linalg.norm(out, axis=1, keepdims=True)
+                out = np.divide(out, norm, out=out, where=norm > 0)
+                ends = pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], ["key", "embedding"])
 
     kind = dict(texts.dtypes)["key"]
-    return texts.select("key", t.tokenize(F.col("text")).alias("tokens")).mapInPandas(run, f"key {kind}, embedding array<float>")
+    return texts.select("key", t.tokenize(F.col("text")).alias("tokens")).mapInArrow(run, f"key {kind}, embedding array<float>")
 
 
 # Start and factor of the two hashes, of which the first picks the place and the second the sign.
 SLOT_HASH, SIGN_HASH = (0x811C9DC5, 0x01000193), (0x9E3779B9, 0x85EBCA6B)
 
 
-def _hashed(tokens: list[str], dim: int) -> list[float]:
-    out = np.zeros(dim, np.float32)
-    for token in tokens:
-        slot, sign = SLOT_HASH[0], SIGN_HASH[0]
-        for i, c in enumerate(map(ord, token)):
-            slot = (slot ^ c) * SLOT_HASH[1] & 0xFFFFFFFF
-            sign = (sign ^ (c + i)) * SIGN_HASH[1] & 0xFFFFFFFF
-        out[slot % dim] += -1 if sign & 1 else 1
-    norm = np.linalg.norm(out)
-    return (out / norm if norm else out).tolist()
+def _place(token: str, dim: int) -> tuple[int, int]:
+    """Where a token counts, and its sign."""
+    slot, sign = SLOT_HASH[0], SIGN_HASH[0]
+    for i, c in enumerate(map(ord, token)):
+        slot = (slot ^ c) * SLOT_HASH[1] & 0xFFFFFFFF
+        sign = (sign ^ (c + i)) * SIGN_HASH[1] & 0xFFFFFFFF
+    return slot % dim, -1 if sign & 1 else 1
 
 
 def embed_plan(units: DataFrame, cache: DataFrame, version: str) -> DataFrame:
