@@ -6,15 +6,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import params as p
 from ledgerlens.functions import text as t
+from ledgerlens.operators.leading import QUERY_BLOCK
 from ledgerlens.operators.lexical import top_k
-from ledgerlens.operators.ranking import QUERY_BLOCK, fuse, unit
+from ledgerlens.operators.ranking import fuse, unit
 from ledgerlens.operators.shared import write_shared
 
 _HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*")
@@ -73,21 +74,30 @@ def chunk(text: str, longest: int = p.CHUNK_CHARS, step: int = p.WINDOW_STEP) ->
     return out
 
 
+#: Documents that a task cuts at a time.
+CUT = 32
+
+
 def chunk_documents(docs: DataFrame, bodies: bool = False) -> DataFrame:
-    """Chunks of (doc_id, text); with ``bodies`` each carries its own lines, joined, and nothing else of its document."""
+    """Chunks of (doc_id, text); with ``bodies`` each carries its own lines, joined, and nothing else of its document.
+
+    A task holds the chunks of ``CUT`` documents at a time.
+    """
     schema = CHUNK.format(dict(docs.dtypes)["doc_id"]) + (", body string" if bodies else "")
     names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for d, x in zip(f["doc_id"], f["text"]):
-                lines = re.sub(r"\r\n?", "\n", x or "").split("\n") if bodies else []
-                rows += [(d, *c, p.CHUNKER_VERSION, *(["\n".join(lines[c[2] - 1 : c[3]])] if bodies else [])) for c in chunk(x or "")]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"seq": "int32", "start_line": "int32", "end_line": "int32", "chars": "int32", "overlap_with": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, CUT):
+                rows = []
+                for i, x in enumerate(b.column("text").slice(start, CUT).to_pylist(), start):
+                    lines = re.sub(r"\r\n?", "\n", x or "").split("\n") if bodies else []
+                    rows += [(i, *c, p.CHUNKER_VERSION, *(["\n".join(lines[c[2] - 1 : c[3]])] if bodies else [])) for c in chunk(x or "")]
+                own, *columns = [pa.array([r[n] for r in rows], kind) for n, kind in enumerate(types[: len(names)])]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), *columns], names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 #: Lines to a bin when the furthest end of ranges is looked up.
@@ -117,8 +127,18 @@ def read_chunks(chunks: DataFrame, redlines: DataFrame) -> DataFrame:
     """Chunks (with ``body``) as search reads them: without those that one redline covers, and without redlined lines.
 
     ``redlines``: (doc_id, from_line, to_line); a null doc_id means every document. Gives doc_id, seq, overlap_with,
-    head and kept (tokens of the heading path and of the lines that stand), partly_redlined.
+    head and kept (tokens of the heading path and of the lines that stand), partly_redlined. Chunks of documents
+    that no range names are read whole; only the others are taken apart into lines.
     """
+    if redlines.filter("doc_id is null").isEmpty():
+        marked = chunks.join(redlines.select("doc_id", F.lit(True).alias("named")).distinct(), "doc_id", "left")
+        whole = marked.filter("named is null").select("doc_id", "seq", "overlap_with", t.tokenize(F.col("heading_path")).alias("head"), t.tokenize(F.col("body")).alias("kept"), F.lit(False).alias("partly_redlined"))
+        return whole.unionByName(_read_lines(marked.filter("named").drop("named"), redlines))
+    return _read_lines(chunks, redlines)
+
+
+def _read_lines(chunks: DataFrame, redlines: DataFrame) -> DataFrame:
+    """``read_chunks`` by lines."""
     parts = chunks.select("doc_id", "seq", "start_line", "end_line", F.posexplode(F.split("body", "\n", -1)).alias("at", "x")).withColumn("line", F.col("start_line") + F.col("at"))
     own = reach(parts, redlines.filter("doc_id is not null"), ["doc_id"])
     every = reach(parts, redlines.filter("doc_id is null"), []).withColumnRenamed("reach", "reach_all")
@@ -167,34 +187,48 @@ def vector_state(chunks: DataFrame, layer: DataFrame, version: str) -> DataFrame
     return rows.select("doc_id", state.alias("state"), (F.col("n") - F.col("have")).alias("missing"))
 
 
+#: Queries, most often of one document each, whose vectors meet in one call.
+DOCUMENTS = 256
+
+
 def nearest_chunks(layer: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, seq, rank, cosine): the ``k`` chunks of each query's own document whose vectors (doc_id, seq, embedding) are nearest, if cosine is above 0.
 
     Queries (query_id, doc_id, embedding) of one document come in blocks, each of which meets the document's
-    vectors as one matrix product and keeps its best before anything else is shuffled.
+    vectors as one matrix product and keeps its best before anything else is shuffled. Documents go to Python in
+    groups of about ``DOCUMENTS``.
     """
     dealt = asked.groupBy("doc_id").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    groups = max(1, -(-asked.count() // DOCUMENTS))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
     block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
-    left = layer.select("doc_id", "seq", "embedding").join(dealt, "doc_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    right = asked.select("query_id", "doc_id", "embedding").join(dealt, "doc_id").select("query_id", F.col("doc_id").alias("of"), "embedding", block.alias("of_block"))
+    left = layer.select("doc_id", "seq", "embedding").join(dealt, "doc_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumn("dealt", group("doc_id"))
+    right = asked.select("query_id", "doc_id", "embedding").join(dealt, "doc_id").select("query_id", F.col("doc_id").alias("of"), "embedding", block.alias("of_block"), group("doc_id").alias("of_dealt"))
     types = dict(asked.dtypes)
 
     def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", queries.schema.field("query_id").type), ("doc_id", vectors.schema.field("doc_id").type), ("seq", pa.int32()), ("rank", pa.int32()), ("cosine", pa.float64())])
-        rows: list[tuple] = []
-        own = sorted((s, e) for s, e in zip(vectors.column("seq").to_pylist(), vectors.column("embedding").to_pylist()) if e)
-        for dim in {len(e) for _, e in own}:
-            seqs, mine = [s for s, e in own if len(e) == dim], [e for _, e in own if len(e) == dim]
-            ids, theirs = zip(*[(i, e) for i, e in zip(queries.column("query_id").to_pylist(), queries.column("embedding").to_pylist()) if e and len(e) == dim], strict=True) if queries.num_rows else ((), ())
-            if not ids:
-                continue
-            scores = np.floor(unit(list(theirs), dim) @ unit(mine, dim).T * 1e6 + 0.5) / 1e6
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores: the earlier chunk
-            rows += [(i, seqs[j], r + 1, float(scores[n, j])) for n, i in enumerate(ids) for r, j in enumerate(order[n].tolist()) if scores[n, j] > 0]
-        columns = [[r[0] for r in rows], [vectors.column("doc_id")[0].as_py()] * len(rows) if rows else [], *([r[i] for r in rows] for i in (1, 2, 3))]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    found = left.groupBy("doc_id", "block").cogroup(right.groupBy("of", "of_block"))
+        mine, theirs = vectors.column("embedding").combine_chunks(), queries.column("embedding").combine_chunks()
+        docs = pc.unique(vectors.column("doc_id"))
+        own, of = (pc.index_in(c, docs).fill_null(-1).to_numpy() for c in (vectors.column("doc_id"), queries.column("of")))
+        size, asks = (c.value_lengths().fill_null(0).to_numpy() for c in (mine, theirs))
+        seq = vectors.column("seq").to_numpy()
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+        for dim in sorted({*size.tolist()} & {*asks.tolist()} - {0}):
+            v, q = np.flatnonzero(size == dim), np.flatnonzero((asks == dim) & (of >= 0))
+            v, q = v[np.lexsort((seq[v], own[v]))], q[np.argsort(of[q], kind="stable")]
+            a, b = (unit(c.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), dim) for c, at in ((mine, v), (theirs, q)))
+            for d in np.unique(of[q]):
+                (v0, v1), (q0, q1) = np.searchsorted(own[v], [d, d + 1]), np.searchsorted(of[q], [d, d + 1])
+                scores = np.floor(b[q0:q1] @ a[v0:v1].T * 1e6 + 0.5) / 1e6
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores: the earlier chunk
+                value = np.take_along_axis(scores, order, axis=1)
+                row, rank = np.nonzero(value > 0)
+                found.append((q[q0 + row], v[v0 + order[row, rank]], rank + 1, value[row, rank]))
+        q, v, rank, cosine = (np.concatenate(c) for c in zip(*found))
+        columns = [queries.column("query_id").take(pa.array(q)), vectors.column("doc_id").take(pa.array(v)), vectors.column("seq").take(pa.array(v)), pa.array(rank.astype(np.int32)), pa.array(cosine)]
+        return pa.Table.from_arrays(columns, ["query_id", "doc_id", "seq", "rank", "cosine"])
+
+    found = left.groupBy("dealt", "block").cogroup(right.groupBy("of_dealt", "of_block"))
     return found.applyInArrow(best, f"query_id {types['query_id']}, doc_id {types['doc_id']}, seq int, rank int, cosine double")
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.functions import params as p
-from ledgerlens.operators import hybrid, index, lexical, segments
+from ledgerlens.operators import documents, lexical, ranking
 from ledgerlens.operators.leading import SLICE, Leading
 
 ROWS = SLICE + 88
@@ -103,3 +105,80 @@ def test_a_task_passes_on_few_of_many_ties():
 def test_search_without_words(entries, asked):
     none = asked.filter("query_id = 5")
     assert lexical.retrieve(entries, none, 3).count() == 0 and lexical.score(entries, none).count() == 0
+
+
+class Rows:
+    """Stands for a table whose map function is wanted, to see what it holds at a time."""
+
+    def __init__(self, **types):
+        self.dtypes = list(types.items())
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def _peak(run, batch):
+    """Rows given, and the most that Python held meanwhile in MB."""
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return rows, peak
+
+
+def test_vectors_meet_queries_a_slice_at_a_time():
+    r = np.random.default_rng(2)
+    v = r.normal(size=(20_000, 8)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), pa.array(v.tolist(), pa.list_(pa.float32()))], ["key", "embedding"])
+    asked = [{"query_id": i, "embedding": v[i].tolist()} for i in range(400)]
+    rows, peak = _peak(ranking._best(asked, 5, 0.0, "bigint"), batch)
+    assert peak < 40 and 2_000 <= rows < 60_000  # one matrix of all scores has 64 MB, and slices apart would give 80,000 rows
+
+
+def test_embedder_holds_a_slice(spark):
+    tokens = [[f"w{i % 50}", f"x{i % 7}"] for i in range(8_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8_000)), pa.array(tokens)], ["key", "tokens"])
+    run = ranking.hash_embed(Rows(key="bigint", text="string"), 256)
+    rows, peak = _peak(run, batch)
+    assert rows == 8_000 and peak < 8  # as lists of numbers the batch's vectors alone have 60 MB
+    got = {k: v for b in run(iter([batch])) for k, v in zip(b.column("key").to_pylist(), b.column("embedding").to_pylist())}
+    for i in (0, 511, 512, 7_999):
+        want = np.zeros(256, np.float32)
+        for token in tokens[i]:
+            place, sign = ranking._place(token, 256)
+            want[place] += sign
+        assert got[i] == (want / np.linalg.norm(want)).tolist()
+
+
+def test_chunks_of_few_documents_at_a_time(spark):
+    text = "\n".join(f"line {i} of a text" for i in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1_500)), pa.array([text] * 1_500)], ["doc_id", "text"])
+    rows, peak = _peak(documents.chunk_documents(Rows(doc_id="bigint", text="string"), bodies=True), batch)
+    assert rows >= 3_000 and peak < 3
+
+
+def test_documents_meet_their_queries_in_groups(spark, monkeypatch):
+    """Several documents in one call, one with vectors of two lengths, one whose query has none."""
+    monkeypatch.setattr(documents, "DOCUMENTS", 4)
+    r = np.random.default_rng(3)
+    layer = [(d, s, r.normal(size=3 if (d, s) == (2, 1) else 4).round(2).tolist()) for d in range(10) for s in range(5)]
+    asked = [(100 + d, d, None if d == 3 else r.normal(size=4).round(2).tolist()) for d in range(10)] + [(200, 4, [1.0, 0.0, 0.0, 0.0])]
+    got = documents.nearest_chunks(spark.createDataFrame(layer, "doc_id long, seq int, embedding array<double>"), spark.createDataFrame(asked, "query_id long, doc_id long, embedding array<double>"), 2)
+    want = set()
+    for q, d, e in asked:
+        cosine = sorted((-np.floor(np.dot(x, e) / np.linalg.norm(x) / np.linalg.norm(e) * 1e6 + 0.5) / 1e6, s) for o, s, x in layer if e and o == d and len(x) == len(e))
+        want |= {(q, d, s, i) for i, (c, s) in enumerate(cosine[:2], 1) if c < 0}
+    assert {tuple(x[c] for c in ("query_id", "doc_id", "seq", "rank")) for x in got.collect()} == want
+
+
+def test_only_documents_with_ranges_are_taken_apart(spark):
+    chunks = documents.chunk_documents(spark.createDataFrame([(i, "# Head\none two\nthree four\n\nfive") for i in range(4)], "doc_id long, text string"), bodies=True)
+    ranges = spark.createDataFrame([(1, 2, 2)], "doc_id long, from_line int, to_line int")
+    got = {r["doc_id"]: (set(r["kept"]), r["partly_redlined"]) for r in documents.read_chunks(chunks, ranges).collect()}
+    every = {"head", "one", "two", "three", "four", "five"}
+    assert got == {0: (every, False), 1: (every - {"one", "two"}, True), 2: (every, False), 3: (every, False)}
+    own = spark.createDataFrame([(None, 3, 3)], "doc_id long, from_line int, to_line int")
+    assert all(r["partly_redlined"] and "three" not in r["kept"] for r in documents.read_chunks(chunks, own).collect())
