@@ -93,13 +93,13 @@ def refresh(entries: DataFrame, path: str) -> DataFrame:
         return changes
     new = last + 1
     put = lambda rows, name, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}/generation={new}") if by else rows.write.mode("overwrite").parquet(f"{path}/{name}/generation={new}")
-    touched = entries.join(changes.filter("state <> 'gone'").select("id"), "id", "left_semi")
+    # a first segment takes all entries where they are; of later ones the texts meet the changes once, and only what is stale is kept
+    touched = write_shared(entries.join(changes.filter("state <> 'gone'").select("id").hint("shuffle_hash"), "id", "left_semi"), "touched") if last else entries
     fields = lexical.fielded(touched)
     lengths = [f"dl_{f}" for f in lexical.FIELDS]
     postings = lexical.postings(fields.withColumns({c: F.col(c).cast("bigint") for c in lengths}), lengths).withColumn("bucket", _bucket("token"))
     put(postings.repartition("bucket").sortWithinPartitions("bucket", "token", "id"), "postings", "bucket")
-    sizes = fields.select("id", *(F.col(c).cast("bigint").alias(c) for c in _LENGTHS))
-    put(touched.select("id", *_FACTS, projection_hash().alias("projection")).join(sizes, "id"), "facts")
+    put(fields.select("id", *_FACTS, projection_hash().alias("projection"), *(F.col(c).cast("bigint").alias(c) for c in _LENGTHS)), "facts")
     put(changes.filter("state <> 'new'").select("id"), "dead")
     schemas = _schemas(kind)
     read = lambda name: spark.read.schema(schemas[name]).parquet(f"{path}/{name}").filter(F.col("generation") <= new)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import text as t
-from ledgerlens.operators import evaluation, governance, hybrid, lexical
+from ledgerlens.operators import evaluation, governance, hybrid, lexical, segments
 from ledgerlens.plans.queries import CHANGED, QUERIES
 from ledgerlens.sources import views
 
@@ -110,3 +110,10 @@ def test_needles_come_to_documents(spark, plans):
         assert _rows(found, "query_id", "doc_id") == want
     plan = plans["holding"]
     assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_refreshes_read_entries_that_met_their_labels_once(spark, data, no_broadcast, plans):
+    plans["watch"](segments)
+    assert QUERIES["refreshed_index_topk"](spark, data).count()
+    assert "toxic" not in plans["stale"] and "toxic" not in plans["touched"]
+    assert "ShuffledHashJoin" in plans["touched"] and "SortMergeJoin" not in plans["touched"].split("ShuffledHashJoin")[0]
