@@ -11,7 +11,7 @@ a result. Sets of a bucket are candidates if their sizes and places in it allow
 are read several times: in each of ``ROUNDS`` rounds every set tries two candidates of other groups, and
 links join groups. In the end sets with up to ``FEW`` candidates in a bucket try them all, and the
 others meet in their buckets, which yield links only, never all pairs. Bitmaps of shingles give an upper bound of what two sets share; pairs that pass
-it are compared by their whole sets. Joins with sets or texts are merge joins at any size, so that what a run needs
+it are compared by their whole sets, and only their texts move. Joins with sets or texts are merge joins at any size, so that what a run needs
 grows with its input and not by a change of plan. Before texts move, a bit table of fixed size lets those stay where they are that
 the join cannot want (at worst it lets all through, and the join decides). Buckets whose sets are compared whole are first split by their true size.
 
@@ -334,15 +334,15 @@ def _with_both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v")
 
 
-def _texts(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the sets, as UTF-8: the one time that texts move before the result."""
-    marks = materialize(sets.select("node", "least.h", "least.h1"), "marks")
+def _texts(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes`` (node), as UTF-8. Candidates grow faster than the input and pairs that pass their bounds do not, so texts are taken for the latter, where they are read."""
+    marks = materialize(sets.select("node", "least.h", "least.h1").join(nodes.distinct().hint("merge"), "node", "left_semi"), "marks")
     texts = docs.select(F.xxhash64(body()).alias("h"), F.xxhash64(F.lit(1), body()).alias("h1"), body().cast("binary").alias("text"))
     texts = sieve(texts, ["h", "h1"], marks).filter("hit").drop("hit").dropDuplicates(["h", "h1"])  # copies become few before they are dealt
     return materialize(texts.join(marks.hint("merge"), ["h", "h1"]).select("node", "text"), "texts")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, seed: int) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, seed: int) -> DataFrame:
     """The pairs (u, v) whose sets have a similarity of 0.8 or more."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +363,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, se
                 keep.append(_similar_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("node")), sets, docs)
     return materialize(_with_both(pairs, texts, "text").select("u", "v", "a_text", "b_text").mapInArrow(same, schema), "similar")
 
 
@@ -377,7 +378,7 @@ def _split(rows: DataFrame, heavy: int) -> DataFrame:
     return rows.join(sizes.hint("merge"), "key", "left").withColumn("key", F.explode(keys)).select(rows.columns)
 
 
-def _last_links(grouped: DataFrame, tried: DataFrame, sets: DataFrame, texts: DataFrame, words: int, seed: int, heavy: int) -> DataFrame:
+def _last_links(grouped: DataFrame, tried: DataFrame, sets: DataFrame, docs: DataFrame, words: int, seed: int, heavy: int) -> DataFrame:
     """(u, v) that join the sets of ``grouped`` buckets as far as they are similar across groups."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,10 +388,10 @@ def _last_links(grouped: DataFrame, tried: DataFrame, sets: DataFrame, texts: Da
     columns = [*ENTRY, "group"]
     left = materialize(_buckets(columns, _few_or_many, f"{GROUPED}, other long", grouped), "left")
     pairs = left.filter("other is not null").select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-    links = _similar(materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), sets, texts, words, seed)
+    links = _similar(materialize(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), sets, docs, words, seed)
     rows = _split(left.filter("other is null").drop("other"), heavy).join(sets.select("node", "bits").hint("merge"), "node")
     rows = materialize(_buckets([*columns, "bits"], _bounded, f"{GROUPED}, bits binary", rows), "bounded")
-    items = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(whole, "node long, items array<long>")
+    items = _texts(rows.select("node"), sets, docs).mapInArrow(whole, "node long, items array<long>")
     return links.unionAll(materialize(_buckets([*columns, "bits", "items"], _linking, "u long, v long", rows.join(items, "node")), "links"))
 
 
@@ -407,10 +408,9 @@ def linked_sets(docs: DataFrame, words: int = 5, seed: int = 42, hot_bucket: int
     # from here on only sets that have a candidate
     live = live.withColumn("group", F.col("node"))
     near = materialize(sets.join(live.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "n", "bits", "least"), "near-sets")
-    texts = _texts(near, docs)
     # operator 8 first: what its fingerprints link is compared by whole sets; what they miss the index of rare shingles finds
     tried = _by_fingerprints(sets, bits)
-    links = _similar(tried, near, texts, words, seed)
+    links = _similar(tried, near, docs, words, seed)
     grouped = _grouped(live, links)
     for _ in range(ROUNDS):
         one = _buckets([*ENTRY, "group"], _one_each, "node long, other long", grouped)
@@ -419,9 +419,9 @@ def linked_sets(docs: DataFrame, words: int = 5, seed: int = 42, hot_bucket: int
         pairs = two.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
         pairs = materialize(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = tried.unionAll(pairs)
-        links = links.unionAll(_similar(pairs, near, texts, words, seed))
+        links = links.unionAll(_similar(pairs, near, docs, words, seed))
         grouped = _grouped(live, links)
-    links = links.unionAll(_last_links(grouped, tried, near, texts, words, seed, heavy_bucket))
+    links = links.unionAll(_last_links(grouped, tried, near, docs, words, seed, heavy_bucket))
     return sets.select("node", "least").join(connected(links), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
 
 

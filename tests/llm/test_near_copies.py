@@ -165,3 +165,26 @@ def test_operator_8_gives_the_first_candidates(spark):
     for r in pairs:
         up[top(least[r["u"]])] = top(least[r["v"]])
     assert pairs and all((component[a] == component[b]) == (top(a) == top(b)) for a in up for b in up)
+
+
+def test_texts_move_only_for_pairs_that_pass_their_bounds(spark, monkeypatch):
+    r, moved = random.Random(9), []
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    line = "all rights reserved by the holders"  # rare here: every text that holds it is a candidate of the others
+    texts = [" ".join([*words(40), *line.split(), *words(40)]) for _ in range(30)]
+    texts.append(texts[0] + " more")
+
+    def counted(df, name):
+        out = common.materialize(df, name)
+        if name == "texts":
+            moved.append({x["node"] for x in out.select("node").collect()})
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    of = lambda text: near_copies.shingles(text.encode(), 5, 42)
+    others = np.setdiff1d(np.concatenate([of(t) for t in texts]), of(line))
+    monkeypatch.setattr(near_copies, "_frequent", lambda *_: (others, np.full(len(others), 5)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = near_copies.linked_sets(docs)
+    assert len(set().union(*moved)) == 2
+    assert linked.select("root").distinct().count() == 30
