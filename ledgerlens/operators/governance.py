@@ -5,9 +5,12 @@ from __future__ import annotations
 import heapq
 from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,10 +149,10 @@ def similar_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def _token_sets(entries: DataFrame) -> DataFrame:
-    """(id, project, of, tokens, n) of entries: title tokens (of = 0) and all tokens (1); empty sets are similar to none."""
+def _token_sets(entries: DataFrame, *keep: str) -> DataFrame:
+    """(id, project, of, tokens, n) of entries, or other columns to keep: title tokens (of = 0) and all tokens (1); empty sets are similar to none."""
     tokens = F.posexplode(F.array(t.tokenize(F.col("title")), t.tokenize(F.concat_ws(" ", "title", "text")))).alias("of", "tokens")
-    return entries.select("id", "project", tokens).withColumn("n", F.size("tokens")).filter("n > 0")
+    return entries.select(*(keep or ("id", "project")), tokens).withColumn("n", F.size("tokens")).filter("n > 0")
 
 
 def similar_across(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -170,9 +173,10 @@ def _subsets_meet(small: DataFrame, side: str, large: DataFrame, other: str, thr
     key = [side, "of", "tokens", "n"]
     order = small.select(*key, F.explode("tokens").alias("token")).join(counts, "token").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("order"))
     most = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    n = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows make many pairs: their tasks are not to be joined by their size
     probes = order.select(*key, F.explode(F.transform(F.slice("order", F.lit(1), most), lambda x: x["token"])).alias("token"))
     index = large.select(other, "of", F.col("tokens").alias("theirs"), F.col("n").alias("m"), F.explode("tokens").alias("token"))
-    found = probes.join(index, ["token", "of"]).filter("n <= m").select(side, other, t.overlap(F.col("tokens"), F.col("theirs")).alias("similarity"))
+    found = probes.repartition(n, "token", "of").join(index.repartition(n, "token", "of"), ["token", "of"]).filter("n <= m").select(side, other, t.overlap(F.col("tokens"), F.col("theirs")).alias("similarity"))
     return found.filter(F.col("similarity") >= threshold)
 
 
@@ -184,10 +188,14 @@ def similar_sets(entries: DataFrame, threshold: float) -> tuple[DataFrame, DataF
     projects; a = b says so of the entries of one set. Two entries of different projects are similar if their sets of either
     kind are linked. Entries without a project are left out. An empty table gives empty results.
     """
-    rows = _token_sets(entries).filter("project is not null")
-    known = rows.groupBy("of", "tokens", "n").agg(F.min("id").alias("set"), F.min("project").alias("low"), F.max("project").alias("high"))
+    filled = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    rows = entries.filter("project is not null").select("id", "project", filled("title"), filled("text"))
+    texts = rows.groupBy("title", "text").agg(F.min("id").alias("id"), F.min("project").alias("low"), F.max("project").alias("high"))
+    told = write_shared(_token_sets(texts, "title", "text", "id", "low", "high"), "texts")  # equal texts are taken apart once
+    known = told.groupBy("of", "tokens", "n").agg(F.min("id").alias("set"), F.min("low").alias("low"), F.max("high").alias("high"))
     known = write_shared(known, "token-sets")
-    members = write_shared(rows.join(known.select("of", "tokens", "set"), ["of", "tokens"]).select("id", "project", "of", "set").distinct(), "members")
+    keys = told.join(known.select("of", "tokens", "set"), ["of", "tokens"]).groupBy("title", "text").agg(F.collect_list(F.struct("of", "set")).alias("keys"))
+    members = write_shared(rows.join(keys, ["title", "text"]).select("id", "project", F.inline("keys")).distinct(), "members")
     side = lambda name: known.select(F.struct("of", "set", "low", "high").alias(name), "of", "tokens", "n")
     found = _subsets_meet(side("a"), "a", side("b"), "b", threshold)
     several = F.least("a.low", "b.low") != F.greatest("a.high", "b.high")
@@ -255,106 +263,241 @@ def set_clusters(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id, project, cluster): greedy growth over linked sets (of, a, b) of members (id, project, of, set), at most one entry of a project in a cluster.
 
     The result depends on the order of entries (by id), but only inside a connected part of the
-    links. Parts are found on Spark and grown side by side; a task sees the ids of one part and the links of its
-    sets, never pairs of entries, and the work of a seed follows the sets that its cluster touches.
+    links. Parts are found on Spark from the different lists of sets that entries have, and grown side by side; a task gets the ids of one part,
+    as arrays of entries alike in sets and project, and the links of its sets, never pairs of entries. Rows of a repeated id are one entry.
     """
     name = lambda kind, of_set: F.struct(F.col(kind).alias("of"), F.col(of_set).alias("set"))
     linked = links.select(name("of", "a").alias("u"), name("of", "b").alias("v"))
     live = linked.select("u").union(linked.select("v")).distinct().select(F.col("u").alias("key"))
     held = members.select("id", "project", name("of", "set").alias("key")).join(live, "key")
-    firsts = held.groupBy("id").agg(F.min("key").alias("u"), F.max("key").alias("v"))
-    part = components(linked.unionByName(firsts.select("u", "v")))
-    near = linked.union(linked.select("v", "u")).distinct().groupBy("u").agg(F.collect_list("v").alias("near"))
-    of_part = part.select(F.col("node").alias("key"), "part")
-    nothing = F.expr("cast(null as array<struct<of: int, set: bigint>>)")
-    rows = held.select("key", "id", "project", nothing.alias("near")).unionByName(near.select(F.col("u").alias("key"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("project"), "near"))
-    rows = rows.join(of_part, "key").select("part", "key.of", "key.set", "id", "project", "near")
-    return rows.groupBy("part").applyInPandas(_grow, "id long, project string, cluster long")
-
-
-#: So many free entries for each set touched are looked at one by one before the sets are searched: a matter of speed only.
-_NEXT = 2
+    entries = held.groupBy("id").agg(F.min("project").alias("project"), F.array_sort(F.collect_set("key")).alias("keys"))
+    alike = entries.groupBy("project", "keys", F.shiftright("id", _ALIKE)).agg(F.collect_list(F.col("id").cast("long")).alias("ids"))
+    alike = write_shared(alike.select("project", "keys", "ids"), "alike")
+    together = alike.select(F.col("keys")[0].alias("u"), F.explode("keys").alias("v")).distinct()
+    part = components(linked.unionByName(together)).select(F.col("node").alias("key"), "part")
+    near = linked.union(linked.select("v", "u")).distinct().groupBy(F.col("u").alias("key")).agg(F.collect_list("v").alias("near"))
+    rows = alike.withColumn("key", F.col("keys")[0]).unionByName(near.withColumn("keys", F.array("key")), allowMissingColumns=True)
+    return rows.join(part, "key").select("part", "project", "keys", "ids", "near").groupBy("part").applyInArrow(_grow_part, "id long, project string, cluster long")
+
+
+#: Ids that share all but so many low bits may lie in one array: it has four million numbers at most.
+_ALIKE = 22
+#: So many free entries for each set that may still give one are looked at in their order before the sets are searched: a matter of speed only.
+_NEXT = 64
+#: Free entries looked at in their order at once, at first and at most, and how many lie ready for that.
+_LOOK, _LOOK_MOST, _READY = 256, 8192, 1 << 15
+
+
+def _grow_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The clusters of one part: rows of entries alike (project, keys, ids), and of sets (keys) with their linked sets (near)."""
+    names, ids, counts, projects, keys, sizes, sets, near, degrees = {}, [], [], [], [], [], [], [], []
+    flat = lambda x: np.rec.fromarrays([x.flatten().field(c).to_numpy() for c in ("of", "set")], names="of,set")
+    for b in batches:
+        linked = b.column("near").is_valid()
+        e, s = b.filter(pc.invert(linked)), b.filter(linked)
+        sets.append(flat(s.column("keys")))
+        near.append(flat(s.column("near")))
+        degrees.append(s.column("near").value_lengths().to_numpy())
+        of_project = e.column("project").dictionary_encode("encode")
+        projects.append(np.array([names.setdefault(x, len(names)) for x in of_project.dictionary.to_pylist()], "int32")[of_project.indices.to_numpy()])
+        keys.append(flat(e.column("keys")))
+        sizes.append(e.column("keys").value_lengths().to_numpy())
+        ids.append(e.column("ids").flatten().to_numpy())
+        counts.append(e.column("ids").value_lengths().to_numpy())
+    sets, project, sizes, ids, counts = (np.concatenate(x) for x in (sets, projects, sizes, ids, counts))
+    if not len(ids):
+        return
+    order = np.lexsort((sets["set"], sets["of"]))
+    known = {of: (at, sets["set"][order[at : at + n]]) for of, at, n in zip(*np.unique(sets["of"][order], return_index=True, return_counts=True))}
+
+    def number(x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x), "int64")
+        for of, (at, of_kind) in known.items():
+            here = x["of"] == of
+            out[here] = at + np.searchsorted(of_kind, x["set"][here])
+        return out
+
+    near = np.split(np.concatenate([number(x) for x in near]), np.cumsum(np.concatenate(degrees))[:-1])
+    two, near = _two_sets(np.concatenate([number(x) for x in keys]), sizes, [near[i] for i in order])
+    by_id = np.argsort(ids)
+    ids, alike = ids[by_id], np.repeat(np.arange(len(counts), dtype="int32"), counts)[by_id]
+    del by_id
+    project = project[alike]
+    cluster = _greedy(two[:, alike], near, project)
+    found, names = np.flatnonzero(cluster >= 0), pa.array(list(names), pa.string())
+    for at in range(0, len(found), 1 << 16):
+        x = found[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[x]), names.take(pa.array(project[x])), pa.array(ids[cluster[x]])], ["id", "project", "cluster"])
 
 
 def _grow(frame: pd.DataFrame) -> pd.DataFrame:
-    """The clusters of one part: rows of members (id, project) of sets (of, set), and of sets with their linked sets (near)."""
-    links = frame["near"].notna().to_numpy()
-    code = frame.groupby(["of", "set"], sort=False).ngroup().to_numpy()
-    number = {(of, name): c for of, name, c in zip(frame["of"][links], frame["set"][links], code[links])}
-    near = {c: [number[y["of"], y["set"]] for y in x] for c, x in zip(code[links], frame["near"][links])}
-    ids, place = np.unique(frame["id"][~links].to_numpy("int64"), return_inverse=True)  # entries by id are 0, 1, ...
-    rows = pd.DataFrame({"place": place, "key": code[~links], "project": pd.factorize(frame["project"][~links])[0]}).sort_values("place")
-    project = rows.drop_duplicates("place")["project"].tolist()
-    held = [[] for _ in ids]
-    for i, s in zip(rows["place"].tolist(), rows["key"].tolist()):
-        held[i].append(s)
-    # the entries of each set, and of its entries of each project, with how to skip those that are gone
-    queue = lambda x: (array("i", x), array("i", range(len(x) + 1)))
-    whole = queue(pd.Series(range(len(ids))))
-    every = {s: queue(x) for s, x in rows.groupby("key")["place"]}
-    waiting = {}
-    for (s, of_project), x in rows.groupby(["key", "project"])["place"]:
-        waiting.setdefault(s, []).append((of_project, queue(x)))
-    taken, projects, out = bytearray(len(ids)), len(set(project)), []
-
-    def free(entries: tuple, behind: int) -> int | None:
-        """The first free entry behind a place; taken ones are passed once, later searches jump over them."""
-        places, skip = entries
-        at = bisect_right(places, behind)
+    """:func:`_grow_part` of a frame: rows of members (id, project) of sets (of, set), and of sets with their linked sets (near)."""
+    linked = frame["near"].notna()
+    frame = frame.assign(keys=[{"of": of, "set": s} for of, s in zip(frame["of"], frame["set"])])
+    entries = frame[~linked].groupby("id").agg({"project": "first", "keys": list}).reset_index().astype({"id": "int64"})
+    entries["ids"] = [[i] for i in entries.pop("id")]
+    sets = frame.loc[linked, ["keys", "near"]].assign(keys=[[k] for k in frame.loc[linked, "keys"]])
+    pairs = pa.list_(pa.struct([("of", pa.int32()), ("set", pa.int64())]))
+    schema = pa.schema([("project", pa.string()), ("keys", pairs), ("ids", pa.list_(pa.int64())), ("near", pairs)])
+    rows = pa.concat_tables(pa.Table.from_pylist(x.to_dict("records"), schema) for x in (entries, sets)).to_batches()
+    return pd.concat([x.to_pandas() for x in _grow_part(iter(rows))], ignore_index=True)
+
+
+def _two_sets(keys: np.ndarray, sizes: np.ndarray, near: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Two sets (none: the number of sets) for each list of ``keys``, of which they have ``sizes``, and the linked sets of each set.
+
+    A list of more sets (of a repeated id) gets one that stands for all of them and is linked to what they are linked to.
+    """
+    begin, joint = np.cumsum(sizes) - sizes, {}
+    more = {i: tuple(keys[begin[i] : begin[i] + sizes[i]].tolist()) for i in np.flatnonzero(sizes > 2)}
+    for mine in dict.fromkeys(more.values()):
+        z = joint[mine] = len(near)
+        ends = np.unique(np.concatenate([near[k] for k in mine]))
+        for s in ends:
+            near[s] = np.append(near[s], z)
+        near.append(np.append(ends, z) if np.isin(mine, ends).any() else ends)
+    two = np.full((2, len(sizes)), len(near), "int32")
+    two[0], two[1, sizes == 2] = keys[begin], keys[begin[sizes == 2] + 1]
+    for i, mine in more.items():
+        two[0, i] = joint[mine]
+    return two, near
+
+
+def _greedy(keys: np.ndarray, near: list[np.ndarray], project: np.ndarray) -> np.ndarray:
+    """The first entry of each entry's cluster, -1 for those alone; entries in order with two sets each (``keys``), ``near``: what each set is linked to.
+
+    A cluster passes over the free entries behind its seed and takes what is linked to a member and of a new project, until a pass takes none.
+    Free entries lie ready in their order and are looked at in growing stretches. Farther ones are sought in the cells of linked sets: a cell is
+    a set's entries of one project; ``alive`` has the projects whose cells in a set may hold free ones (as bits, those 64 apart share one).
+    """
+    n, none, projects, near = len(project), len(near), int(project.max()) + 1, [*near, np.empty(0, "int64")]
+    cluster, taken, linked, wanted = np.full(n, -1, "int32"), np.zeros(n, bool), np.zeros(none + 1, bool), np.ones(projects, bool)
+    places = np.concatenate([np.flatnonzero(k < none) for k in keys]).astype("int32")
+    cell = np.concatenate([k[k < none] for k in keys]).astype("int64") * projects + project[places]
+    order = np.lexsort((places, cell))
+    places, cell = array("i", places[order].tobytes()), cell[order]
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    cell_set, cell_project = np.divmod(cell[begin], projects)
+    del cell, order
+    bit = np.uint64(1) << (np.arange(projects) % 64).astype("uint64")
+    alive, cells = np.zeros(none, "uint64"), np.searchsorted(cell_set, np.arange(none + 1)).tolist()
+    np.bitwise_or.at(alive, cell_set, bit[cell_project])
+    begin, cell_project, filled = [*begin.tolist(), len(places)], cell_project.tolist(), {}
+    skip = array("i", range(len(places) + 1))
+
+    def free(c: int, behind: int) -> int | None:
+        """The first free entry of a cell behind a place; taken ones are passed once, later searches jump over them."""
+        at, end = bisect_right(places, behind, begin[c], begin[c + 1]), begin[c + 1]
         while True:
             while skip[at] != at:
                 skip[at] = at = skip[skip[at]]
-            if at == len(places):
+            if at >= end:
                 return None
             if not taken[places[at]]:
                 return places[at]
             skip[at] = at + 1
 
-    for seed in range(len(ids)):
-        if taken[seed]:
+    def firsts(sets: np.ndarray, behind: int, known: set[int]) -> list[tuple[int, int]]:
+        """The first free entry behind a place in each cell of a wanted project that is not yet known; empty cells are left out from then on."""
+        found = []
+        for s in dict.fromkeys(sets.tolist()):
+            mine = filled.get(s, range(cells[s], cells[s + 1]))
+            asked = [c for c in mine if wanted[cell_project[c]] and c not in known]
+            empty = {c for c in asked if free(c, -1) is None}
+            if empty:
+                filled[s] = [c for c in mine if c not in empty]
+                alive[s] = np.bitwise_or.reduce(bit[[cell_project[c] for c in filled[s]]])
+            here = [(i, c) for c in asked if c not in empty and (i := free(c, behind)) is not None]
+            known.update(c for _, c in here)
+            found += here
+        return found
+
+    def load(at: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+        """Free entries that lie ready, their sets and projects, with so many more that they are ``least``."""
+        nonlocal ahead
+        while ahead < n and len(at) < least:
+            more = np.arange(ahead, min(n, ahead + _READY))
+            at, ahead = np.concatenate([at, more[~taken[more]]]), ahead + len(more)
+        two = keys[:, at].astype("int64")
+        two[:, taken[at]] = none
+        return at, two[0], two[1], project[at].astype("int64")
+
+    def take(i: int, s: int, t: int) -> None:
+        taken[i] = True
+        members.append(i)
+        for a in (near[s], near[t]):
+            linked[a] = True
+            ends.append(a)
+
+    def still(since: int) -> np.ndarray:
+        """The linked sets, of members since one, that may have free entries of wanted projects."""
+        sets = np.concatenate(ends[since:])
+        return sets[(alive[sets] & np.bitwise_or.reduce(bit[wanted])) != 0]
+
+    ahead = head = gone = 0
+    at, one, two, of = load(np.empty(0, "int64"), _READY)
+    while True:
+        if head == len(at) or 4 * gone > len(at):
+            head, gone = 0, 0
+            at, one, two, of = load(at[~taken[at]], _READY)
+            if not len(at):
+                return cluster
+        passed = taken[at[head : head + 64]]
+        x = int(passed.argmin())
+        if passed[x]:
+            head += len(passed)
             continue
-        taken[seed] = 1
-        members, used, touched, grew = [seed], {project[seed]}, set(), True
-
-        def touch(i: int) -> set[int]:
-            new = {x for s in held[i] for x in near.get(s, ())} - touched
-            touched.update(new)
-            return new
-
-        def firsts(where: set[int], behind: int) -> list[tuple[int, int]]:
-            return [(i, s) for s in where if s in every and (i := free(every[s], behind)) is not None]
-
-        def take(i: int) -> set[int]:
-            taken[i] = 1
-            members.append(i)
-            used.add(project[i])
-            return touch(i)
-
-        touch(seed)
-        while grew and len(used) < projects:  # one pass over the free entries by id; what a pass leaves behind it waits for the next one
-            size, i, seen = len(members), seed, 0
-            while seen < _NEXT * len(touched):  # the next entries are looked at one by one; farther ones are sought through the sets touched
-                seen += 1
-                if len(used) == projects or (i := free(whole, i)) is None:
-                    break
-                if project[i] not in used and not touched.isdisjoint(held[i]):
-                    take(i)
-            heap = firsts(touched, i) if i is not None and len(used) < projects else []
-            heapq.heapify(heap)
-            while heap and len(used) < projects:
-                i, s = heapq.heappop(heap)
-                if not taken[i] and project[i] not in used:
-                    for x in firsts(take(i), i):
-                        heapq.heappush(heap, x)
-                behind = [j for of_project, x in waiting[s] if of_project not in used and (j := free(x, i)) is not None]
-                if behind:
-                    heapq.heappush(heap, (min(behind), s))
+        head += x
+        seed, members, ends, grew = int(at[head]), [], [], True
+        take(seed, one[head], two[head])
+        wanted[of[head]] = False
+        one[head] = two[head] = none
+        while grew and len(members) < projects:  # a pass; what it leaves behind it waits for the next one
+            size, x, seen, patience, stretch = len(members), head + 1, 0, 16 * _NEXT, _LOOK
+            while len(members) < projects:
+                if seen >= patience:
+                    sets = still(0)
+                    patience = _NEXT * len(sets)
+                    if seen >= patience:
+                        known = set()
+                        heap = firsts(sets, int(at[x - 1]), known)
+                        heapq.heapify(heap)
+                        while heap and len(members) < projects:
+                            i, c = heapq.heappop(heap)
+                            if wanted[cell_project[c]]:
+                                since = len(ends)
+                                take(i, keys[0, i], keys[1, i])
+                                wanted[project[i]] = False
+                                j = int(np.searchsorted(at, i))
+                                if j < len(at) and at[j] == i:
+                                    one[j] = two[j] = none
+                                for y in firsts(still(since), i, known):
+                                    heapq.heappush(heap, y)
+                        break
+                if x == len(at):
+                    if ahead == n:
+                        break
+                    at, one, two, of = load(at, 2 * len(at))
+                    continue
+                end = min(x + stretch, len(at))
+                hit = linked[one[x:end]]
+                hit |= linked[two[x:end]]
+                hit &= wanted[of[x:end]]
+                i = int(hit.argmax())
+                if hit[i]:
+                    seen, x, stretch = seen + i + 1, x + i + 1, _LOOK
+                    take(int(at[x - 1]), one[x - 1], two[x - 1])
+                    wanted[of[x - 1]] = False
+                    one[x - 1] = two[x - 1] = none
+                else:
+                    seen, x, stretch = seen + end - x, end, min(2 * stretch, _LOOK_MOST)
             grew = len(members) > size
+        for sets in ends:
+            linked[sets] = False
+        wanted[project[members]] = True
+        gone += len(members)
         if len(members) > 1:
-            out += [(i, seed) for i in members]
-    at = pd.DataFrame(out, columns=["id", "cluster"]).astype("int64")
-    names = pd.unique(frame["project"][~links])
-    return pd.DataFrame({"id": ids[at["id"]], "project": [names[project[i]] for i in at["id"]], "cluster": ids[at["cluster"]]}).astype({"project": "object"})
+            cluster[members] = seed
 
 
 def sync_roster(hosts: DataFrame, roster: DataFrame) -> DataFrame:
