@@ -283,7 +283,7 @@ def set_clusters(members: DataFrame, links: DataFrame) -> DataFrame:
 #: Ids that share all but so many low bits may lie in one array: it has four million numbers at most.
 _ALIKE = 22
 #: So many free entries for each set that may still give one are looked at in their order before the sets are searched: a matter of speed only.
-_NEXT = 64
+_NEXT = 1024
 #: Free entries looked at in their order at once, at first and at most, and how many lie ready for that.
 _LOOK, _LOOK_MOST, _READY = 256, 8192, 1 << 15
 
@@ -453,7 +453,7 @@ def _greedy(keys: np.ndarray, near: list[np.ndarray], project: np.ndarray) -> np
         wanted[of[head]] = False
         one[head] = two[head] = none
         while grew and len(members) < projects:  # a pass; what it leaves behind it waits for the next one
-            size, x, seen, patience, stretch = len(members), head + 1, 0, 16 * _NEXT, _LOOK
+            size, x, seen, patience, stretch = len(members), head + 1, 0, _NEXT, _LOOK
             while len(members) < projects:
                 if seen >= patience:
                     sets = still(0)
